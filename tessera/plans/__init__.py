@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["cleaning_queries", "feature_queries", "association_queries"]
+MODULES = ["cleaning_queries", "feature_queries", "association_queries", "metric_queries",
+           "registry_queries"]
 
 
 def _load() -> None:
