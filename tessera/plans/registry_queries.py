@@ -316,12 +316,12 @@ def h11(spark, d):
 
 @query("t3_leaderboard", f"""WITH {LINKS}, {MODELS} SELECT training_id, model_id, score,
   CAST(place AS INT) AS place FROM (SELECT training_id, model_id, score, ROW_NUMBER() OVER (
-    PARTITION BY training_id ORDER BY score DESC, model_name) AS place
+    PARTITION BY training_id ORDER BY score DESC, model_name, model_id) AS place
     FROM links JOIN models USING (model_id)) WHERE place <= 3""")
 def t3(spark, d):
     lb = links(spark, d).join(models(spark, d), "model_id").withColumn(
         "score", F.col("metrics.score"))
-    return R.ranked(lb, "score", ["training_id"], 3).select("training_id", "model_id", "score",
+    return R.ranked(lb, "score", ["training_id"], 3, ("model_name", "model_id")).select("training_id", "model_id", "score",
                                                             "place")
 
 

@@ -236,9 +236,10 @@ def user_state(asked: DataFrame, users: DataFrame) -> DataFrame:
         .when(~F.col("is_active"), "inactive").otherwise("active").alias("state"))
 
 
-def ranked(models: DataFrame, metric: str, by: list[str], n: int) -> DataFrame:
+def ranked(models: DataFrame, metric: str, by: list[str], n: int,
+           ties: tuple[str, ...] = ("model_name",)) -> DataFrame:
     """Best ``n`` models per group of a leaderboard with their place."""
-    w = W.partitionBy(*by).orderBy(F.col(metric).desc_nulls_last(), "model_name")
+    w = W.partitionBy(*by).orderBy(F.col(metric).desc_nulls_last(), *ties)
     return models.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
