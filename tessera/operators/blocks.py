@@ -119,6 +119,8 @@ def block_join(queries: DataFrame, refs: DataFrame, kernel: Kernel, schema: str
     Pass ``radius`` or ``k`` to leave out pairs that are provably farther apart; without either,
     every pair is seen. The flag tells whether a query point met more than one reference chunk.
     """
+    # Fresh column identities: both sides may be filters of one table.
+    refs = refs.select(*[F.col(c).alias(c) for c in refs.columns])
     n_q, n_s = queries.count(), refs.count()
     cells = min(MAX_PIVOTS, -(-n_s // block))
     if cells > 1 and (radius is not None or k is not None):

@@ -271,3 +271,153 @@ def q16(spark, d):
     out = spark.createDataFrame([(s["overlap_score"], s["centroid_sep"], s["score"])],
                                 "overlap_score double, centroid_sep double, score double")
     return r6(out, *out.columns)
+
+
+# ---------------------------------------------------------------- clusterers
+
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+from tessera.operators import cluster as K  # noqa: E402
+
+
+def pts(p):
+    return p.select("id", "vec")
+
+
+def sizes(fit):
+    return fit.labels.groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query("k1_reduced_space")
+def k1(spark, d):
+    space, _ = K.reduced(pts(labelled(spark, d)))
+    return space.select("id", F.size("vec").alias("width"),
+                        F.round(F.abs(F.col("vec")[0]), 6).alias("first"))
+
+
+@query("k2_view")
+def k2(spark, d):
+    return K.view_2d(pts(labelled(spark, d)))
+
+
+@query("k3_kmeans")
+def k3(spark, d):
+    return sizes(K.kmeans(pts(labelled(spark, d)), 5))
+
+
+@query("k3_lloyd_step", f"""WITH {P_SQL}, a AS (SELECT id, vec, CASE
+    WHEN LIST_DISTANCE(vec, [-0.1, 0.0]) <= LIST_DISTANCE(vec, [0.1, 0.05]) THEN 0 ELSE 1 END AS c FROM e)
+  SELECT CAST(c AS INT) AS cluster, COUNT(*) AS n, ROUND(AVG(vec[1]), 6) AS x, ROUND(AVG(vec[2]), 6) AS y
+  FROM a GROUP BY 1""")
+def k3_step(spark, d):
+    import numpy as np
+    out = K.lloyd_step(pts(plane(spark, d)), np.array([[-0.1, 0.0], [0.1, 0.05]]))
+    return out.select("cluster", "n", F.round(F.col("centre")[0], 6).alias("x"),
+                      F.round(F.col("centre")[1], 6).alias("y"))
+
+
+@query("k4_bisecting_kmeans")
+def k4(spark, d):
+    return sizes(K.bisecting_kmeans(pts(labelled(spark, d)), 5))
+
+
+@query("k5_gaussian_mixture_full")
+def k5(spark, d):
+    return sizes(K.gaussian_mixture(pts(plane(spark, d)), 3))
+
+
+@query("k5_gaussian_mixture_diagonal")
+def k5_diag(spark, d):
+    return sizes(K.gaussian_mixture(pts(plane(spark, d)), 3, "diag", max_iter=15))
+
+
+@query("k6_core_counts", f"""WITH {P_SQL} SELECT a.id, COUNT(*) AS n FROM e a, e b
+  WHERE LIST_DISTANCE(a.vec, b.vec) <= {RADIUS} GROUP BY 1""")
+def k6_counts(spark, d):
+    return B.neighbour_counts(pts(plane(spark, d)), RADIUS)
+
+
+@query("k6_dbscan", f"""WITH RECURSIVE {P_SQL}, link AS (
+    SELECT a.id AS u, b.id AS v FROM e a, e b WHERE LIST_DISTANCE(a.vec, b.vec) <= {RADIUS}),
+  core AS (SELECT u AS id FROM link GROUP BY 1 HAVING COUNT(*) >= 8),
+  cl AS (SELECT u, v FROM link WHERE u IN (FROM core) AND v IN (FROM core)),
+  reach(id, c) AS (SELECT id, id FROM core UNION SELECT cl.v, reach.c FROM reach JOIN cl ON cl.u = reach.id),
+  comp AS (SELECT id, MIN(c) AS root FROM reach GROUP BY id),
+  border AS (SELECT v AS id, MIN(root) AS root FROM link JOIN comp ON comp.id = u
+             WHERE v NOT IN (FROM core) GROUP BY 1)
+  SELECT e.id, root FROM e LEFT JOIN (FROM comp UNION ALL FROM border) USING (id)""")
+def k6(spark, d):
+    return K.core_components(pts(plane(spark, d)), RADIUS, 8)
+
+
+@query("k7_mean_shift_step", f"""WITH {P_SQL}, s AS (
+    SELECT DISTINCT ROUND(vec[1] / 0.1) * 0.1 AS sx, ROUND(vec[2] / 0.1) * 0.1 AS sy FROM e)
+  SELECT ROUND(sx, 6) AS sx, ROUND(sy, 6) AS sy, COUNT(*) AS n, ROUND(AVG(vec[1]), 6) AS mx,
+         ROUND(AVG(vec[2]), 6) AS my FROM s, e WHERE LIST_DISTANCE(vec, [sx, sy]) <= 0.1 GROUP BY 1, 2""")
+def k7_step(spark, d):
+    p = pts(plane(spark, d))
+    seeds = K.bin_seeds(p, 0.1)
+    named = spark.createDataFrame([(i, float(s[0]), float(s[1])) for i, s in enumerate(seeds)],
+                                  "seed int, sx double, sy double")
+    step = K.shift_step(p, seeds, 0.1)
+    wide = step.groupBy("seed").agg(F.max("n").alias("n"), *[F.round(F.max(F.when(
+        F.col("i") == i, F.col("mean"))), 6).alias(c) for i, c in ((0, "mx"), (1, "my"))])
+    return r6(wide.join(named, "seed"), "sx", "sy").drop("seed")
+
+
+@query("k7_mean_shift")
+def k7(spark, d):
+    return sizes(K.mean_shift(pts(plane(spark, d)), 0.15))
+
+
+@query("k8_micro_clusters", f"""WITH {P_SQL} SELECT CAST(FLOOR(vec[1] / 0.05) AS BIGINT) AS cx,
+  CAST(FLOOR(vec[2] / 0.05) AS BIGINT) AS cy, COUNT(*) AS n, ROUND(AVG(vec[1]), 6) AS mx,
+  ROUND(AVG(vec[2]), 6) AS my FROM e GROUP BY 1, 2""")
+def k8_micro(spark, d):
+    m = K.micro_clusters(pts(plane(spark, d)), 0.05).withColumn("m", vector_to_array("mean"))
+    return m.select(F.col("cell")[0].alias("cx"), F.col("cell")[1].alias("cy"), "n",
+                    F.round(F.col("m")[0], 6).alias("mx"), F.round(F.col("m")[1], 6).alias("my"))
+
+
+@query("k8_two_stage")
+def k8(spark, d):
+    return sizes(K.two_stage(pts(labelled(spark, d)), 0.5, 4))
+
+
+@query("k9_single_linkage")
+def k9(spark, d):
+    return sizes(K.single_linkage(pts(plane(spark, d)), 4))
+
+
+@query("k10_eps_estimate", f"""WITH {E_SQL}, {PAIRS}, {RANKED},
+  k AS (SELECT GREATEST(10, CAST(FLOOR(4 * LN(COUNT(*))) AS INT)) - 1 AS k FROM e)
+  SELECT ROUND(QUANTILE_CONT(dist, 0.9), 6) AS eps FROM r, k WHERE place = k""")
+def k10(spark, d):
+    return r6(K.estimate_eps(pts(labelled(spark, d))), "eps")
+
+
+@query("k11_bandwidth_estimate", f"""WITH {E_SQL}, {PAIRS}, {RANKED},
+  k AS (SELECT CAST(FLOOR(0.3 * COUNT(*)) AS INT) - 1 AS k FROM e)
+  SELECT ROUND(AVG(dist), 6) AS bandwidth FROM r, k WHERE place = k""")
+def k11(spark, d):
+    return r6(K.estimate_bandwidth(pts(labelled(spark, d))), "bandwidth")
+
+
+@query("k12_k_curve")
+def k12(spark, d):
+    from tessera.plans.cluster_flow import k_curve
+    p = pts(labelled(spark, d))
+    return k_curve(p, p, "KMeans", {"n_clusters": 2}, [2, 3, 4])
+
+
+@query("q8_gap")
+def q8(spark, d):
+    p = pts(plane(spark, d))
+    return spark.createDataFrame([(Q.gap_statistic(p, 3, refs=2),)], "gap double")
+
+
+@query("q9_stability")
+def q9(spark, d):
+    p = pts(plane(spark, d))
+    value = Q.stability(p, lambda s: K.kmeans(s, 3).labels, runs=3)
+    return spark.createDataFrame([(value,)], "stability double")
