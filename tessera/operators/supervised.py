@@ -256,7 +256,8 @@ def estimator(name: str, task: str, params: dict[str, Any], *, n: float, width:
                            rawPredictionCol="margin", predictionCol="margin_class", **w)
         if classes > 2:
             margin = OneVsRest(classifier=LinearSVC(
-                featuresCol="kernel_features", regParam=reg, maxIter=50, **w),
+                featuresCol="kernel_features", regParam=reg, maxIter=50,
+                rawPredictionCol="margin", **w),
                 featuresCol="kernel_features", rawPredictionCol="margin",
                 predictionCol="margin_class", **w)
         # Probabilities from the margin (Platt).
