@@ -8,7 +8,7 @@ from itertools import combinations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tessera.functions.ordered import unpivot
 
@@ -21,6 +21,14 @@ def _finite(value):
         value)
 
 
+def safe_corr(a: str, b: str, complete: bool = False) -> Column:
+    """Pearson over rows where both are present; null for a constant, where ``corr`` would fail."""
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    if not complete:
+        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def pearson(df: DataFrame, cols: Sequence[str], complete: bool = False) -> DataFrame:
     """Pearson for every pair i<j over rows where both are present.
 
@@ -41,7 +49,7 @@ def pearson(df: DataFrame, cols: Sequence[str], complete: bool = False) -> DataF
     parts = []
     for at in range(0, len(pairs), PAIR_AGGREGATES):
         chunk = pairs[at:at + PAIR_AGGREGATES]
-        wide = num.agg(*[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(chunk)])
+        wide = num.agg(*[safe_corr(a, b, complete).alias(f"p{i}") for i, (a, b) in enumerate(chunk)])
         cells = F.array(*[F.struct(F.lit(a).alias("col_i"), F.lit(b).alias("col_j"),
                                    F.lit("pearson").alias("method"),
                                    _finite(F.col(f"p{i}")).alias("value"))

@@ -113,15 +113,17 @@ def _chunked(df: DataFrame, own: list[int], other: list[int], mine: str, theirs:
 
 def block_join(queries: DataFrame, refs: DataFrame, kernel: Kernel, schema: str | T.StructType,
                radius: float | None = None, k: int | None = None, block: int = BLOCK_ROWS
-               ) -> tuple[DataFrame, bool]:
+               ) -> DataFrame:
     """Run ``kernel(query chunk, reference chunk)`` over all chunk pairs that can matter.
 
     Pass ``radius`` or ``k`` to leave out pairs that are provably farther apart; without either,
-    every pair is seen. The flag tells whether a query point met more than one reference chunk.
+    every pair is seen. A query point may meet several chunks: the caller combines its results.
     """
+    same = queries is refs
     # Fresh column identities: both sides may be filters of one table.
     refs = refs.select(*[F.col(c).alias(c) for c in refs.columns])
-    n_q, n_s = queries.count(), refs.count()
+    n_s = refs.count()
+    n_q = n_s if same else queries.count()
     cells = min(MAX_PIVOTS, -(-n_s // block))
     if cells > 1 and (radius is not None or k is not None):
         pivots = _pick_pivots(refs, cells)
@@ -165,7 +167,7 @@ def block_join(queries: DataFrame, refs: DataFrame, kernel: Kernel, schema: str
             return pd.DataFrame(columns=names or [c.split()[0] for c in schema.split(",")])
         return kernel(l, r)
 
-    return left.cogroup(right).applyInPandas(run, schema), max(s_chunks) > 1
+    return left.cogroup(right).applyInPandas(run, schema)
 
 
 def _key_field(df: DataFrame, name: str) -> T.StructField:
@@ -210,7 +212,7 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, skip_self: bool = False
             out[f"own_{keep}"] = l[keep].to_numpy()[i]
         return pd.DataFrame(out)
 
-    found, _ = block_join(queries, refs, kernel, T.StructType(fields),
+    found = block_join(queries, refs, kernel, T.StructType(fields),
                           k=k + 1 if skip_self else k, block=block)
     best = W.partitionBy("id").orderBy("dist", "nbr")
     return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
@@ -223,7 +225,7 @@ def neighbour_counts(df: DataFrame, radius: float, block: int = BLOCK_ROWS) -> D
         return pd.DataFrame({"id": l["id"].to_numpy(), "n": n.astype("int64")})
 
     schema = T.StructType([_key_field(df, "id"), T.StructField("n", T.LongType())])
-    part, _ = block_join(df, df, kernel, schema, radius=radius, block=block)
+    part = block_join(df, df, kernel, schema, radius=radius, block=block)
     return part.groupBy("id").agg(F.sum("n").alias("n"))
 
 
@@ -273,7 +275,7 @@ def radius_links(df: DataFrame, radius: float, by: str | None = None, block: int
         return out[out["u"] != out["v"]].drop_duplicates()
 
     schema = T.StructType([_key_field(df, "u"), _key_field(df, "v")])
-    links, _ = block_join(df, df, kernel, schema, radius=radius, block=block)
+    links = block_join(df, df, kernel, schema, radius=radius, block=block)
     return links
 
 
@@ -289,7 +291,7 @@ def smallest_within(queries: DataFrame, refs: DataFrame, radius: float, value: s
 
     schema = T.StructType([_key_field(queries, "id"),
                            T.StructField(value, refs.schema[value].dataType)])
-    part, _ = block_join(queries, refs, kernel, schema, radius=radius, block=block)
+    part = block_join(queries, refs, kernel, schema, radius=radius, block=block)
     return part.groupBy("id").agg(F.min(value).alias(value))
 
 
@@ -313,7 +315,7 @@ def distance_sums(df: DataFrame, group: str, block: int = BLOCK_ROWS) -> DataFra
                              group: np.repeat(l[group].to_numpy(), n),
                              "other": np.tile(names, len(l)), "total": total.ravel()})
 
-    part, _ = block_join(df, df, kernel, T.StructType(fields), block=block)
+    part = block_join(df, df, kernel, T.StructType(fields), block=block)
     return part.groupBy("id", group, "other").agg(F.sum("total").alias("total"))
 
 
@@ -334,6 +336,6 @@ def group_extremes(df: DataFrame, group: str, block: int = BLOCK_ROWS) -> DataFr
                 rows.append((g, o, float(cell.min()), float(cell.max())))
         return pd.DataFrame(rows, columns=["g", "other", "least", "most"])
 
-    part, _ = block_join(df, df, kernel, T.StructType(fields), block=block)
+    part = block_join(df, df, kernel, T.StructType(fields), block=block)
     return part.groupBy("g", "other").agg(F.min("least").alias("least"),
                                           F.max("most").alias("most"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from tessera.config import HASH_SLOTS
 from tessera.functions.ordered import (SMALL_ROWS, exact_quantiles, most_frequent, quantile_dict,
                                        split_by_hash, unpivot, with_prefix_sums)
+from tessera.operators.assoc import safe_corr
 
 BROADCAST_ROWS = 200_000
 """Largest encoding map sent to every executor; larger maps are joined by shuffle."""
@@ -320,13 +321,13 @@ def anova_f(df: DataFrame, label: str, cols: Sequence[str]) -> DataFrame:
     t = long.join(g, "feature").groupBy("feature").agg(
         F.sum(F.col("n") * dev * dev).alias("b"), F.sum("ss").alias("w"),
         F.count("*").alias("k"), F.sum("n").alias("n"))
-    return t.select("feature", F.try_divide(F.col("b") / (F.col("k") - 1),
-                                            F.col("w") / (F.col("n") - F.col("k"))).alias("f_score"))
+    return t.select("feature", F.try_divide(F.try_divide(F.col("b"), F.col("k") - 1),
+                                            F.try_divide(F.col("w"), F.col("n") - F.col("k"))).alias("f_score"))
 
 
 def regression_f(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
     """F of each feature's simple regression: r²/(1−r²)·(n−2)."""
-    row = df.agg(F.struct(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c)
+    row = df.agg(F.struct(*[safe_corr(c, target).alias(c)
                             for c in cols]).alias("r"), F.count(target).alias("n"))
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col("r")[c].alias("v")) for c in cols])
     r2 = F.col("v") * F.col("v")
@@ -348,7 +349,7 @@ def corrected_skew(df: DataFrame, col: str) -> DataFrame:
     """Bias-corrected skewness of one column as ``(n, skew)``."""
     n = F.count(col).cast("double")
     return df.agg(F.count(col).alias("n"),
-                  (F.skewness(col) * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"))
+                  F.try_divide(F.skewness(col) * F.sqrt(n * (n - 1)), n - 2).alias("skew"))
 
 
 def log_target(df: DataFrame, target: str, threshold: float = 1.0, out: str = "y"
@@ -356,7 +357,7 @@ def log_target(df: DataFrame, target: str, threshold: float = 1.0, out: str = "y
     """``out`` = log1p(target) when its skew passes the threshold, else the number itself."""
     num = df.withColumn(out, to_number(target)).where(F.col(out).isNotNull())
     n = F.count(out).cast("double")
-    row = num.agg((F.skewness(out) * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
+    row = num.agg(F.try_divide(F.skewness(out) * F.sqrt(n * (n - 1)), n - 2).alias("skew"),
                   F.min(out).alias("lowest")).first()
     if row["skew"] is not None and abs(row["skew"]) > threshold and row["lowest"] > -1:
         return num.withColumn(out, F.log1p(out)), "log1p"

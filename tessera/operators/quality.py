@@ -173,8 +173,8 @@ PURITY_NEIGHBOURS = 7
 
 def neighbour_table(p: DataFrame) -> DataFrame:
     """Neighbours of every point, written once, to be shared by many labellings of one view."""
-    return written(nearest(p.select("id", "vec"), p.select("id", "vec"), PURITY_NEIGHBOURS,
-                           skip_self=True), "neighbours")
+    bare = p.select("id", "vec")
+    return written(nearest(bare, bare, PURITY_NEIGHBOURS, skip_self=True), "neighbours")
 
 
 def _neighbours_of(p: DataFrame, table: DataFrame | None, k: int) -> DataFrame:
@@ -188,9 +188,9 @@ def _neighbours_of(p: DataFrame, table: DataFrame | None, k: int) -> DataFrame:
             .join(lab.select(F.col("id").alias("nbr"), "cluster"), "nbr"))
 
 
-def purity(p: DataFrame, table: DataFrame | None = None) -> DataFrame:
+def purity(p: DataFrame, table: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """One row ``(purity)``: share of the nearest neighbours in the point's own cluster."""
-    n = without_noise(p).count()
+    n = without_noise(p).count() if n is None else n
     k = min(PURITY_NEIGHBOURS + 1, n - 1) - 1
     if k < 1:
         return p.sparkSession.createDataFrame([(1.0,)], "purity double")
@@ -198,20 +198,23 @@ def purity(p: DataFrame, table: DataFrame | None = None) -> DataFrame:
         (F.col("cluster") == F.col("own_cluster")).cast("double")).alias("purity"))
 
 
-def connectivity(p: DataFrame, table: DataFrame | None = None) -> DataFrame:
+def link_radius(near: DataFrame) -> float:
+    """Three times the median distance to the nearest neighbour."""
+    row = exact_quantiles(near.where(F.col("place") == 1), ["dist"], [0.5]).first()
+    median = row["quantiles"][0] if row else 0.0
+    return 3.0 * (median if median > 1e-8 else 1e-4)
+
+
+def connectivity(p: DataFrame, radius: float | None = None) -> DataFrame:
     """One row ``(connectivity)``: mean over clusters of .85^(major components − 1).
 
     Points closer than three median neighbour distances are linked within their cluster; a
     component is major from 3 points and 5 % of the cluster.
     """
     good = without_noise(p)
-    if table is None:
-        near = nearest(good.select("id", "vec"), good.select("id", "vec"), 1, skip_self=True)
-    else:
-        near = table.where(F.col("place") == 1)
-    row = exact_quantiles(near, ["dist"], [0.5]).first()
-    median = row["quantiles"][0] if row else 0.0
-    radius = 3.0 * (median if median > 1e-8 else 1e-4)
+    if radius is None:
+        bare = good.select("id", "vec")
+        radius = link_radius(nearest(bare, bare, 1, skip_self=True))
     comp = connected_components(good.select("id"), radius_links(good, radius, by="cluster"))
     sizes = (good.select("id", "cluster").join(comp, "id").groupBy("cluster", "component")
              .agg(F.count("*").alias("n")))
@@ -256,10 +259,10 @@ def _ari(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     both = cells.groupBy(*by).agg(F.sum(_pairs(F.col("n"))).alias("sab"),
                                   F.sum("n").alias("common"))
     t = both.join(rows, by).join(cols, by)
-    expected = F.col("sa") * F.col("sb") / _pairs(F.col("common"))
+    expected = F.try_divide(F.col("sa") * F.col("sb"), _pairs(F.col("common")))
     top = (F.col("sa") + F.col("sb")) / 2
-    return t.select(*by, "common", F.when(top == expected, 1.0).otherwise(
-        (F.col("sab") - expected) / (top - expected)).alias("ari"))
+    return t.select(*by, "common", F.coalesce(F.try_divide(
+        F.col("sab") - expected, top - expected), F.lit(1.0)).alias("ari"))
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -389,11 +392,13 @@ class View:
     points: DataFrame
     length: float
     neighbours: DataFrame
+    radius: float
 
     @staticmethod
     def of(points: DataFrame) -> "View":
         points = points.select("id", "vec")
-        return View(points, view_range(points), neighbour_table(points))
+        near = neighbour_table(points)
+        return View(points, view_range(points), near, link_radius(near))
 
 
 def measures(p: DataFrame, view: View | None = None, stability_value: float = 0.0,
@@ -415,14 +420,16 @@ def measures(p: DataFrame, view: View | None = None, stability_value: float = 0.
     if len(counts) < 2 or out["noise_ratio"] > 0.5:
         return out
     m = moments(p)
-    shared = view.neighbours if view is not None and noise == 0 else None
+    shared = view if noise == 0 else None  # neighbours change when noise is left out
+    if method == "auto":
+        method = "euclidean" if good <= EXACT_ROWS else "squared"
     sil = silhouette(p, method, m).first()
     out.update(
         silhouette=float(sil["silhouette"]), silhouette_method=sil["method"],
         dbi=davies_bouldin(p, m), ch=calinski_harabasz(m),
-        purity=float(purity(p, shared).first()[0]),
+        purity=float(purity(p, shared and shared.neighbours, good).first()[0]),
         separation=separation(m, view.length if view else view_range(p)),
-        connectivity=float(connectivity(p, shared).first()[0]))
+        connectivity=float(connectivity(p, shared and shared.radius).first()[0]))
     return out
 
 

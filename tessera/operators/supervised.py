@@ -17,6 +17,7 @@ from pyspark.ml import Estimator, Model, Pipeline, Transformer
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, NaiveBayes, OneVsRest,
                                        RandomForestClassifier)
+from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasInputCol, HasOutputCol
@@ -138,6 +139,23 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParam
             cosines(vector_to_array(self.getInputCol()))))
 
 
+class LabelScale(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Adds ``scaled_label`` where there is a label: robust losses expect a label of unit scale."""
+
+    sd = Param(Params._dummy(), "sd", "deviation of the label", TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, *, sd: float = 1.0):
+        super().__init__()
+        self._set(**self._input_kwargs)
+        self._setDefault(sd=1.0)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        if "label" not in dataset.columns:
+            return dataset
+        return dataset.withColumn("scaled_label", F.col("label") / self.getOrDefault("sd"))
+
+
 # ---------------------------------------------------------------- estimators by name
 
 def default_params(name: str, task: str) -> dict[str, Any]:
@@ -250,8 +268,13 @@ def estimator(name: str, task: str, params: dict[str, Any], *, n: float, width:
         kernel = RandomFourierFeatures(gamma=gamma, size=min(512, max(64, 8 * width)), seed=seed)
         reg = 1.0 / (params.get("C", 1.0) * n)
         if name == "SVR":
-            return Pipeline(stages=[kernel, LinearRegression(
-                featuresCol="kernel_features", loss="huber", regParam=reg)])
+            sd = float(label_sd) or 1.0
+            return Pipeline(stages=[
+                kernel, LabelScale(sd=sd),
+                LinearRegression(featuresCol="kernel_features", labelCol="scaled_label",
+                                 predictionCol="scaled_prediction", loss="huber", regParam=reg),
+                SQLTransformer(statement=f"SELECT *, scaled_prediction * {sd!r} AS prediction "
+                                         "FROM __THIS__")])
         margin = LinearSVC(featuresCol="kernel_features", regParam=reg, maxIter=50,
                            rawPredictionCol="margin", predictionCol="margin_class", **w)
         if classes > 2:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import importlib
 
 MODULES = ["cleaning_queries", "feature_queries", "association_queries", "metric_queries",
-           "registry_queries", "cluster_queries", "stream_queries"]
+           "registry_queries", "cluster_queries", "stream_queries",
+           "model_queries"]
 
 
 def _load() -> None:

@@ -66,30 +66,26 @@ def _events_stream(spark, d):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
 
 
-def _drain(spark, stream: DataFrame) -> DataFrame:
-    sink = new_path(spark, "stream")
-    P.run_available(stream, sink, new_path(spark, "stream-state"))
-    return spark.read.parquet(sink)
-
-
 @query("w1_latest_progress_stream", f"WITH {PROG} {LAST}")
 def w1_stream(spark, d):
-    out = _drain(spark, P.stream_latest_progress(progress(_events_stream(spark, d))))
-    # Later micro-batches replace earlier ones.
-    last = out.groupBy("training_id").agg(F.max_by(F.struct("step", "step_index", "model_name"),
-                                                   "batch").alias("s"))
-    return last.select("training_id", "s.*")
+    sink = new_path(spark, "stream")
+    P.run_available(P.stream_latest_progress(progress(_events_stream(spark, d))), sink,
+                    new_path(spark, "stream-state"))
+    return P.read_latest(spark, sink, "training_id").drop("ts")
 
 
 @query("w2_progress_feed_stream", f"WITH {PROG} {FEED}")
 def w2_stream(spark, d):
-    return _drain(spark, P.stream_feed(progress(_events_stream(spark, d)))).drop("ts", "batch")
+    sink = new_path(spark, "stream")
+    P.run_feed(progress(_events_stream(spark, d)), sink, new_path(spark, "stream-state"))
+    return spark.read.parquet(sink).drop("ts", "batch")
 
 
 @query("w3_active_datasets_stream", """SELECT 'u' || user_id AS user_id,
   event_type || '/' || props AS files_key, event_type AS filename FROM (
     SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events) WHERE rn = 1""")
 def w3_stream(spark, d):
-    out = _drain(spark, P.stream_active_datasets(datasets(_events_stream(spark, d))))
-    return out.groupBy("user_id").agg(F.max_by(F.struct("files_key", "filename"), "batch")
-                                      .alias("s")).select("user_id", "s.*")
+    sink = new_path(spark, "stream")
+    P.run_available(P.stream_active_datasets(datasets(_events_stream(spark, d))), sink,
+                    new_path(spark, "stream-state"))
+    return P.read_latest(spark, sink, "user_id").drop("ts")

@@ -1,27 +1,22 @@
-"""Progress of runs and the active dataset of each user: keyed state with expiry.
+"""Progress of runs and the active dataset of each user, in batch and as streams.
 
-The same answers exist in batch form. The streaming forms keep one small value per key in the
-RocksDB state store, which drops it when its time to live has passed.
+The streaming forms are ordinary grouped aggregates and joins, so a busy key is combined before
+the shuffle like any other and no Python runs per row. Expiry is the watermark's work: state for
+a time window is dropped when nothing newer than its time to live can still change it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.config import ACTIVE_DATASET_TTL, PROGRESS_TTL
 
-PROGRESS = "training_id long, step string, step_index int, model_name string, ts timestamp"
-DATASET = "user_id string, files_key string, filename string, ts timestamp"
 LAST_STEP = 6
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
+    """Keep streaming state on local disk instead of the heap; it is backed up per micro-batch."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
@@ -50,106 +45,93 @@ def active_datasets(df: DataFrame, now: Column | None = None) -> DataFrame:
 
 def feed(df: DataFrame) -> DataFrame:
     """Events of each run up to and including its first final step."""
-    end = df.where(F.col("step_index") == LAST_STEP).groupBy("training_id").agg(
-        F.min("ts").alias("_end"))
-    return (df.join(end, "training_id", "left")
-            .where(F.col("_end").isNull() | (F.col("ts") <= F.col("_end"))).drop("_end"))
+    return _until(df, _ends(df))
+
+
+def _ends(df: DataFrame) -> DataFrame:
+    return df.where(F.col("step_index") == LAST_STEP).groupBy("training_id").agg(
+        F.min("ts").alias("end"))
+
+
+def _until(df: DataFrame, ends: DataFrame) -> DataFrame:
+    return (df.join(ends, "training_id", "left")
+            .where(F.col("end").isNull() | (F.col("ts") <= F.col("end"))).drop("end"))
 
 
 # ---------------------------------------------------------------- streaming forms
 
-class _Latest(StatefulProcessor):
-    """Keeps the newest row per key; older rows that arrive late are ignored."""
-
-    def __init__(self, key: str, schema: str, ttl_ms: int):
-        self.key, self.schema, self.ttl_ms = key, schema, ttl_ms
-        self.names = [f.split()[0] for f in schema.split(", ")]
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("latest", self.schema, self.ttl_ms)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
-                        ) -> Iterator[pd.DataFrame]:
-        best = None
-        for pdf in rows:
-            top = pdf.loc[pdf["ts"].idxmax()]
-            if best is None or top["ts"] > best["ts"]:
-                best = top
-        if best is None:
-            return
-        old = self.state.get() if self.state.exists() else None
-        if old is not None and pd.Timestamp(old[self.names.index("ts")]) > best["ts"]:
-            return
-        values = [None if pd.isna(best[n]) else best[n] for n in self.names]
-        values[self.names.index("ts")] = best["ts"].to_pydatetime()
-        self.state.update(tuple(int(v) if n == "step_index" else v
-                                for n, v in zip(self.names, values)))
-        yield pd.DataFrame({self.key: [key[0]], **{n: [v] for n, v in zip(self.names, values)}})
-
-    def close(self) -> None:
-        pass
-
-
-class _UntilDone(StatefulProcessor):
-    """Passes rows on until the final step of the key has been seen."""
-
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.end = handle.getValueState("end", "ts timestamp", self.ttl_ms)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
-                        ) -> Iterator[pd.DataFrame]:
-        end = pd.Timestamp(self.end.get()[0]) if self.end.exists() else None
-        held = []
-        for pdf in rows:
-            done = pdf.loc[pdf["step_index"] == LAST_STEP, "ts"]
-            if len(done) and (end is None or done.min() < end):
-                end = done.min()
-                self.end.update((end.to_pydatetime(),))
-            held.append(pdf if end is None else pdf[pdf["ts"] <= end])
-        for pdf in held:
-            out = pdf if end is None else pdf[pdf["ts"] <= end]
-            if len(out):
-                yield out
-
-    def close(self) -> None:
-        pass
+def _stream_latest(stream: DataFrame, key: str, values: list[str], ttl: int) -> DataFrame:
+    """Update stream of the newest values per key and time window of length ``ttl``.
+
+    The newest row of a key is the one in its newest window. A window's state goes when the
+    watermark, ``ttl`` behind the newest event, has passed it.
+    """
+    use_rocksdb(stream.sparkSession)
+    return (stream.withWatermark("ts", f"{ttl} seconds")
+            .groupBy(key, F.window("ts", f"{ttl} seconds"))
+            .agg(F.max_by(F.struct(*values), "ts").alias("s"), F.max("ts").alias("latest"))
+            .select(key, "s.*", F.col("latest").alias("ts")))
 
 
 def stream_latest_progress(stream: DataFrame) -> DataFrame:
-    """Update stream of the newest progress per run; state lives two hours."""
-    use_rocksdb(stream.sparkSession)
-    return stream.groupBy("training_id").transformWithStateInPandas(
-        _Latest("training_id", "step string, step_index int, model_name string, ts timestamp",
-                PROGRESS_TTL * 1000),
-        outputStructType=PROGRESS, outputMode="Update", timeMode="ProcessingTime")
+    return _stream_latest(stream, "training_id", ["step", "step_index", "model_name"],
+                          PROGRESS_TTL)
 
 
 def stream_active_datasets(stream: DataFrame) -> DataFrame:
-    """Update stream of the newest dataset per user; state lives fifteen minutes."""
-    use_rocksdb(stream.sparkSession)
-    return stream.groupBy("user_id").transformWithStateInPandas(
-        _Latest("user_id", "files_key string, filename string, ts timestamp",
-                ACTIVE_DATASET_TTL * 1000),
-        outputStructType=DATASET, outputMode="Update", timeMode="ProcessingTime")
+    return _stream_latest(stream, "user_id", ["files_key", "filename"], ACTIVE_DATASET_TTL)
 
 
-def stream_feed(stream: DataFrame) -> DataFrame:
-    """Stream of progress events that stops for a run at its final step."""
-    use_rocksdb(stream.sparkSession)
-    cols = [f.split()[0] for f in PROGRESS.split(", ")]
-    return stream.select(*cols).groupBy("training_id").transformWithStateInPandas(
-        _UntilDone(PROGRESS_TTL * 1000), outputStructType=PROGRESS, outputMode="Update",
-        timeMode="ProcessingTime")
+def run_available(stream: DataFrame, sink: str, checkpoint: str, once: bool = True):
+    """Write an update stream batch by batch; a repeated batch replaces its own folder.
 
-
-def run_available(stream: DataFrame, sink: str, checkpoint: str) -> None:
-    """Process what is there now; each micro-batch is written whole under its number."""
+    With ``once`` the rows that are there are processed and the query ends; otherwise the running
+    query is returned.
+    """
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    query = (stream.writeStream.outputMode("update").foreachBatch(write)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return _start(stream.writeStream.outputMode("update").foreachBatch(write), checkpoint, once)
+
+
+def run_feed(stream: DataFrame, sink: str, checkpoint: str, once: bool = True):
+    """Write progress events, ending each run's events at its first final step.
+
+    The times of final steps are a small table written per micro-batch: batch n reads the table
+    of batch n−1, so a repeated batch gives the same result. Entries expire with the progress.
+    """
+    state = f"{checkpoint}-ends"
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        ends = _ends(batch)
+        if number:
+            old = spark.read.parquet(f"{state}/{number - 1}")
+            first = batch.agg(F.min("ts")).first()[0]
+            if first is not None:
+                old = old.where(F.col("end") > F.lit(first) - F.make_interval(
+                    secs=F.lit(PROGRESS_TTL)))
+            ends = ends.unionByName(old)
+        ends.groupBy("training_id").agg(F.min("end").alias("end")).write.mode(
+            "overwrite").parquet(f"{state}/{number}")
+        _until(batch, spark.read.parquet(f"{state}/{number}")).write.mode("overwrite").parquet(
+            f"{sink}/batch={number}")
+
+    return _start(stream.writeStream.outputMode("append").foreachBatch(write), checkpoint, once)
+
+
+def _start(writer, checkpoint: str, once: bool):
+    writer = writer.option("checkpointLocation", checkpoint)
+    if not once:
+        return writer.start()
+    query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
+    return query
+
+
+def read_latest(spark: SparkSession, sink: str, key: str) -> DataFrame:
+    """Newest row per key of what an update stream has written."""
+    rows = spark.read.parquet(sink)
+    values = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*values), F.struct("ts", "batch"))
+                                 .alias("s")).select(key, "s.*")
