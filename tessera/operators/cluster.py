@@ -13,7 +13,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -128,55 +128,64 @@ def lloyd_step(p: DataFrame, centres: np.ndarray) -> DataFrame:
             .select("cluster", "n", vector_to_array("m").alias("centre")))
 
 
-def gaussian_mixture(p: DataFrame, k: int, covariance: str = "full", seed: int = 42,
-                     max_iter: int = 100, tol: float = 1e-3) -> Fit:
-    params = {"n_components": k, "covariance_type": covariance}
-    if covariance == "full":
-        model = GaussianMixture(k=k, seed=seed, maxIter=max_iter, tol=tol).fit(_vectors(p))
-        return Fit("GaussianMixture", params, _from_model(model, p), model)
-    return _diagonal_mixture(p, k, seed, max_iter, tol, params)
-
+def _log_density(x: np.ndarray, w: np.ndarray, mu: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """Log of weight × density per component; ``cov`` is k×d (diagonal) or k×d×d (full)."""
+    out = np.empty((len(x), len(w)))
+    for j in range(len(w)):
+        if cov.ndim == 2:
+            quad, logdet = ((x - mu[j]) ** 2 / cov[j]).sum(1), np.log(cov[j]).sum()
+        else:
+            root = np.linalg.cholesky(cov[j])
+            quad = (np.linalg.solve(root, (x - mu[j]).T) ** 2).sum(0)
+            logdet = 2 * np.log(np.diag(root)).sum()
+        out[:, j] = np.log(w[j]) - 0.5 * (quad + logdet + x.shape[1] * np.log(2 * np.pi))
+    return out
 
-def _log_density(x: np.ndarray, w: np.ndarray, mu: np.ndarray, var: np.ndarray) -> np.ndarray:
-    quad = ((x[:, None, :] - mu[None]) ** 2 / var[None]).sum(-1)
-    return np.log(w)[None] - 0.5 * (quad + np.log(2 * np.pi * var).sum(1)[None])
 
-
-def _diagonal_mixture(p: DataFrame, k: int, seed: int, max_iter: int, tol: float, params: dict
-                      ) -> Fit:
-    """EM with diagonal covariances: each task sums its own rows, only k × d sums travel."""
-    start = moments(p.join(kmeans(p, k, seed).labels, "id"))
-    n = start.total
-    w, mu, var = start.n / n, start.mean, start.ss / start.n[:, None] + 1e-6
+def gaussian_mixture(p: DataFrame, k: int, covariance: str = "full", seed: int = 42,
+                     max_iter: int = 100, tol: float = 1e-3) -> Fit:
+    """EM from a k-means start. Each task sums its own rows, so that only the component sums
+    travel: k·d numbers for diagonal covariances, k·d² for full ones."""
+    full = covariance == "full"
+    labels = written(kmeans(p, k, seed).labels, "start")
+    start = moments(p.join(labels, "id"))
+    n, (k, d) = start.total, start.mean.shape
+    w, mu = start.n / n, start.mean
+    cov = start.ss / start.n[:, None] + 1e-6
+    if full:
+        cov = np.stack([np.diag(c) for c in cov])
     last = -np.inf
     for _ in range(max_iter):
-        def sums(batches, w=w, mu=mu, var=var):
-            r, sx, sxx, ll = np.zeros(len(w)), np.zeros(mu.shape), np.zeros(mu.shape), 0.0
+        def sums(batches, w=w, mu=mu, cov=cov):
+            r, sx, sxx, ll = np.zeros(k), np.zeros((k, d)), np.zeros(cov.shape), 0.0
             for pdf in batches:
                 if not len(pdf):
                     continue
                 x = np.stack(pdf["vec"].to_numpy()).astype(float)
-                lp = _log_density(x, w, mu, var)
+                lp = _log_density(x, w, mu, cov)
                 top = lp.max(1, keepdims=True)
                 norm = top + np.log(np.exp(lp - top).sum(1, keepdims=True))
                 resp = np.exp(lp - norm)
                 ll += float(norm.sum())
                 r += resp.sum(0)
                 sx += resp.T @ x
-                sxx += resp.T @ (x * x)
-            j, i = np.indices(mu.shape)
-            yield pd.DataFrame({"j": j.ravel(), "i": i.ravel(), "r": np.repeat(r, mu.shape[1]),
-                                "sx": sx.ravel(), "sxx": sxx.ravel(), "ll": ll})
-
-        t = (p.select("vec").mapInPandas(sums, "j int, i int, r double, sx double, sxx double, "
-                                               "ll double")
-             .groupBy("j", "i").agg(*[F.sum(c).alias(c) for c in ("r", "sx", "sxx", "ll")])
-             .orderBy("j", "i").toPandas())
-        r = t["r"].to_numpy().reshape(mu.shape) + 1e-12
-        mu = t["sx"].to_numpy().reshape(mu.shape) / r
-        var = np.maximum(t["sxx"].to_numpy().reshape(mu.shape) / r - mu ** 2, 0) + 1e-6
-        w = r[:, 0] / n
-        ll = float(t["ll"].iloc[0]) / n
+                for j in range(k):
+                    y = x - mu[j]
+                    sxx[j] += (resp[:, j:j + 1] * y).T @ y if full else resp[:, j] @ (y * y)
+            flat = np.concatenate([[ll], r, sx.ravel(), sxx.ravel()])
+            yield pd.DataFrame({"i": np.arange(len(flat)), "v": flat})
+
+        got = p.select("vec").mapInPandas(sums, "i int, v double").groupBy("i").agg(
+            F.sum("v").alias("v")).orderBy("i").toPandas()["v"].to_numpy()
+        ll, r = got[0] / n, got[1:1 + k] + 1e-12
+        new = got[1 + k:1 + k + k * d].reshape(k, d) / r[:, None]
+        sxx = got[1 + k + k * d:].reshape(cov.shape)
+        step = new - mu  # the sums are around the old means
+        if full:
+            cov = sxx / r[:, None, None] - step[:, :, None] * step[:, None, :] + 1e-6 * np.eye(d)
+        else:
+            cov = np.maximum(sxx / r[:, None] - step ** 2, 0) + 1e-6
+        mu, w = new, r / n
         if ll - last < tol:
             break
         last = ll
@@ -187,10 +196,11 @@ def _diagonal_mixture(p: DataFrame, k: int, seed: int, max_iter: int, tol: float
             if len(pdf):
                 x = np.stack(pdf["vec"].to_numpy()).astype(float)
                 yield pd.DataFrame({"id": pdf["id"], "cluster": _log_density(
-                    x, w, mu, var).argmax(1).astype("int32")})
+                    x, w, mu, cov).argmax(1).astype("int32")})
 
-    return Fit("GaussianMixture", params, renumber(p.select("id", "vec").mapInPandas(
-        label, schema)), info={"weights": w, "means": mu, "variances": var})
+    return Fit("GaussianMixture", {"n_components": k, "covariance_type": covariance},
+               renumber(p.select("id", "vec").mapInPandas(label, schema)),
+               info={"weights": w, "means": mu, "covariances": cov})
 
 
 def micro_clusters(p: DataFrame, threshold: float) -> DataFrame:

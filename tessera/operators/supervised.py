@@ -276,16 +276,16 @@ def estimator(name: str, task: str, params: dict[str, Any], *, n: float, width:
                 SQLTransformer(statement=f"SELECT *, scaled_prediction * {sd!r} AS prediction "
                                          "FROM __THIS__")])
         margin = LinearSVC(featuresCol="kernel_features", regParam=reg, maxIter=50,
-                           rawPredictionCol="margin", predictionCol="margin_class", **w)
+                           predictionCol="margin_class", **w)
         if classes > 2:
             margin = OneVsRest(classifier=LinearSVC(
-                featuresCol="kernel_features", regParam=reg, maxIter=50,
-                rawPredictionCol="margin", **w),
-                featuresCol="kernel_features", rawPredictionCol="margin",
+                featuresCol="kernel_features", regParam=reg, maxIter=50, **w),
+                featuresCol="kernel_features", rawPredictionCol="rawPrediction",
                 predictionCol="margin_class", **w)
-        # Probabilities from the margin (Platt).
+        # Probabilities from the margins (Platt). The margins keep the default column name: a
+        # loaded one-vs-rest model does not remember another.
         return Pipeline(stages=[kernel, margin, LogisticRegression(
-            featuresCol="margin", rawPredictionCol="platt", maxIter=100)])
+            featuresCol="rawPrediction", rawPredictionCol="platt", maxIter=100)])
     if name == "RandomForest":
         cls = RandomForestClassifier if task == "classification" else RandomForestRegressor
         return cls(numTrees=int(params.get("n_estimators", 100)), maxDepth=depth,
@@ -304,7 +304,7 @@ def estimator(name: str, task: str, params: dict[str, Any], *, n: float, width:
 
 def scores_array(predicted: DataFrame):
     """The per-class scores of a prediction table as an array column."""
-    for c in ("probability", "rawPrediction", "margin"):
+    for c in ("probability", "rawPrediction"):
         if c in predicted.columns:
             return vector_to_array(F.col(c))
     return None
