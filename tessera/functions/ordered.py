@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from tessera.session import written
 
-SMALL_ROWS = 100_000
+SMALL_ROWS = 1_000_000
 """Tables up to this many rows may be ordered in one task."""
 
 PERCENTILE_VALUES = 1_000_000
@@ -97,9 +97,11 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     keys = [*by, "column"]
     long = unpivot(df, cols, by, cast="double").where(
         F.col("value").isNotNull() & ~F.isnan("value"))
-    sizes = long.groupBy(*keys).agg(F.count("*").alias("n"),
-                                    F.approx_count_distinct("value", 0.02).alias("d"))
-    big = [r for r in sizes.where((F.col("n") > limit) & (F.col("d") > 0.9 * limit)).collect()]
+    big = []
+    if df.count() > limit:
+        sizes = long.groupBy(*keys).agg(F.count("*").alias("n"),
+                                        F.approx_count_distinct("value", 0.02).alias("d"))
+        big = sizes.where((F.col("n") > limit) & (F.col("d") > 0.9 * limit)).collect()
     direct = long.groupBy(*keys).agg(
         F.percentile("value", F.array(*map(F.lit, probs))).alias("quantiles"))
     if not big:
@@ -191,25 +193,34 @@ def most_frequent(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
         F.min_by("value", F.struct(-F.col("count"), F.col("value"))).alias("value"))
 
 
+def _hashed(df: DataFrame, key: Sequence[str], seed: int, bits: int) -> DataFrame:
+    """Add ``_h``, a seeded hash of the key, and ``_p``, its leading bits."""
+    h = F.xxhash64(F.lit(seed), *[F.col(k) for k in key])
+    return df.withColumn("_h", h).withColumn(
+        "_p", F.shiftrightunsigned(F.col("_h"), 64 - bits).cast("int"))
+
+
+def hash_histogram(df: DataFrame, stratum: str, key: Sequence[str], seed: int, bits: int = 12
+                   ) -> DataFrame:
+    """``(stratum, _p, n)``: rows per stratum and hash prefix, at most 2**bits rows a stratum."""
+    return _hashed(df, key, seed, bits).groupBy(stratum, "_p").agg(F.count("*").alias("n"))
+
+
 def split_by_hash(df: DataFrame, stratum: str, key: Sequence[str], takes: DataFrame, seed: int,
-                  flag: str = "selected", bits: int = 12, few_strata: bool = False) -> DataFrame:
+                  histogram: DataFrame, flag: str = "selected", bits: int = 12,
+                  few_strata: bool = False) -> DataFrame:
     """Flag exactly ``take`` rows of each stratum, in the order of a seeded hash of ``key``.
 
-    ``takes`` has ``(stratum, take)``. A histogram over hash prefixes finds the prefix where the
+    ``takes`` has ``(stratum, take)``. The histogram over hash prefixes finds the prefix where the
     quota ends; only rows with that prefix (about 1 in 2**bits of a stratum) are ordered to find
     the cut, and the flag itself is a map-side comparison. No stratum is ever sorted whole.
     ``few_strata`` is for callers that have checked that one row per stratum may be broadcast.
     """
     small = F.broadcast if few_strata else (lambda d: d)
-    h = F.xxhash64(F.lit(seed), *[F.col(k) for k in key])
     k = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in key])
-    hashed = df.withColumn("_h", h).withColumn("_p", F.shiftrightunsigned(F.col("_h"), 64 - bits)
-                                               .cast("int"))
-    # Unsigned prefix first: order rows by (_p, _h) consistently.
-    cum = W.partitionBy(stratum).orderBy("_p")
-    hist = hashed.groupBy(stratum, "_p").agg(F.count("*").alias("n")).withColumn(
-        "upto", F.sum("n").over(cum))
-    edge = (hist.join(small(takes), stratum)
+    hashed = _hashed(df, key, seed, bits)
+    upto = F.sum("n").over(W.partitionBy(stratum).orderBy("_p"))
+    edge = (histogram.withColumn("upto", upto).join(small(takes), stratum)
             .where((F.col("upto") - F.col("n") < F.col("take")) & (F.col("upto") >= F.col("take")))
             .select(stratum, F.col("_p").alias("_edge"),
                     (F.col("take") - F.col("upto") + F.col("n")).alias("_left")))

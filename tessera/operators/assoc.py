@@ -14,6 +14,11 @@ from tessera.functions.ordered import unpivot
 
 MATRIX = "col_i string, col_j string, method string, value double"
 PAIR_AGGREGATES = 400
+"""Pairs per aggregate; more are done in further passes."""
+
+GRAM_PAIRS = 30
+"""From this many pairs a table without nulls takes one Gram matrix instead of pair aggregates."""
+
 
 
 def _finite(value):
@@ -32,14 +37,14 @@ def safe_corr(a: str, b: str, complete: bool = False) -> Column:
 def pearson(df: DataFrame, cols: Sequence[str], complete: bool = False) -> DataFrame:
     """Pearson for every pair i<j over rows where both are present.
 
-    All pairs go into one aggregate. For a table known to be without nulls and too wide for that,
-    the matrix comes from one distributed Gram matrix instead.
+    All pairs go into one aggregate. For a wider table known to be without nulls the matrix comes
+    from one distributed Gram matrix, whose size depends on the columns only.
     """
     spark = df.sparkSession
     pairs = list(combinations(cols, 2))
     if not pairs:
         return spark.createDataFrame([], MATRIX)
-    if complete and len(pairs) > PAIR_AGGREGATES:
+    if complete and len(pairs) > GRAM_PAIRS:
         vec = VectorAssembler(inputCols=list(cols), outputCol="v").transform(df.select(*cols))
         m = Correlation.corr(vec, "v").first()[0].toArray()
         pos = {c: i for i, c in enumerate(cols)}

@@ -8,13 +8,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tessera.config import HASH_SLOTS
-from tessera.functions.ordered import (SMALL_ROWS, exact_quantiles, most_frequent, quantile_dict,
-                                       split_by_hash, unpivot, with_prefix_sums)
+from tessera.functions.ordered import (SMALL_ROWS, exact_quantiles, hash_histogram, most_frequent,
+                                       quantile_dict, split_by_hash, unpivot, with_prefix_sums)
 from tessera.operators.assoc import safe_corr
+from tessera.session import written
 
 BROADCAST_ROWS = 200_000
 """Largest encoding map sent to every executor; larger maps are joined by shuffle."""
@@ -162,15 +164,20 @@ def hash_slots(df: DataFrame, cols: Sequence[str], out: str = "hashed", slots: i
                signed: bool = True) -> DataFrame:
     """Hash the text of ``cols`` into ``slots`` counts. Tokens are values only, so equal values of
     different columns share a slot; with ``signed`` a hash bit gives each token its sign."""
-    h = [F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("nan"))) for c in cols]
-    slot = [F.pmod(x, F.lit(slots)) for x in h]
-    sign = [F.when(F.shiftrightunsigned(x, 63) == 1, -1.0).otherwise(1.0) if signed else F.lit(1.0)
-            for x in h]
-    pairs = F.array(*[F.struct(s.alias("s"), g.alias("g")) for s, g in zip(slot, sign)])
-    vec = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long")),
-                      lambda i: F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.when(
-                          p["s"] == i, p["g"]).otherwise(0.0)))
-    return df.withColumn(out, vec)
+    tokens = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in cols])
+
+    def counted(d: DataFrame, keep: Column, name: str) -> DataFrame:
+        return HashingTF(numFeatures=slots, inputCol=f"_t{name}", outputCol=name).transform(
+            d.withColumn(f"_t{name}", keep))
+
+    if not signed:
+        vec = vector_to_array("_up")
+        return counted(df, tokens, "_up").withColumn(out, vec).select(*df.columns, out)
+    up = F.filter(tokens, lambda t: F.xxhash64(t) >= 0)
+    down = F.filter(tokens, lambda t: F.xxhash64(t) < 0)
+    both = counted(counted(df, up, "_up"), down, "_down")
+    return both.withColumn(out, F.zip_with(vector_to_array("_up"), vector_to_array("_down"),
+                                           lambda a, b: a - b)).select(*df.columns, out)
 
 
 def target_codes(df: DataFrame, target: str) -> DataFrame:
@@ -399,13 +406,14 @@ def allocate_test_rows(counts: dict, test_size: float) -> dict:
 def stratified_split(df: DataFrame, stratum: str, key: Sequence[str], test_size: float = 0.25,
                      seed: int = 42, flag: str = "is_test") -> DataFrame:
     """Flag a test part with exact counts per stratum; independent of partitioning."""
-    counted = df.groupBy(stratum).count().limit(STRATA_LIMIT + 1).collect()
+    hist = written(hash_histogram(df, stratum, key, seed), "histogram")
+    counted = hist.groupBy(stratum).agg(F.sum("n").alias("n")).limit(STRATA_LIMIT + 1).collect()
     if len(counted) > STRATA_LIMIT:
         raise ValueError(f"more than {STRATA_LIMIT} strata: stratify on a coarser column")
-    takes = allocate_test_rows({r[stratum]: r["count"] for r in counted}, test_size)
+    takes = allocate_test_rows({r[stratum]: r["n"] for r in counted}, test_size)
     schema = T.StructType([df.schema[stratum], T.StructField("take", T.LongType())])
     table = df.sparkSession.createDataFrame([(s, t) for s, t in takes.items()], schema)
-    return split_by_hash(df, stratum, key, table, seed, flag, few_strata=True)
+    return split_by_hash(df, stratum, key, table, seed, hist, flag, few_strata=True)
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

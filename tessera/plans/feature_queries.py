@@ -8,6 +8,7 @@ from tessera.functions.ordered import most_frequent
 from tessera.operators import features as X
 from tessera.operators.clean import with_row_key
 from tessera.plans.catalog import query, table
+from tessera.session import written
 
 
 def gaps(spark, d):
@@ -247,8 +248,8 @@ def f17(spark, d):
   SELECT s AS l_returnflag, CAST(f + CASE WHEN place <= short THEN 1 ELSE 0 END AS BIGINT) AS n_train,
          CAST(n - f - CASE WHEN place <= short THEN 1 ELSE 0 END AS BIGINT) AS n_test FROM low""")
 def f18(spark, d):
-    li = table(spark, d, "lineitem")
-    split = X.stratified_split(with_row_key(li), "l_returnflag", ["_rid"])
+    keyed = written(with_row_key(table(spark, d, "lineitem")), "keyed")
+    split = X.stratified_split(keyed, "l_returnflag", ["_rid"])
     return split.groupBy("l_returnflag").agg(F.count_if(~F.col("is_test")).alias("n_train"),
                                              F.count_if("is_test").alias("n_test"))
 

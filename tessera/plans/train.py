@@ -93,6 +93,7 @@ def prepare(df: DataFrame, target: str, task: str, config: ClassificationConfig
         stratum = "stratum"
     keyed = keyed.select(ROW_KEY, "label", *([stratum] if stratum != "label" else []), *[
         F.col(f"`{c}`").cast("double").alias(c) for c in features])
+    keyed = written(keyed, "keyed")
     split = X.stratified_split(keyed, stratum, [ROW_KEY], config.test_size, config.seed)
     split = written(split.withColumn("fold", F.pmod(F.xxhash64(
         F.lit(config.seed + 1), ROW_KEY), F.lit(config.cv_folds)).cast("int")), "split")

@@ -54,6 +54,7 @@ def test_wide_pearson_equals_pairwise(spark, monkeypatch):
     df = spark.createDataFrame(pd.DataFrame(rng.normal(size=(100, 5)), columns=list("abcde")))
     one = {(r[0], r[1]): r[3] for r in A.pearson(df, list("abcde")).collect()}
     monkeypatch.setattr(A, "PAIR_AGGREGATES", 3)
+    monkeypatch.setattr(A, "GRAM_PAIRS", 3)
     two = {(r[0], r[1]): r[3] for r in A.pearson(df, list("abcde"), complete=True).collect()}
     three = {(r[0], r[1]): r[3] for r in A.pearson(df, list("abcde")).collect()}
     assert one.keys() == two.keys() == three.keys()
