@@ -51,6 +51,8 @@ def with_prefix_sums(df: DataFrame, order: str, sums: dict[str, str], by: Sequen
         n, cuts = _cuts(df, order, buckets)
         if n <= SMALL_ROWS:
             cuts = []
+        else:
+            df = written(df, "ordered")  # read by the windows and by the range totals
         # Binary search as a nested condition: log2(buckets) comparisons a row.
         def locate(lo: int, hi: int) -> Column:
             if lo == hi:
@@ -85,20 +87,22 @@ def with_prefix_sums(df: DataFrame, order: str, sums: dict[str, str], by: Sequen
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    by: Sequence[str] = (), limit: int = PERCENTILE_VALUES) -> DataFrame:
+                    by: Sequence[str] = (), limit: int = PERCENTILE_VALUES,
+                    rows: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles as ``(by…, column, quantiles array<double>)``.
 
     ``percentile`` keeps every distinct value of a group in one buffer, so it is used only where
     that count is at most ``limit``. Larger groups are narrowed first: approximate quantiles give a
     bracket around each wanted rank, a counting pass proves that the rank lies in it, and brackets
-    are narrowed again until the values inside fit. ``by`` must have few groups.
+    are narrowed again until the values inside fit. ``by`` must have few groups; ``rows`` is the
+    row count where the caller knows it.
     """
     by, probs = list(by), [float(p) for p in probs]
     keys = [*by, "column"]
     long = unpivot(df, cols, by, cast="double").where(
         F.col("value").isNotNull() & ~F.isnan("value"))
     big = []
-    if df.count() > limit:
+    if (df.count() if rows is None else rows) > limit:
         sizes = long.groupBy(*keys).agg(F.count("*").alias("n"),
                                         F.approx_count_distinct("value", 0.02).alias("d"))
         big = sizes.where((F.col("n") > limit) & (F.col("d") > 0.9 * limit)).collect()

@@ -251,7 +251,7 @@ def estimate_eps(p: DataFrame) -> DataFrame:
     n = p.count()
     k = min(max(10, int(math.log(n) * 4)), n) - 1
     last = nearest(p, p, k, skip_self=True).where(F.col("place") == k)
-    return exact_quantiles(last, ["dist"], [0.9]).select(F.col("quantiles")[0].alias("eps"))
+    return exact_quantiles(last, ["dist"], [0.9], rows=n).select(F.col("quantiles")[0].alias("eps"))
 
 
 BANDWIDTH_POINTS = 5_000

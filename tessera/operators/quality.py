@@ -198,9 +198,9 @@ def purity(p: DataFrame, table: DataFrame | None = None, n: int | None = None) -
         (F.col("cluster") == F.col("own_cluster")).cast("double")).alias("purity"))
 
 
-def link_radius(near: DataFrame) -> float:
+def link_radius(near: DataFrame, rows: int | None = None) -> float:
     """Three times the median distance to the nearest neighbour."""
-    row = exact_quantiles(near.where(F.col("place") == 1), ["dist"], [0.5]).first()
+    row = exact_quantiles(near.where(F.col("place") == 1), ["dist"], [0.5], rows=rows).first()
     median = row["quantiles"][0] if row else 0.0
     return 3.0 * (median if median > 1e-8 else 1e-4)
 
@@ -214,7 +214,7 @@ def connectivity(p: DataFrame, radius: float | None = None) -> DataFrame:
     good = without_noise(p)
     if radius is None:
         bare = good.select("id", "vec")
-        radius = link_radius(nearest(bare, bare, 1, skip_self=True))
+        radius = link_radius(nearest(bare, bare, 1, skip_self=True), bare.count())
     comp = connected_components(good.select("id"), radius_links(good, radius, by="cluster"))
     sizes = (good.select("id", "cluster").join(comp, "id").groupBy("cluster", "component")
              .agg(F.count("*").alias("n")))
