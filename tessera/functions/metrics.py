@@ -135,11 +135,13 @@ def normalise_runs(runs: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Add ``<col>_norm``: min–max over all runs, 1 where all are equal; null reads as 0."""
     filled = runs.withColumns({c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0))
                                for c in cols})
-    ends = filled.agg(*[F.min(c).alias(f"_lo_{c}") for c in cols],
-                      *[F.max(c).alias(f"_hi_{c}") for c in cols]).withColumn("_one", F.lit(1))
-    both = filled.withColumn("_one", F.lit(1)).join(F.broadcast(ends), "_one")
-    return both.select(*filled.columns, *[
-        F.when(F.col(f"_hi_{c}") - F.col(f"_lo_{c}") < 1e-10, 1.0).otherwise(
-            (F.col(c) - F.col(f"_lo_{c}")) / (F.col(f"_hi_{c}") - F.col(f"_lo_{c}")))
-        .alias(f"{c}_norm") for c in cols])
+    ends = filled.agg(*[F.min(c).alias(f"lo_{c}") for c in cols],
+                      *[F.max(c).alias(f"hi_{c}") for c in cols]).first()
 
+    def scaled(c: str):
+        lo, hi = ends[f"lo_{c}"], ends[f"hi_{c}"]
+        if lo is None or hi - lo < 1e-10:
+            return F.lit(1.0)
+        return (F.col(c) - F.lit(lo)) / F.lit(hi - lo)
+
+    return filled.withColumns({f"{c}_norm": scaled(c) for c in cols})

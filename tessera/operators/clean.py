@@ -168,6 +168,7 @@ def cleaning_report(cleaned: Cleaned, task: str = "classification") -> DataFrame
     spark = df.sparkSession
     n_raw = raw.agg(F.count("*").alias("n_raw"))
     n_out = df.agg(F.count("*").alias("n_out"))
+
     width = len(cleaned.numeric) + (HASH_SLOTS if cleaned.high else 0)
     if cleaned.low:
         cats = (unpivot(df, cleaned.low, cast="string").distinct()
@@ -178,9 +179,9 @@ def cleaning_report(cleaned: Cleaned, task: str = "classification") -> DataFrame
     final = F.when(F.col("w") > limit, F.least(F.lit(SVD_COMPONENTS), F.col("w") - 1,
                                                F.greatest(F.col("n_out") - 1, F.lit(1)))
                    ).otherwise(F.col("w"))
-    # Three one-row aggregates side by side, keyed by a constant.
-    one = [d.withColumn("_one", F.lit(1)) for d in (n_raw, n_out, cats)]
-    joined = one[0].join(one[1], "_one").join(one[2], "_one")
+    # Three one-row aggregates brought into one row.
+    parts = n_raw.unionByName(n_out, True).unionByName(cats, True)
+    joined = parts.agg(*[F.max(c).alias(c) for c in ("n_raw", "n_out", "w")])
 
     def names(values: list[str]) -> Column:
         return (F.array(*map(F.lit, values)) if values else F.array().cast("array<string>"))

@@ -250,15 +250,24 @@ def _pairs(n: Column) -> Column:
 
 
 def _ari(cells: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Adjusted Rand index per ``by`` from ``(by…, a, b, n)``."""
+    """Adjusted Rand index per ``by`` from ``(by…, a, b, n)``.
+
+    Cells, row totals and column totals are summed side by side in one grouped pass.
+    """
     by = list(by)
-    rows = cells.groupBy(*by, "a").agg(F.sum("n").alias("n")).groupBy(*by).agg(
-        F.sum(_pairs(F.col("n"))).alias("sa"))
-    cols = cells.groupBy(*by, "b").agg(F.sum("n").alias("n")).groupBy(*by).agg(
-        F.sum(_pairs(F.col("n"))).alias("sb"))
-    both = cells.groupBy(*by).agg(F.sum(_pairs(F.col("n"))).alias("sab"),
-                                  F.sum("n").alias("common"))
-    t = both.join(rows, by).join(cols, by)
+    a, b = F.col("a").cast("string"), F.col("b").cast("string")
+    sides = F.array(F.struct(F.lit("ab").alias("side"), a.alias("p"), b.alias("q"), "n"),
+                    F.struct(F.lit("a").alias("side"), a.alias("p"), F.lit("").alias("q"), "n"),
+                    F.struct(F.lit("b").alias("side"), F.lit("").alias("p"), b.alias("q"), "n"))
+    sums = cells.select(*by, F.inline(sides)).groupBy(*by, "side", "p", "q").agg(
+        F.sum("n").alias("n"))
+
+    def total(side: str) -> Column:
+        return F.sum(F.when(F.col("side") == side, _pairs(F.col("n"))).otherwise(0.0))
+
+    t = sums.groupBy(*by).agg(total("ab").alias("sab"), total("a").alias("sa"),
+                              total("b").alias("sb"), F.sum(F.when(
+                                  F.col("side") == "ab", F.col("n"))).alias("common"))
     expected = F.try_divide(F.col("sa") * F.col("sb"), _pairs(F.col("common")))
     top = (F.col("sa") + F.col("sb")) / 2
     return t.select(*by, "common", F.coalesce(F.try_divide(
@@ -266,9 +275,8 @@ def _ari(cells: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
-    cells = df.groupBy(F.lit(1).alias("_g"), F.col(a).alias("a"), F.col(b).alias("b")).agg(
-        F.count("*").alias("n"))
-    return _ari(cells, ["_g"]).select("ari")
+    cells = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+    return _ari(cells, []).select("ari")
 
 
 def uniform(seed: int, *key: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tessera.operators import features as X, supervised as S
 from tessera.operators.clean import ROW_KEY, with_row_key
 from tessera.sources.registry import Registry, models_with_task
+from tessera.sources.tables import model_path
 
 NOISE = "cluster_-1"
 
@@ -107,12 +108,11 @@ class Artifact:
     def vectors(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """Prepared rows with ``features`` in the form this model reads."""
         rows = self.prepared(df, keep)
-        base = F.array(*[F.col(f"`{c}`") for c in self.features])
         if self.model_name.split("_")[0] in S.POLYNOMIAL_MODELS:
             vec = F.array(*[F.col(f"`{a}`") if b is None else F.col(f"`{a}`") * F.col(f"`{b}`")
                             for a, b, _ in X.polynomial_names(self.features)])
         else:
-            vec = base
+            vec = F.array(*[F.col(f"`{c}`") for c in self.features])
         out = rows.select(*[f"key_{c}" for c in keep], vec.alias("vec"))
         if self.projection is not None:
             out = self.projection.apply(out, "vec", "vec")
@@ -165,6 +165,17 @@ def from_run(run, result) -> Artifact:
                     p.target_codes, p.transform)
 
 
+def from_cluster_run(prep: Artifact, run, name: str, points: DataFrame) -> Artifact:
+    """The artifact of one clustering: its centres in the space of the prepared rows."""
+    from dataclasses import replace
+    from tessera.operators.quality import CLUSTER_LIMIT, centroids
+    rows = centroids(points.join(run.labels[name], "id")).limit(CLUSTER_LIMIT + 1).collect()
+    if len(rows) > CLUSTER_LIMIT:
+        raise ValueError(f"more than {CLUSTER_LIMIT} clusters")
+    return replace(prep, model_name=name, centroids=[(r["cluster_name"], list(r["centroid"]))
+                                                     for r in rows])
+
+
 def load_by_id(registry: Registry, model_id: int) -> Artifact:
     """Artifact of a registered model; its place is in the model's metadata."""
     rows = models_with_task(registry.read("models_metadata").where(F.col("model_id") == model_id),
@@ -178,23 +189,37 @@ def load_by_id(registry: Registry, model_id: int) -> Artifact:
     return Artifact.load(registry.spark, path)
 
 
-def save_run(run, registry: Registry, root: str, chat_id: str, plan_id: int = 3) -> int:
-    """Save every model of a run under its place and append the rows of the run."""
-    from tessera.sources.tables import model_path
-    spark = registry.spark
-    first = min((r.start for r in run.results), default=None)
-    last = max((r.finish for r in run.results), default=None)
-    training_id = registry.add_run(run.task, run.target, first, last, "completed", plan_id)
+MODEL_ROW = ("model_name string, hyperparameters map<string,string>, metrics map<string,double>, "
+             "place_in_training_batch int, model_metadata map<string,string>, "
+             "train_start timestamp, train_finish timestamp")
+
+
+def save_run(run, registry: Registry, root: str, chat_id: str, training_id: int) -> None:
+    """Save every model of a supervised run under its place and append the model rows."""
     rows = []
     for place, r in enumerate(run.results, 1):
         path = model_path(root, chat_id, run.task, place)
-        from_run(run, r).save(spark, path)
+        from_run(run, r).save(registry.spark, path)
         rows.append((r.name, {k: str(v) for k, v in r.params.items()}, r.metrics, place,
                      {"path": path, "selected_features": json.dumps(r.features)},
                      r.start, r.finish))
-    models = spark.createDataFrame(rows, "model_name string, hyperparameters map<string,string>, "
-                                         "metrics map<string,double>, place_in_training_batch int, "
-                                         "model_metadata map<string,string>, "
-                                         "train_start timestamp, train_finish timestamp")
-    registry.add_models(training_id, models)
-    return training_id
+    if rows:
+        registry.add_models(training_id, registry.spark.createDataFrame(rows, MODEL_ROW))
+
+
+def save_cluster_run(run, prep: Artifact, points: DataFrame, registry: Registry, root: str,
+                     chat_id: str, training_id: int) -> None:
+    """The same for a clustering run, in the order of its leaderboard."""
+    if run.leaderboard is None:
+        return
+    board = run.leaderboard.orderBy(F.col("unified_score").desc(), "model_name").collect()
+    rows = []
+    for place, r in enumerate(board, 1):
+        path = model_path(root, chat_id, "clustering", place)
+        from_cluster_run(prep, run, r["model_name"], points).save(registry.spark, path)
+        metrics = {k: float(v) for k, v in r.asDict().items() if isinstance(v, float)}
+        rows.append((r["model_name"], r["hyperparams"], metrics, place,
+                     {"path": path, "n_clusters": str(r["n_clusters"]),
+                      "selected_features": json.dumps(prep.features)},
+                     r["train_start"], r["train_finish"]))
+    registry.add_models(training_id, registry.spark.createDataFrame(rows, MODEL_ROW))

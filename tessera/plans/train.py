@@ -309,3 +309,20 @@ def cluster_points(df: DataFrame, drop: Sequence[str] = (), scale: bool = True)
     vec = F.concat(*parts)
     out = data.select(F.col(ROW_KEY).alias("id"), vec.alias("vec"))
     return X.compress_if_wide(out, "vec", "clustering", "vec")[0]
+
+
+def ordinal_points(df: DataFrame, drop: Sequence[str] = (), scale: bool = True):
+    """Points from numbers and category codes, with the preparation that scores new rows alike."""
+    from tessera.operators.score import Artifact
+    cleaned = clean(df, "clustering", drop, snapshot=True)
+    cats = cleaned.low + cleaned.high
+    codes = written(X.category_map(cleaned.df, cats, few=cleaned.low), "codes") if cats else None
+    data = X.encode_ordinal(cleaned.df, cats, codes) if cats else cleaned.df
+    features = [c for c in data.columns if c in [*cleaned.numeric, *cats]]
+    data = written(with_row_key(data.select(*features)), "points")
+    scaling = X.fit_robust(data, features) if scale else X.Scaling({}, {})
+    prep = Artifact("clustering", "clustering", features, scaling, category_codes=codes)
+    vec = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
+    points = scaling.apply(data).select(F.col(ROW_KEY).alias("id"), vec.alias("vec"))
+    points, prep.projection = X.compress_if_wide(points, "vec", "clustering", "vec")
+    return written(points, "points"), prep

@@ -137,7 +137,8 @@ def test_regression_run_registry_and_missing_columns(spark, people, tmp_path):
     best = run.results[0]
     assert best.metrics["r2"] > 0.7 and "r2_original" in best.metrics
     reg = Registry(spark, str(tmp_path / "reg"))
-    R.save_run(run, reg, str(tmp_path / "files"), "chat")
+    training_id = reg.add_run("regression", "spend", best.start, best.finish)
+    R.save_run(run, reg, str(tmp_path / "files"), "chat", training_id)
     models = reg.read("models_metadata").orderBy("place_in_training_batch").collect()
     assert [m["model_name"] for m in models] == [r.name for r in run.results]
     art = R.load_by_id(reg, models[0]["model_id"])
