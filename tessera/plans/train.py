@@ -23,6 +23,9 @@ log = logging.getLogger(__name__)
 
 Progress = Callable[[int, str | None], None]
 
+# Fixed value: key under which the model at a place of the ranking is shown.
+RESULT_KEY = "топ-{} модель"
+
 
 @dataclass
 class Prepared:
@@ -206,7 +209,7 @@ class SupervisedRun:
     def leaderboard(self) -> DataFrame:
         """One row per model, best first, keyed as results are shown."""
         spark = self.prepared.table.sparkSession
-        rows = [(i, f"топ-{i} модель", r.name, {k: str(v) for k, v in r.params.items()},
+        rows = [(i, RESULT_KEY.format(i), r.name, {k: str(v) for k, v in r.params.items()},
                  r.metrics, r.features, self.prepared.transform,
                  "binary" if self.prepared.classes == 2 else
                  "multiclass" if self.prepared.classes else "regression",

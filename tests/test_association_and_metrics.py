@@ -1,7 +1,6 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.functions import metrics as M, ordered as O
 from tessera.operators import assoc as A
