@@ -83,7 +83,11 @@ def p7(spark, d):
                      F.count_if(F.col(C.ROW_KEY).endswith("-0")).alias("n_first"))
 
 
-@query("p8_column_kinds")
+@query("p8_column_kinds", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", COUNT({c}) AS n, '{k}' AS kind FROM lineitem" for c, k in [
+        *[(c, "numeric") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                                   "l_quantity", "l_extendedprice", "l_discount", "l_tax")],
+        ("l_returnflag", "categorical"), ("l_linestatus", "categorical")]))
 def p8(spark, d):
     li = table(spark, d, "lineitem")
     kinds = [(c, "numeric") for c in C.numeric_columns(li)] + [
