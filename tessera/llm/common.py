@@ -191,3 +191,25 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = now
     raise RuntimeError("components did not settle")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Like ``written``, in a denser codec: for large intermediate tables of binary columns."""
+    from tessera.session import new_path
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def per_row(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sum of a per-item array between each two neighbouring offsets."""
+    total = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=total[1:])
+    return np.diff(total[at])
+
+
+def table_of(chars: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars.encode())] = True
+    return out

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from tessera.llm.lines import op2_line_labels
 from tessera.llm.mixing import OP8_SQL, op8_mixing
 from tessera.llm.pii import op9_pii
+from tessera.llm.rans import op5_rans
+from tessera.llm.toxicity import op6_toxicity
 
-QUERIES = {"op8_mixing": op8_mixing, "op9_pii": op9_pii}
+QUERIES = {"op2_line_labels": op2_line_labels, "op5_rans": op5_rans, "op6_toxicity": op6_toxicity,
+           "op8_mixing": op8_mixing, "op9_pii": op9_pii}
 CHECKS = {"op8_mixing": OP8_SQL}
