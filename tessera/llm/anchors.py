@@ -11,11 +11,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import NO_ID, bare, longs, mixed
+from tessera.llm.common import NO_ID, bare, longs, mixed, rolled
 
 _LOW = np.uint64((1 << 24) - 1)
+_STEP = 1 << 23
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -37,24 +39,28 @@ def picks(h: np.ndarray, at: np.ndarray, gram: int, window: int) -> tuple[np.nda
 
     ``h`` are hashes of the units (words, bytes), ``at`` the rows' offsets among them.
     """
-    from tessera.llm.common import rolled
     g = rolled(h, gram)
     last = len(h) - window
     if last < 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    key = (g & ~_LOW) | (np.arange(len(g), dtype=np.uint64) & _LOW)
-    span, low, width = window - gram + 1, key, 1
-    while 2 * width <= span:
-        low = np.minimum(low[:len(low) - width], low[width:])
-        width *= 2
-    rest = span - width
-    if rest:
-        low = np.minimum(low[:len(low) - rest], low[rest:])
+    span, found = window - gram + 1, []
+    for begin in range(0, last + 1, _STEP):
+        part = g[begin:min(begin + _STEP, last + 1) + span - 1]
+        low = (part & ~_LOW) | np.arange(len(part), dtype=np.uint64)
+        width = 1
+        while 2 * width <= span:
+            low = np.minimum(low[:len(low) - width], low[width:])
+            width *= 2
+        rest = span - width
+        if rest:
+            low = np.minimum(low[:len(low) - rest], low[rest:])
+        found.append((low & _LOW).astype(np.int64) + begin)
+    place = np.concatenate(found)
     sizes = np.diff(at)
     starts = np.repeat(at[:-1], np.maximum(sizes - window + 1, 0))
     counts = np.maximum(sizes - window + 1, 0)
     starts = starts + np.arange(len(starts)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return starts, (low[starts] & _LOW).astype(np.int64)
+    return starts, place[starts]
 
 
 def deal(h: np.ndarray, content: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
@@ -116,8 +122,6 @@ def meet(table: pa.Table) -> pa.Table:
 
 def repeated(rows: DataFrame, hashes: Callable, parts: int) -> DataFrame:
     """``content, hs``: the anchor hashes of each content that also occur elsewhere."""
-    import pyarrow.compute  # noqa: F401  (used by ``meet`` in the workers)
-
     def run(batches):
         for h, content in hashes(batches):
             yield from deal(h, content, parts)
