@@ -12,10 +12,10 @@ SHARE = 0.08
 """A passage matches an item within so many edits per byte of the item."""
 GRAM = 9
 FILTER_BITS = 22
-WALKS, SAMPLES, BITS = 4, 16, 7
+WALKS, SAMPLES, BITS = 2, 24, 7
 """Independent embeddings, LSH tables per embedding, sampled places per table."""
 ITEMS_AT_ONCE = 2000
-SLICE = 1 << 20
+SLICE = 3 << 20
 
 
 def plain(text: bytes) -> bytes:
