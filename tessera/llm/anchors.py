@@ -137,3 +137,27 @@ def lists(col: pa.Array, rows: int) -> tuple[np.ndarray, np.ndarray]:
     values = col.flatten().to_numpy(zero_copy_only=False)
     sizes = pa.compute.fill_null(pa.compute.list_value_length(col), 0).to_numpy()
     return values, np.r_[0, np.cumsum(sizes)]
+
+
+BUCKETS = 1 << 20
+
+
+def _buckets(wanted: DataFrame) -> DataFrame:
+    """Hash buckets that hold a wanted content: at most ``BUCKETS`` rows whatever the input."""
+    return F.broadcast(wanted.select(F.pmod("content", F.lit(BUCKETS)).alias("_b")).distinct())
+
+
+def sieve(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows that may have a wanted content. Saves shuffling the others' texts before a join; where
+    all buckets are taken, all rows pass and the join decides alone."""
+    return rows.join(_buckets(wanted), F.pmod("content", F.lit(BUCKETS)) == F.col("_b"), "left_semi")
+
+
+def attach(rows: DataFrame, info: DataFrame) -> DataFrame:
+    """Left join of a written ``info`` on document and content; other rows' texts stay in place."""
+    same = F.pmod("content", F.lit(BUCKETS)) == F.col("_b")
+    extra = [f for f in info.schema if f.name not in ("doc_id", "content")]
+    aside = rows.join(_buckets(info), same, "left_anti").select(
+        "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])
+    return sieve(rows, info).join(info.hint("shuffle_hash"), ["doc_id", "content"], "left") \
+        .unionByName(aside)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.anchors import DEALT, deal, meet
+from tessera.llm.anchors import DEALT, deal, meet, sieve
 from tessera.llm.common import (
     NO_ID, bare, components, documents, joined, longs, mixed, rolled, saved, slices, word_hashes,
     word_spans)
@@ -58,12 +58,33 @@ def least_shared(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return -(-percent * n // 100)
 
 
+def bitmap(items: np.ndarray) -> bytes:
+    """A bit for each element's slot, about two slots an element, a power of two in all."""
+    slots = 1 << max(6, int(2 * len(items) - 1).bit_length()) if len(items) else 64
+    bits = np.zeros(slots, np.uint8)
+    bits[(items & np.uint64(slots - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def may_link(x: bytes, n: int, y: bytes, m: int) -> bool:
+    """False only if the sets surely don't link: a bit set in one map alone is an element missing
+    in the other set. The larger map is folded to the smaller one's slots."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[:len(a) // 2] | a[len(a) // 2:]
+    while len(b) > len(a):
+        b = b[:len(b) // 2] | b[len(b) // 2:]
+    most = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+    return 100 * most >= PERCENT * (n + m - most)
+
+
 def _survey(b: pa.RecordBatch) -> pa.RecordBatch:
-    """Per row its set's key and size."""
+    """Per row its set's key, size and bitmap."""
     g, at = shingle_sets(b)
     return pa.RecordBatch.from_arrays(
         [b.column("doc_id"), b.column("content"), longs(set_keys(g, at).view(np.int64)),
-         longs(np.diff(at))], ["doc_id", "content", "key", "n"])
+         longs(np.diff(at)), pa.array([bitmap(g[i:j]) for i, j in zip(at, at[1:])], pa.binary())],
+        ["doc_id", "content", "key", "n", "bits"])
 
 
 def common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,18 +200,30 @@ def entries(rows: DataFrame, hot: np.ndarray, counts: np.ndarray, light: int,
             yield from deal(h, key, parts)
 
     return rows.select("text").mapInArrow(run, DEALT).groupBy("part").applyInArrow(
-        meet, "content long, h long").select(F.col("content").alias("key"), "h").distinct()
+        meet, "content long, h long").select(F.col("content").alias("key"), "h")
 
 
 def linked(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Of the pairs (a, b) of set keys those whose Jaccard similarity is high enough.
 
-    Only texts of sets in a pair are fetched, one text a set, and only their shingles compared.
+    Bitmaps of the sets rule most pairs out. Only texts of the others' sets are fetched, one text
+    a set, and their shingles are compared.
     """
+    def promising(batches):
+        for b in batches:
+            ok = [may_link(*v) for v in zip(*(b.column(c).to_pylist() for c in (
+                "x", "an", "y", "bn")))]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    side = classes.select(F.col("key"), F.col("n"), "bits")
+    pairs = saved(
+        pairs.join(side.toDF("a", "an", "x"), "a").join(side.toDF("b", "bn", "y"), "b").mapInArrow(
+            promising, "a long, b long"), "promising")
     wanted = pairs.select(F.col("a").alias("key")).unionByName(
         pairs.select(F.col("b").alias("key"))).distinct()
-    texts = rows.join(classes.join(wanted, "key").select("key", "first.*").hint("shuffle_hash"),
-                      ["doc_id", "content"]).dropDuplicates(["key"]).select("key", "text")
+    wanted = saved(classes.join(wanted, "key").select("key", "first.*"), "wanted")
+    texts = sieve(rows, wanted).join(wanted.hint("shuffle_hash"), ["doc_id", "content"]) \
+        .select("key", "text")
 
     def shingled(batches):
         for b in slices(batches, SLICE):
@@ -212,7 +245,7 @@ def linked(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
 
     return saved(pairs.join(sets.select(F.col("key").alias("a"), F.col("items").alias("x")), "a")
                  .join(sets.select(F.col("key").alias("b"), F.col("items").alias("y")), "b")
-                 .mapInArrow(check, "a long, b long"), "links")
+                 .mapInArrow(check, "a long, b long").distinct(), "links")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -236,9 +269,9 @@ def join(docs: DataFrame) -> DataFrame:
         for b in slices(batches, SLICE):
             yield _survey(b)
 
-    found = saved(rows.mapInArrow(survey, "doc_id long, content long, key long, n long"), "sets_of")
+    found = saved(rows.mapInArrow(survey, "doc_id long, content long, key long, n long, bits binary"), "sets_of")
     classes = saved(found.where("n > 0").groupBy("key", "n").agg(
-        F.min(F.struct("doc_id", "content")).alias("first")), "classes")
+        F.min(F.struct("doc_id", "content")).alias("first"), F.first("bits").alias("bits")), "classes")
     total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     sizes = {r["n"]: r["count"] for r in classes.where(F.col("n") <= LIGHT_AT_MOST)
              .groupBy("n").count().collect()}
@@ -278,13 +311,13 @@ def join(docs: DataFrame) -> DataFrame:
     label = components(links).withColumnRenamed("node", "key")
     degree = links.select(F.col("a").alias("key")).unionByName(
         links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("n_links"))
-    named = classes.join(label, "key", "left").withColumn(
+    named = classes.drop("bits").join(label, "key", "left").withColumn(
         "component", F.coalesce("component", "key"))
     ids = named.groupBy("component").agg(F.min("first.doc_id").alias("component_id"))
     named = named.join(ids, "component").join(degree, "key", "left").select(
         "key", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     real = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return found.join(named, "key", "left").select(
+    return found.drop("bits").join(named, "key", "left").select(
         F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.nullif(real, F.lit(NO_ID)).alias("component_id"), "content")

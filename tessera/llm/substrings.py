@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.anchors import contents, keyed, lists, picks, repeated
+from tessera.llm.anchors import attach, contents, keyed, lists, picks, repeated, sieve
 from tessera.llm.common import (
     NO_ID, documents, joined, longs, mixed, per_row, rolled, saved, slices, word_hashes,
     word_spans)
@@ -138,8 +138,8 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     anchors = level(rows, window, size)
     parts = 1 + size // (12 * PER_PART)
     alone = names.where("doc_id = first").select("doc_id", "content")
-    wanted = anchors.join(alone, "content")
-    texts = rows.join(wanted.hint("shuffle_hash"), ["doc_id", "content"])
+    wanted = saved(anchors.join(alone, "content"), "anchors")
+    texts = sieve(rows, wanted).join(wanted.hint("shuffle_hash"), ["doc_id", "content"])
     runs = (doubled(texts, window, parts).groupBy("content")
             .agg(F.collect_list("start").alias("from"), F.collect_list("end").alias("to")))
     what = (names.where("not shared").join(runs, "content").select(
@@ -173,7 +173,7 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 [pa.array(ids, mask=ids == NO_ID), longs(n), longs(per_row(gone, first)),
                  pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return rows.join(what.hint("shuffle_hash"), ["doc_id", "content"], "left").select(
+    return attach(rows, saved(what, "removals")).select(
         "doc_id", "all", "from", "to", "text").mapInArrow(
         run, "doc_id long, n_words long, n_removed long, kept binary")
 

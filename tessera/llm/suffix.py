@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.anchors import contents, keyed, lists, picks, repeated
+from tessera.llm.anchors import attach, contents, keyed, lists, picks, repeated, sieve
 from tessera.llm.common import (
     NO_ID, _BYTE, documents, joined, longs, mixed, rolled, saved, slices, word_hashes)
 
@@ -244,7 +244,8 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
 
     anchors = repeated(rows, hashes, 1 + size // (40 << 20))
     alone = names.where("doc_id = first").select("doc_id", "content")
-    texts = rows.join(anchors.join(alone, "content").hint("shuffle_hash"), ["doc_id", "content"])
+    wanted = saved(anchors.join(alone, "content"), "anchors")
+    texts = sieve(rows, wanted).join(wanted.hint("shuffle_hash"), ["doc_id", "content"])
     runs = (spans(texts, 1 + size // (12 << 20), length, gram).groupBy("content")
             .agg(F.collect_list("start").alias("from"), F.collect_list("end").alias("to")))
     none = F.array().cast("array<long>")
@@ -280,7 +281,7 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
                  pa.array([left[i:j] for i, j in zip(kept_at, kept_at[1:])], pa.binary())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return rows.join(what.hint("shuffle_hash"), ["doc_id", "content"], "left").select(
+    return attach(rows, saved(what, "removals")).select(
         "doc_id", "all", "from", "to", "text").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
