@@ -15,7 +15,7 @@ FILTER_BITS = 22
 WALKS, SAMPLES, BITS = 4, 16, 7
 """Independent embeddings, LSH tables per embedding, sampled places per table."""
 ITEMS_AT_ONCE = 2000
-SLICE = 3 << 20
+SLICE = 2 << 20
 
 
 def plain(text: bytes) -> bytes:
