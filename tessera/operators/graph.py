@@ -2,54 +2,23 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from tessera.session import written
 
-SMALL_EDGES = 300_000
-"""Edge tables up to this many rows are solved in one task."""
-
 MAX_ROUNDS = 60
 
 
-def _roots(pairs) -> dict:
-    parent: dict = {}
-
-    def find(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for u, v in pairs:
-        a, b = find(u), find(v)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    return {x: find(x) for x in list(parent)}
-
-
-def connected_components(vertices: DataFrame, edges: DataFrame, key: str = "id",
-                         small: int = SMALL_EDGES) -> DataFrame:
+def connected_components(vertices: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
     """``(key, component)``: the smallest vertex of each vertex's component.
 
-    Large graphs alternate large-star and small-star steps (Kiveris et al., "Connected Components
+    Alternates large-star and small-star steps (Kiveris et al., "Connected Components
     in MapReduce and Beyond", SoCC 2014). A step is a grouped minimum and a join on a unique key,
     so the neighbours of a hub are never gathered. Each step is written once.
     """
-    kind = vertices.schema[key].dataType
     e = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                 .where("u <> v").distinct(), "edges")
-    if e.count() <= small:
-        schema = T.StructType([T.StructField(key, kind), T.StructField("component", kind)])
-
-        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-            r = _roots(zip(pdf["u"], pdf["v"]))
-            return pd.DataFrame({key: list(r), "component": list(r.values())})
-
-        found = e.groupBy().applyInPandas(solve, schema)
-    else:
-        found = _stars(e).select(F.col("u").alias(key), F.col("v").alias("component"))
+    found = _stars(e).select(F.col("u").alias(key), F.col("v").alias("component"))
     return vertices.select(key).join(found, key, "left").select(
         key, F.coalesce("component", key).alias("component"))
 
@@ -72,33 +41,14 @@ def _stars(e: DataFrame) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def spanning_forest(vertices: DataFrame, edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
+def spanning_forest(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Minimum spanning forest ``(u, v, w)``; equal weights are ordered by their ends.
 
-    Large graphs use Borůvka rounds: every component takes its lightest outgoing edge (a grouped
+    Borůvka rounds: every component takes its lightest outgoing edge (a grouped
     minimum), then components are merged.
     """
     e = written(edges.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
                 .agg(F.min("w").alias("w")).where("u <> v"), "weighted")
-    if e.count() <= small:
-        def kruskal(pdf: pd.DataFrame) -> pd.DataFrame:
-            parent: dict = {}
-
-            def find(x):
-                while parent.setdefault(x, x) != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            kept = []
-            for row in pdf.sort_values(["w", "u", "v"]).itertuples(index=False):
-                a, b = find(row.u), find(row.v)
-                if a != b:
-                    parent[a] = b
-                    kept.append(row)
-            return pd.DataFrame(kept, columns=["u", "v", "w"])
-
-        return e.select("u", "v", "w").groupBy().applyInPandas(kruskal, e.schema)
     label = written(vertices.select(F.col("id"), F.col("id").alias("c")), "labels")
     chosen = None
     for _ in range(MAX_ROUNDS):
@@ -116,7 +66,7 @@ def spanning_forest(vertices: DataFrame, edges: DataFrame, small: int = SMALL_ED
         chosen = picked if chosen is None else chosen.unionByName(picked)
         merged = connected_components(
             label.select(F.col("c").alias("id")).distinct(),
-            best.select(F.col("c").alias("u"), F.col("o").alias("v")), small=small)
+            best.select(F.col("c").alias("u"), F.col("o").alias("v")))
         label = written(label.withColumnRenamed("c", "old").join(
             merged.select(F.col("id").alias("old"), F.col("component").alias("c")), "old")
             .select("id", "c"), "labels")

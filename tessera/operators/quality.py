@@ -18,9 +18,6 @@ from tessera.operators.blocks import distance_sums, group_extremes, nearest, rad
 from tessera.operators.graph import connected_components
 from tessera.session import written
 
-EXACT_ROWS = 200_000
-"""Up to this many points the silhouette uses true distances between all points."""
-
 CLUSTER_LIMIT = 10_000
 """Cluster statistics are held on the driver; a labelling with more clusters is refused."""
 
@@ -120,17 +117,15 @@ def _pairwise(x: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- silhouette
 
-def silhouette(p: DataFrame, method: str = "auto", m: Moments | None = None) -> DataFrame:
+def silhouette(p: DataFrame, method: str = "euclidean", m: Moments | None = None) -> DataFrame:
     """One row ``(silhouette, method)`` over the points that are not noise.
 
     ``euclidean`` averages true distances, which costs every pair (computed in blocks that hand on
     one sum per point and cluster). ``squared`` averages squared distances, which cluster moments
-    give exactly in one pass of any size; it is another number. ``auto`` takes the first up to
-    ``EXACT_ROWS`` points; the row says which was used.
+    give exactly in one pass; it is another number. The caller chooses, whatever the size, and the
+    row says which was used.
     """
     good = without_noise(p)
-    if method == "auto":
-        method = "euclidean" if good.count() <= EXACT_ROWS else "squared"
     if method == "squared":
         return _squared_silhouette(p, m or moments(p))
     sizes = good.groupBy("cluster").agg(F.count("*").alias("n"))
@@ -410,7 +405,7 @@ class View:
 
 
 def measures(p: DataFrame, view: View | None = None, stability_value: float = 0.0,
-             gap: float | None = None, method: str = "auto") -> dict:
+             gap: float | None = None, method: str = "euclidean") -> dict:
     """Raw measures of one labelling; zeros where a labelling cannot be scored."""
     counts = {r["cluster"]: r["n"] for r in p.groupBy("cluster").agg(
         F.count("*").alias("n")).limit(CLUSTER_LIMIT + 2).collect()}
@@ -429,8 +424,6 @@ def measures(p: DataFrame, view: View | None = None, stability_value: float = 0.
         return out
     m = moments(p)
     shared = view if noise == 0 else None  # neighbours change when noise is left out
-    if method == "auto":
-        method = "euclidean" if good <= EXACT_ROWS else "squared"
     sil = silhouette(p, method, m).first()
     out.update(
         silhouette=float(sil["silhouette"]), silhouette_method=sil["method"],
@@ -449,7 +442,7 @@ MEASURE_SCHEMA = ("n_clusters int, noise_ratio double, max_ratio double, min_rat
 
 def unified_score(p: DataFrame, view: View | None = None, stability_value: float = 0.0,
                   gap: float | None = None, strong_overlap: bool = True,
-                  method: str = "auto") -> DataFrame:
+                  method: str = "euclidean") -> DataFrame:
     """One row with raw measures, parts, penalties and ``unified_score``."""
     row = measures(p, view, stability_value, gap, method)
     names = [f.split()[0] for f in MEASURE_SCHEMA.split(", ")]

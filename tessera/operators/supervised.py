@@ -288,11 +288,13 @@ def estimator(name: str, task: str, params: dict[str, Any], *, n: float, width:
             featuresCol="rawPrediction", rawPredictionCol="platt", maxIter=100)])
     if name == "RandomForest":
         cls = RandomForestClassifier if task == "classification" else RandomForestRegressor
-        return cls(numTrees=int(params.get("n_estimators", 100)), maxDepth=depth,
+        if task != "classification":
+            w["featureSubsetStrategy"] = "all"
+        return cls(numTrees=int(params.get("n_estimators", 100)), maxDepth=depth, maxBins=256,
                    minInstancesPerNode=leaf, seed=seed, **w)
     if name == "DecisionTree":
         cls = DecisionTreeClassifier if task == "classification" else DecisionTreeRegressor
-        return cls(maxDepth=depth, minInstancesPerNode=leaf, seed=seed, **w)
+        return cls(maxDepth=depth, maxBins=256, minInstancesPerNode=leaf, seed=seed, **w)
     if name in BOOSTED:
         d, trees, rate = _trees(params)
         if task != "classification":

@@ -22,17 +22,16 @@ MODELS = ["KMeans", "BisectingKMeans", "GaussianMixture", "DBSCAN", "MeanShift",
           "AgglomerativeClustering"]
 LINEAR_ONLY = {"KMeans", "BisectingKMeans", "GaussianMixture", "MeanShift", "Birch", "DBSCAN"}
 WITH_K = {"KMeans", "BisectingKMeans", "AgglomerativeClustering", "GaussianMixture", "Birch"}
-LINKAGE_ROWS = 15_000
 LOWEST_SCORE = 0.001
 
 Progress = Callable[[int, str | None], None]
 
 
-def model_pool(plan_id: int, n: int, space: str) -> list[str]:
+def model_pool(plan_id: int, space: str) -> list[str]:
     """Models tried in a space: none on plan 1, a few on plan 2, all from plan 3."""
     if plan_id <= 1 or (plan_id < 3 and space == "view"):
         return []
-    names = [m for m in MODELS if m != "AgglomerativeClustering" or n <= LINKAGE_ROWS]
+    names = list(MODELS)
     if plan_id == 2:
         names = [m for m in names if m in CLUSTER_POOL_2]
     return [m for m in names if space == "linear" or m not in LINEAR_ONLY]
@@ -47,7 +46,7 @@ def k_curve(space: DataFrame, view: DataFrame, name: str, params: dict, ks: Sequ
         labels = K.fit(name, space, {**params, key: k}, seed).labels
         p = written(view.join(labels, "id"), "curve")
         m = Q.moments(p)
-        sil = 0.0 if len(m.labels) < 2 else Q.silhouette(p, m=m).first()["silhouette"]
+        sil = 0.0 if len(m.labels) < 2 else Q.silhouette(p, "squared", m).first()["silhouette"]
         rows.append((k, float(sil), Q.calinski_harabasz(m)))
     return view.sparkSession.createDataFrame(
         rows, "n_clusters int, silhouette_score double, calinski_harabasz_score double")
@@ -64,7 +63,7 @@ def tune(name: str, space: DataFrame, view: Q.View, n: int, config: ClusteringCo
         try:
             labels = K.fit(name, space, params, config.seed).labels
             p = written(view.points.join(labels, "id"), "trial")
-            score = float(Q.unified_score(p, view).first()["unified_score"])
+            score = float(Q.unified_score(p, view, method="squared").first()["unified_score"])
             k = K.k_of(params)
             if k:
                 ks.append(k)
@@ -105,7 +104,7 @@ def train_clustering(points: DataFrame, config: ClusteringConfig | None = None,
     rows, labels, fits, curve = [], {}, {}, {}
     for space in spaces:
         data = linear if space == "linear" else view_points
-        for name in model_pool(plan_id, n, space):
+        for name in model_pool(plan_id, space):
             if models is not None and name not in models:
                 continue
             tell(2, name)
@@ -122,7 +121,7 @@ def train_clustering(points: DataFrame, config: ClusteringConfig | None = None,
                 config.stability_n_runs, config.stability_sample_frac, config.seed)
             gap = Q.gap_statistic(view_points, found, config.gap_n_refs, config.seed) if (
                 name == "KMeans" and space == "linear") else None
-            raw = Q.measures(p, view, stable, gap)
+            raw = Q.measures(p, view, stable, gap, "squared")
             if curves and name in WITH_K:
                 curve[f"{name}_{space}"] = k_curve(data, view_points, name, params, ks,
                                                    config.seed)

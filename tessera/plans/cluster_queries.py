@@ -246,7 +246,7 @@ def q12(spark, d):
 def q12_view(spark, d):
     """All embeddings, no noise: neighbours come from the shared table."""
     p = labelled(spark, d).withColumn("vec", F.slice("vec", 1, 2))
-    return Q.unified_score(p, Q.View.of(p))
+    return Q.unified_score(p, Q.View.of(p), method="euclidean")
 
 
 @query("q16_posthoc_score", f"""WITH {P_SQL}, {G_PAIRS}, {SIL_RAW}, {MOM},

@@ -80,22 +80,31 @@ def test_components_of_large_graphs(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     v = spark.createDataFrame([(i,) for i in [*range(41), *range(100, 140), 999]], "id long")
     e = spark.createDataFrame(edges, "u long, v long")
-    small = {tuple(r) for r in G.connected_components(v, e).collect()}
-    assert small == {tuple(r) for r in G.connected_components(v, e, small=0).collect()}
-    assert {c for _, c in small} == {0, 100, 999}
+    found = {tuple(r) for r in G.connected_components(v, e).collect()}
+    assert found == {(i, 0 if i <= 40 else 100 if i < 140 else 999)
+                     for i in [*range(41), *range(100, 140), 999]}
 
 
-def test_spanning_forest_both_ways(spark):
+def test_spanning_forest(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(40, 2))
     d = distances(x)
     e = spark.createDataFrame([(i, j, float(d[i, j])) for i in range(40) for j in range(i)
                                if i // 30 == j // 30], "u long, v long, w double")
     v = spark.range(40)
-    one = G.spanning_forest(v, e).toPandas()
-    two = G.spanning_forest(v, e, small=0).toPandas()
-    assert len(one) == len(two) == 38
-    assert one.w.sum() == pytest.approx(two.w.sum())
+    found = G.spanning_forest(v, e).toPandas()
+    root, weight = list(range(40)), 0.0
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for w, i, j in sorted((w, i, j) for i, j, w in map(tuple, e.collect())):
+        if find(i) != find(j):
+            root[find(i)] = find(j)
+            weight += w
+    assert len(found) == 38
+    assert found.w.sum() == pytest.approx(weight)
 
 
 def silhouette_of(x, c):
@@ -121,15 +130,15 @@ def test_four_point_values(spark):
     assert Q.separation(m, Q.view_range(p)) == 1.0
 
 
-def test_silhouette_in_blocks(spark, cloud, monkeypatch):
+def test_silhouette_in_blocks(spark, cloud):
     c = np.repeat([0, 1, 2, 3, 4], [60, 60, 60, 89, 1])
     p = table(spark, cloud, c)
     want = silhouette_of(cloud, c)
     assert Q.silhouette(p).first()[0] == pytest.approx(want)
     sums = B.distance_sums(p, "cluster", block=32)
     assert sums.agg(F.sum("total")).first()[0] == pytest.approx(distances(cloud).sum())
-    monkeypatch.setattr(Q, "EXACT_ROWS", 10)
-    assert Q.silhouette(p).first()["method"] == "squared"
+    assert Q.silhouette(p).first()["method"] == "euclidean"
+    assert Q.silhouette(p, "squared").first()["method"] == "squared"
 
 
 def test_adjusted_rand(spark):
