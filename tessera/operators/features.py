@@ -216,13 +216,8 @@ def polynomial_names(cols: Sequence[str]) -> list[tuple[str, str | None, str]]:
     return terms
 
 
-POLY_LIMIT = 5_000
-
-
 def polynomial(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     terms = polynomial_names(cols)
-    if len(terms) > POLY_LIMIT:
-        raise ValueError(f"{len(terms)} polynomial features exceed {POLY_LIMIT}")
     return df.select(*keep, *[(F.col(a).cast("double") if b is None else
                                F.col(a).cast("double") * F.col(b)).alias(n) for a, b, n in terms])
 
@@ -416,6 +411,29 @@ def stratified_split(df: DataFrame, stratum: str, key: Sequence[str], test_size:
     return split_by_hash(df, stratum, key, table, seed, hist, flag, few_strata=True)
 
 
+FOLD_BUCKET_ROWS = 100_000
+
+
+def stratified_folds(df: DataFrame, strata: Sequence[str], key: str, folds: int, seed: int = 43,
+                     out: str = "fold") -> DataFrame:
+    """Deal the rows of each stratum over the folds in turn, in the order of a hash of the key.
+
+    Fold sizes of a stratum differ by one row at most, so a rare class is in as many folds as it
+    has rows. A stratum is numbered in hash buckets of bounded size: offsets come from the small
+    table of bucket counts, rows are only ordered within a bucket.
+    """
+    buckets = 1 + df.count() // FOLD_BUCKET_ROWS
+    h = F.xxhash64(F.lit(seed), key)
+    keyed = df.withColumns({"_h": h, "_b": F.pmod(h, F.lit(buckets))})
+    by = [*strata, "_b"]
+    before = W.partitionBy(*strata).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = keyed.groupBy(*by).agg(F.count("*").alias("_n")).withColumn(
+        "_at", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    place = F.row_number().over(W.partitionBy(*by).orderBy("_h", key)) - 1 + F.col("_at")
+    return keyed.join(offsets, by).withColumn(
+        out, F.pmod(place, F.lit(folds)).cast("int")).select(*df.columns, out)
+
+
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """``(label, n, weight)`` with weight n/(k·n_c)."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))

@@ -142,6 +142,12 @@ def silhouette(p: DataFrame, method: str = "euclidean", m: Moments | None = None
         "method", F.lit("euclidean"))
 
 
+def penalised_silhouette(p: DataFrame, method: str = "euclidean") -> DataFrame:
+    """One row ``(silhouette, method)``: the silhouette times the share of rows that aren't noise."""
+    share = 1.0 - float(noise_ratio(p).first()[0])
+    return silhouette(p, method).withColumn("silhouette", F.col("silhouette") * share)
+
+
 def _squared_silhouette(p: DataFrame, m: Moments) -> DataFrame:
     centres, n, v = m.mean, m.n, m.ss.sum(1) / m.n
 

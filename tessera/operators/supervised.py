@@ -173,54 +173,63 @@ def default_params(name: str, task: str) -> dict[str, Any]:
     }[name]
 
 
-def sample_params(name: str, task: str, g: np.random.Generator) -> dict[str, Any]:
-    """One draw from the model's search space; the ranges are fixed values."""
-    clf = task == "classification"
-
-    def whole(lo: int, hi: int) -> int:
-        return int(g.integers(lo, hi + 1))
-
-    def log_uniform(lo: float, hi: float) -> float:
-        return float(math.exp(g.uniform(math.log(lo), math.log(hi))))
+CLASSES, NUMBERS = ("classification",), ("regression",)
+BOTH = CLASSES + NUMBERS
+
+# Search ranges. Kinds: "int" and "float" are uniform between two ends (both
+# included), "log" is log-uniform, "choice" takes one of the values.
+SEARCH_SPACE = [
+    # model, tasks, parameter, kind, low and high or the values
+    ("LogisticRegression", BOTH, "C", "log", (1e-3, 1e2)),
+    ("Ridge", BOTH, "alpha", "log", (0.01, 100)),
+    ("Lasso", BOTH, "alpha", "log", (0.001, 1)),
+    ("RandomForest", CLASSES, "n_estimators", "int", (100, 600)),
+    ("RandomForest", CLASSES, "max_depth", "choice", (None, 5, 10, 15, 20)),
+    ("RandomForest", CLASSES, "min_samples_split", "int", (2, 10)),
+    ("RandomForest", NUMBERS, "n_estimators", "int", (50, 500)),
+    ("RandomForest", NUMBERS, "max_depth", "int", (5, 30)),
+    ("DecisionTree", CLASSES, "max_depth", "choice", (None, 5, 10, 15, 20)),
+    ("DecisionTree", CLASSES, "min_samples_split", "int", (2, 10)),
+    ("DecisionTree", NUMBERS, "max_depth", "int", (3, 30)),
+    ("SVC", BOTH, "C", "log", (1e-2, 1e2)),
+    ("SVC", BOTH, "gamma", "choice", ("scale", "auto")),
+    ("SVR", BOTH, "C", "float", (0.1, 5)),
+    ("KNN", CLASSES, "n_neighbors", "int", (3, 30)),
+    ("KNN", CLASSES, "weights", "choice", ("uniform", "distance")),
+    ("KNN", NUMBERS, "n_neighbors", "int", (2, 15)),
+    ("GradientBoosting", BOTH, "n_estimators", "int", (100, 500)),
+    ("GradientBoosting", BOTH, "learning_rate", "float", (0.01, 0.2)),
+    ("GradientBoosting", CLASSES, "max_depth", "int", (2, 6)),
+    ("GradientBoosting", NUMBERS, "max_depth", "int", (3, 10)),
+    ("XGBoost", CLASSES, "n_estimators", "int", (100, 800)),
+    ("XGBoost", NUMBERS, "n_estimators", "int", (100, 500)),
+    ("XGBoost", BOTH, "max_depth", "int", (3, 10)),
+    ("XGBoost", BOTH, "learning_rate", "float", (0.01, 0.3)),
+    ("LightGBM", CLASSES, "n_estimators", "int", (100, 800)),
+    ("LightGBM", NUMBERS, "n_estimators", "int", (100, 500)),
+    ("LightGBM", CLASSES, "num_leaves", "int", (20, 120)),
+    ("LightGBM", NUMBERS, "num_leaves", "int", (20, 100)),
+    ("LightGBM", BOTH, "learning_rate", "float", (0.01, 0.3)),
+    ("CatBoost", CLASSES, "depth", "int", (4, 10)),
+    ("CatBoost", NUMBERS, "depth", "int", (3, 10)),
+    ("CatBoost", CLASSES, "iterations", "int", (200, 800)),
+    ("CatBoost", NUMBERS, "iterations", "int", (100, 500)),
+    ("CatBoost", BOTH, "learning_rate", "float", (0.01, 0.3)),
+]
+
+_DRAWS = {
+    "int": lambda g, v: int(g.integers(v[0], v[1] + 1)),
+    "float": lambda g, v: float(g.uniform(*v)),
+    "log": lambda g, v: float(math.exp(g.uniform(math.log(v[0]), math.log(v[1])))),
+    "choice": lambda g, v: v[int(g.integers(len(v)))],
+}
 
-    def one_of(values: list) -> Any:
-        return values[int(g.integers(len(values)))]
 
-    if name == "LogisticRegression":
-        return {"C": log_uniform(1e-3, 1e2)}
-    if name == "Ridge":
-        return {"alpha": log_uniform(0.01, 100)}
-    if name == "Lasso":
-        return {"alpha": log_uniform(0.001, 1)}
-    if name == "RandomForest":
-        return ({"n_estimators": whole(100, 600), "max_depth": one_of([None, 5, 10, 15, 20]),
-                 "min_samples_split": whole(2, 10)} if clf else
-                {"n_estimators": whole(50, 500), "max_depth": whole(5, 30)})
-    if name == "DecisionTree":
-        return ({"max_depth": one_of([None, 5, 10, 15, 20]), "min_samples_split": whole(2, 10)}
-                if clf else {"max_depth": whole(3, 30)})
-    if name == "SVC":
-        return {"C": log_uniform(1e-2, 1e2), "gamma": one_of(["scale", "auto"])}
-    if name == "SVR":
-        return {"C": float(g.uniform(0.1, 5))}
-    if name == "KNN":
-        return ({"n_neighbors": whole(3, 30), "weights": one_of(["uniform", "distance"])} if clf
-                else {"n_neighbors": whole(2, 15)})
-    if name == "GradientBoosting":
-        return {"n_estimators": whole(100, 500), "learning_rate": float(g.uniform(0.01, 0.2)),
-                "max_depth": whole(2, 6) if clf else whole(3, 10)}
-    if name == "XGBoost":
-        return {"n_estimators": whole(100, 800 if clf else 500), "max_depth": whole(3, 10),
-                "learning_rate": float(g.uniform(0.01, 0.3))}
-    if name == "LightGBM":
-        return {"n_estimators": whole(100, 800 if clf else 500),
-                "num_leaves": whole(20, 120 if clf else 100),
-                "learning_rate": float(g.uniform(0.01, 0.3))}
-    if name == "CatBoost":
-        return {"depth": whole(4 if clf else 3, 10),
-                "iterations": whole(200, 800) if clf else whole(100, 500),
-                "learning_rate": float(g.uniform(0.01, 0.3))}
-    return {}
+def sample_params(name: str, task: str, g: np.random.Generator) -> dict[str, Any]:
+    """One draw from the model's search space; models without one get no parameters."""
+    kind = task if task in CLASSES else NUMBERS[0]
+    return {param: _DRAWS[draw](g, values) for model, tasks, param, draw, values in SEARCH_SPACE
+            if model == name and kind in tasks}
 
 
 def _trees(params: dict[str, Any]) -> tuple[int, int, float]:

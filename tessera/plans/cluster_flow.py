@@ -6,11 +6,12 @@ import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from types import SimpleNamespace
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.config import ClusteringConfig
+from tessera.config import settings
 from tessera.functions.metrics import normalise_runs
 from tessera.operators import cluster as K, quality as Q
 from tessera.session import written
@@ -46,13 +47,13 @@ def k_curve(space: DataFrame, view: DataFrame, name: str, params: dict, ks: Sequ
         labels = K.fit(name, space, {**params, key: k}, seed).labels
         p = written(view.join(labels, "id"), "curve")
         m = Q.moments(p)
-        sil = 0.0 if len(m.labels) < 2 else Q.silhouette(p, "squared", m).first()["silhouette"]
+        sil = 0.0 if len(m.labels) < 2 else Q.penalised_silhouette(p, "squared").first()["silhouette"]
         rows.append((k, float(sil), Q.calinski_harabasz(m)))
     return view.sparkSession.createDataFrame(
         rows, "n_clusters int, silhouette_score double, calinski_harabasz_score double")
 
 
-def tune(name: str, space: DataFrame, view: Q.View, n: int, config: ClusteringConfig
+def tune(name: str, space: DataFrame, view: Q.View, n: int, config: SimpleNamespace
          ) -> tuple[dict, list[int]]:
     """Best parameters of a seeded random search, and every k that was tried."""
     rng = np.random.default_rng(config.seed)
@@ -90,11 +91,11 @@ RUN_SCHEMA = ("model_name string, space string, hyperparams map<string,string>,
               "train_start timestamp, train_finish timestamp, " + Q.MEASURE_SCHEMA)
 
 
-def train_clustering(points: DataFrame, config: ClusteringConfig | None = None, plan_id: int = 3,
+def train_clustering(points: DataFrame, config: SimpleNamespace | None = None, plan_id: int = 3,
                      models: Sequence[str] | None = None, spaces: Sequence[str] = ("linear", "view"),
                      progress: Progress | None = None, curves: bool = True) -> ClusterRun:
     """Tune and score every model of the plan on points ``(id, vec)`` and rank the results."""
-    config = config or ClusteringConfig()
+    config = config or settings("clustering")
     tell = progress or (lambda step, model=None: None)
     tell(1, None)
     linear = written(points.select("id", "vec"), "linear")
@@ -134,7 +135,8 @@ def train_clustering(points: DataFrame, config: ClusteringConfig | None = None,
     if rows:
         scored = Q.unified_columns(points.sparkSession.createDataFrame(rows, RUN_SCHEMA))
         kept = scored.where(F.col("unified_score") >= LOWEST_SCORE).withColumn(
-            "calinski_harabasz", F.col("ch"))
+            "calinski_harabasz", F.col("ch")).withColumn(
+            "silhouette", F.col("silhouette") * (1 - F.col("noise_ratio")))
         board = normalise_runs(kept, ["silhouette", "calinski_harabasz", "gap", "stability"]
                                ).orderBy(F.col("unified_score").desc(), "model_name").limit(
             config.top_n_models)

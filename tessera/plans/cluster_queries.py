@@ -71,6 +71,13 @@ def _sil(dist):
   SELECT ROUND(AVG((b - a) / GREATEST(a, b)), 6) AS silhouette FROM ab"""
 
 
+@query("q1_penalised_silhouette", f"""WITH {P_SQL}, {G_PAIRS}, {_sil('dist').replace(
+    "ROUND(AVG((b - a) / GREATEST(a, b)), 6)",
+    "ROUND(AVG((b - a) / GREATEST(a, b)) * (1 - (SELECT AVG(CAST(cluster = -1 AS INT)) FROM e)), 6)")}""")
+def q1_penalised(spark, d):
+    return r6(Q.penalised_silhouette(plane(spark, d)), "silhouette").select("silhouette")
+
+
 @query("q2_silhouette", f"WITH {P_SQL}, {G_PAIRS}, {_sil('dist')}")
 def q2(spark, d):
     return r6(Q.silhouette(plane(spark, d), "euclidean"), "silhouette").select("silhouette")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.config import ClassificationConfig, ClusteringConfig, RegressionConfig
+from tessera.config import settings
 from tessera.functions import metrics as M
 from tessera.operators import features as X, score as R, supervised as S
 from tessera.operators.clean import ROW_KEY
@@ -137,8 +137,7 @@ def few(name: str, task: str, g: np.random.Generator) -> dict:
 
 
 def config(task: str):
-    cls = ClassificationConfig if task == "classification" else RegressionConfig
-    return cls(n_iter=2, cv_folds=2)
+    return settings(task, n_iter=2, cv_folds=2)
 
 
 @query("t1_baseline")
@@ -197,7 +196,7 @@ def k13(spark, d):
     from tessera.plans.cluster_flow import train_clustering
     p = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")
                                              .cast("array<double>").alias("vec"))
-    c = ClusteringConfig(n_trials=2, stability_n_runs=2, gap_n_refs=1)
+    c = settings("clustering", n_trials=2, stability_n_runs=2, gap_n_refs=1)
     run = train_clustering(p, c, models=["KMeans"], spaces=["linear"], curves=False)
     return run.leaderboard.drop("train_start", "train_finish")
 

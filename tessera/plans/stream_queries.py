@@ -30,7 +30,8 @@ IDX = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in STEPS.ite
 PROG = f"""p AS (SELECT user_id AS training_id, event_type AS step, CAST({IDX} AS INT) AS step_index,
   CASE WHEN value > 10 THEN props END AS model_name, ts FROM events)"""
 LAST = """SELECT training_id, step, step_index, model_name FROM (SELECT *, ROW_NUMBER() OVER (
-  PARTITION BY training_id ORDER BY ts DESC) AS rn FROM p) WHERE rn = 1"""
+  PARTITION BY training_id ORDER BY ts DESC) AS rn FROM p) WHERE rn = 1
+    AND ts > (SELECT MAX(ts) FROM events) - INTERVAL 2 HOUR"""
 FEED = """SELECT p.training_id, step, step_index, model_name FROM p LEFT JOIN (
   SELECT training_id, MIN(ts) AS fin FROM p WHERE step_index = 6 GROUP BY 1) e USING (training_id)
   WHERE fin IS NULL OR ts <= fin"""
@@ -71,7 +72,7 @@ def w1_stream(spark, d):
     sink = new_path(spark, "stream")
     P.run_available(P.stream_latest_progress(progress(_events_stream(spark, d))), sink,
                     new_path(spark, "stream-state"))
-    return P.read_latest(spark, sink, "training_id").drop("ts")
+    return P.read_latest(spark, sink, "training_id", P.PROGRESS_TTL).drop("ts")
 
 
 @query("w2_progress_feed_stream", f"WITH {PROG} {FEED}")
@@ -83,9 +84,10 @@ def w2_stream(spark, d):
 
 @query("w3_active_datasets_stream", """SELECT 'u' || user_id AS user_id,
   event_type || '/' || props AS files_key, event_type AS filename FROM (
-    SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events) WHERE rn = 1""")
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events) WHERE rn = 1
+    AND ts > (SELECT MAX(ts) FROM events) - INTERVAL 15 MINUTE""")
 def w3_stream(spark, d):
     sink = new_path(spark, "stream")
     P.run_available(P.stream_active_datasets(datasets(_events_stream(spark, d))), sink,
                     new_path(spark, "stream-state"))
-    return P.read_latest(spark, sink, "user_id").drop("ts")
+    return P.read_latest(spark, sink, "user_id", P.ACTIVE_DATASET_TTL).drop("ts")

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from multiprocessing.pool import ThreadPool
+from types import SimpleNamespace
 from typing import Any
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.config import ClassificationConfig, ClusteringConfig, RegressionConfig
+from tessera.config import settings
 from tessera.functions import metrics as M
 from tessera.operators import features as X, supervised as S
 from tessera.operators.clean import ROW_KEY, clean, separate, with_row_key
@@ -44,6 +46,7 @@ class Prepared:
     target_codes: DataFrame | None = None
     transform: str | None = None
     category_codes: DataFrame | None = None
+    per_fold: dict[int, tuple[int, float, float]] = field(default_factory=dict)
 
     def train(self) -> DataFrame:
         return self.table.where("NOT is_test")
@@ -64,15 +67,20 @@ class Prepared:
         return self.poly_features if name in S.POLYNOMIAL_MODELS else self.features
 
 
-def _poly_vector(cols: Sequence[str]):
-    return array_to_vector(F.array(*[
-        F.col(f"`{a}`") if b is None else F.col(f"`{a}`") * F.col(f"`{b}`")
-        for a, b, _ in X.polynomial_names(cols)]))
+def _poly_vector(col: str):
+    """Degrees 1 and 2 of an array column in the order of ``polynomial_names``, at any width."""
+    x = F.col(col)
+    return array_to_vector(F.concat(x, F.flatten(F.transform(x, lambda a, i: F.transform(
+        F.slice(x, i + 1, F.size(x) - i), lambda b: a * b)))))
 
 
-def prepare(df: DataFrame, target: str, task: str, config: ClassificationConfig | RegressionConfig,
-            drop: Sequence[str] = (), id_match: str = "substring") -> Prepared:
-    """Clean, encode, split and scale a raw table; every fit statistic comes from the train part."""
+def prepare(df: DataFrame, target: str, task: str, config: SimpleNamespace,
+            drop: Sequence[str] = (), id_match: str = "substring",
+            models: Sequence[str] | None = None) -> Prepared:
+    """Clean, encode, split and scale a raw table; every fit statistic comes from the train part.
+
+    Polynomial vectors are made only if one of ``models`` (none named: all) reads them.
+    """
     separate(df, target, task)
     cleaned = clean(df, task, drop, target, id_match, snapshot=True)
     cats = [c for c in cleaned.low + cleaned.high if c != target]
@@ -98,8 +106,8 @@ def prepare(df: DataFrame, target: str, task: str, config: ClassificationConfig
         F.col(f"`{c}`").cast("double").alias(c) for c in features])
     keyed = written(keyed, "keyed")
     split = X.stratified_split(keyed, stratum, [ROW_KEY], config.test_size, config.seed)
-    split = written(split.withColumn("fold", F.pmod(F.xxhash64(
-        F.lit(config.seed + 1), ROW_KEY), F.lit(config.cv_folds)).cast("int")), "split")
+    split = written(X.stratified_folds(written(split, "flagged"), ["is_test", stratum], ROW_KEY,
+                                       config.cv_folds, config.seed + 1), "split")
     train = split.where("NOT is_test")
     scaling = X.fit_standard(train, features)
     scaled = scaling.apply(split).withColumn("label", F.col("label").cast("double"))
@@ -115,31 +123,40 @@ def prepare(df: DataFrame, target: str, task: str, config: ClassificationConfig
             cells = [x for c, n in counts.items() for x in (
                 F.lit(float(c)), F.lit(total / (len(counts) * n)))]
             scaled = scaled.withColumn("weight", F.create_map(*cells)[F.col("label")])
-    poly = [n for _, _, n in X.polynomial_names(features)]
-    if len(poly) > X.POLY_LIMIT:
-        raise ValueError(f"{len(poly)} polynomial features exceed {X.POLY_LIMIT}")
-    table = written(scaled.select(
-        ROW_KEY, "label", "is_test", "fold", *([weight] if weight else []),
-        array_to_vector(F.array(*[F.col(f"`{c}`") for c in features])).alias("base"),
-        _poly_vector(features).alias("poly")), "prepared")
-    stats = table.where("NOT is_test").agg(F.count("*").alias("n"),
-                                           F.stddev_pop("label").alias("sd")).first()
-    return Prepared(table, features, poly, scaling, float(stats["n"]), classes,
-                    float(stats["sd"] or 1.0), 1.0, weight, imbalanced, target_codes, transform,
-                    codes)
-
-
-def build(p: Prepared, name: str, task: str, params: dict, n: float, seed: int):
+    wanted = models is None or bool(S.POLYNOMIAL_MODELS.intersection(models))
+    poly = [n for _, _, n in X.polynomial_names(features)] if wanted else []
+    vectors = scaled.select(ROW_KEY, "label", "is_test", "fold", *([weight] if weight else []),
+                            F.array(*[F.col(f"`{c}`") for c in features]).alias("values"))
+    table = written(vectors.select(
+        *[c for c in vectors.columns if c != "values"], array_to_vector("values").alias("base"),
+        *([_poly_vector("values").alias("poly")] if wanted else [])), "prepared")
+    per_fold = {r["fold"]: (r["n"], r["m"], r["v"]) for r in table.where("NOT is_test").groupBy(
+        "fold").agg(F.count("*").alias("n"), F.avg("label").alias("m"),
+                    F.var_pop("label").alias("v")).collect()}
+    n_train, sd = _pooled(list(per_fold.values()))
+    return Prepared(table, features, poly, scaling, n_train, classes, sd, 1.0, weight, imbalanced,
+                    target_codes, transform, codes, per_fold)
+
+
+def _pooled(parts: Sequence[tuple[int, float, float]]) -> tuple[float, float]:
+    """Rows and population deviation of parts with known (rows, mean, variance)."""
+    n = float(sum(c for c, *_ in parts))
+    mean = sum(c * m for c, m, _ in parts) / n
+    return n, math.sqrt(sum(c * (v + (m - mean) ** 2) for c, m, v in parts) / n) or 1.0
+
+
+def build(p: Prepared, name: str, task: str, params: dict, seed: int, without: int | None = None):
+    """The estimator for the train part, or for the train part without one fold."""
+    n, sd = _pooled([v for k, v in p.per_fold.items() if k != without])
     return S.estimator(name, task, params, n=n, width=p.width(name), classes=p.classes,
-                       label_sd=p.label_sd, feature_var=p.feature_var, weight=p.weight, seed=seed)
+                       label_sd=sd, feature_var=p.feature_var, weight=p.weight, seed=seed)
 
 
 def baseline(p: Prepared, names: Sequence[str], task: str, metric: str, config) -> dict[str, float]:
     """Main metric on the test part of every model with default settings."""
     def one(name: str) -> tuple[str, float]:
         try:
-            params = {**S.default_params(name, task), **getattr(config, "overrides", {})}
-            model = build(p, name, task, params, p.n_train, config.seed).fit(
+            model = build(p, name, task, S.default_params(name, task), config.seed).fit(
                 p.view(p.train(), name))
             return name, M.measure(model.transform(p.view(p.test(), name)), metric)
         except Exception as ex:  # a model that cannot be fitted is ranked last
@@ -157,8 +174,7 @@ def cross_validated(p: Prepared, name: str, task: str, params: dict, metric: str
     for fold in range(config.cv_folds):
         try:
             fit_rows = train.where(F.col("fold") != fold)
-            n = p.n_train * (config.cv_folds - 1) / config.cv_folds
-            model = build(p, name, task, params, n, config.seed).fit(fit_rows)
+            model = build(p, name, task, params, config.seed, fold).fit(fit_rows)
             scores.append(M.measure(model.transform(train.where(F.col("fold") == fold)), metric))
         except Exception as ex:
             log.warning("%s %s failed: %s", name, params, ex)
@@ -253,11 +269,11 @@ def train_supervised(df: DataFrame, target: str, task: str, config=None, plan_id
                      progress: Progress | None = None, id_match: str = "substring",
                      space: Callable = S.sample_params) -> SupervisedRun:
     """The whole run for one target."""
-    config = config or (ClassificationConfig() if task == "classification" else RegressionConfig())
+    config = config or settings(task)
     tell = progress or (lambda step, model=None: None)
     tell(1, None)
-    p = prepare(df, target, task, config, drop, id_match)
     names = [n for n in S.model_names(task, plan_id) if models is None or n in models]
+    p = prepare(df, target, task, config, drop, id_match, names)
     metric = M.main_metric(task, p.classes, p.imbalanced)
     run = SupervisedRun(task, target, p, baseline=baseline(p, names, task, metric, config))
     ranked = sorted(names, key=lambda n: (-run.baseline[n], names.index(n)))[:config.top_n_models]
@@ -267,7 +283,7 @@ def train_supervised(df: DataFrame, target: str, task: str, config=None, plan_id
         tell(2, name)
         start = datetime.now(timezone.utc)
         params, _ = search(p, name, task, metric, config, space)
-        model = build(p, name, task, params, p.n_train, config.seed).fit(p.view(p.train(), name))
+        model = build(p, name, task, params, config.seed).fit(p.view(p.train(), name))
         predicted = written(model.transform(p.view(p.test(), name)), "predicted")
         tell(3, name)
         metrics, cells = evaluate(p, task, predicted)
@@ -287,7 +303,7 @@ def run_task(df: DataFrame, task: str, target: str | None = None, config=None, p
         if plan_id <= 1:
             raise ValueError("clustering needs plan 2")
         return train_clustering(cluster_points(df, options.pop("drop", ())), config
-                                or ClusteringConfig(), plan_id, **options)
+                                or settings("clustering"), plan_id, **options)
     if target is None:
         raise ValueError("target is required")
     kind = "regression" if task == "regression" else "classification"

@@ -129,9 +129,19 @@ def _start(writer, checkpoint: str, once: bool):
     return query
 
 
-def read_latest(spark: SparkSession, sink: str, key: str) -> DataFrame:
-    """Newest row per key of what an update stream has written."""
+def read_latest(spark: SparkSession, sink: str, key: str, ttl: int | None = None,
+                now: Column | None = None) -> DataFrame:
+    """Newest row per key of what an update stream has written.
+
+    With ``ttl`` entries expire so many seconds after their time, as in the batch form; ``now`` is
+    the newest time in the sink where it isn't given.
+    """
     rows = spark.read.parquet(sink)
     values = [c for c in rows.columns if c not in (key, "batch")]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*values), F.struct("ts", "batch"))
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*values), F.struct("ts", "batch"))
                                  .alias("s")).select(key, "s.*")
+    if ttl is None:
+        return last
+    if now is None:
+        now = F.lit(rows.agg(F.max("ts")).first()[0])
+    return last.where(F.col("ts") > now - F.make_interval(secs=F.lit(ttl)))

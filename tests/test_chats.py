@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tessera.config import ClassificationConfig, ClusteringConfig
+from tessera.config import settings
 from tessera.plans.chats import Workspace
 from tessera.sources.registry import Registry
 
@@ -26,7 +26,7 @@ def test_life_of_a_chat(spark, tmp_path):
     assert ws.detail(chat)["status"] == "idle"
 
     events = []
-    run = ws.train(chat, "classification", "grade", config=ClassificationConfig(n_iter=1, cv_folds=2),
+    run = ws.train(chat, "classification", "grade", config=settings("classification", n_iter=1, cv_folds=2),
                    models=["NaiveBayes", "DecisionTree"], publish=events.append)
     assert events[0]["step_index"] == 0 and events[-1]["step_index"] == 6
     d = ws.detail(chat)
@@ -37,7 +37,8 @@ def test_life_of_a_chat(spark, tmp_path):
     with pytest.raises(PermissionError):
         ws.predict(models[0]["model_id"], df, "u3")
 
-    again = ws.train(chat, "clustering", config=ClusteringConfig(
+    again = ws.train(chat, "clustering", config=settings(
+        "clustering",
         n_trials=1, stability_n_runs=2, gap_n_refs=1), models=["KMeans"], spaces=["linear"],
         curves=False)
     assert again == run

@@ -4,7 +4,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tessera.config import ClassificationConfig, ClusteringConfig, RegressionConfig
+from tessera.config import settings
 from tessera.operators import score as R, supervised as S
 from tessera.plans import train as T
 from tessera.plans.cluster_flow import model_pool, train_clustering
@@ -95,7 +95,7 @@ def test_kernel_features_approach_rbf(spark):
 
 
 def test_classification_run_and_scoring(spark, people, small_defaults, tmp_path):
-    c = ClassificationConfig(n_iter=1, cv_folds=2)
+    c = settings("classification", n_iter=1, cv_folds=2)
     seen = []
     run = T.run_task(people.drop("spend", "rare"), "anything", "grade", c, space=small,
                      models=["SVC", "KNN", "DecisionTree", "GradientBoosting", "NaiveBayes"],
@@ -122,7 +122,7 @@ def test_classification_run_and_scoring(spark, people, small_defaults, tmp_path)
 
 
 def test_imbalanced_run_uses_f1_and_weights(spark, people):
-    c = ClassificationConfig(n_iter=1, cv_folds=2)
+    c = settings("classification", n_iter=1, cv_folds=2)
     run = T.train_supervised(people.drop("grade", "spend"), "rare", "classification", c,
                              models=["LogisticRegression"])
     assert run.prepared.imbalanced and run.prepared.weight == "weight"
@@ -130,7 +130,7 @@ def test_imbalanced_run_uses_f1_and_weights(spark, people):
 
 
 def test_regression_run_registry_and_missing_columns(spark, people, tmp_path):
-    c = RegressionConfig(n_iter=1, cv_folds=2)
+    c = settings("regression", n_iter=1, cv_folds=2)
     run = T.run_task(people.drop("grade", "rare"), "regression", "spend", c,
                      models=["LinearRegression", "SVR"], space=small)
     assert run.prepared.transform == "log1p"
@@ -151,7 +151,7 @@ def test_regression_run_registry_and_missing_columns(spark, people, tmp_path):
 
 def test_scoring_a_stream(spark, people, tmp_path):
     run = T.train_supervised(people.drop("spend", "rare"), "grade", "classification",
-                             ClassificationConfig(n_iter=1, cv_folds=2), models=["NaiveBayes"])
+                             settings("classification", n_iter=1, cv_folds=2), models=["NaiveBayes"])
     art = R.from_run(run, run.results[0])
     people.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(people.schema).parquet(str(tmp_path / "in"))
@@ -179,7 +179,7 @@ def test_clustering_run(spark):
     pdf = pd.DataFrame(np.concatenate([rng.normal(c, 0.3, (40, 3)) for c in (0, 4)]),
                        columns=["a", "b", "c"])
     points = T.cluster_points(spark.createDataFrame(pdf))
-    c = ClusteringConfig(n_trials=1, stability_n_runs=2, gap_n_refs=1)
+    c = settings("clustering", n_trials=1, stability_n_runs=2, gap_n_refs=1)
     run = train_clustering(points, c, models=["KMeans"], spaces=["linear"])
     row = run.leaderboard.first()
     assert row["model_name"] == "KMeans_linear" and 0 < row["unified_score"] <= 1

@@ -32,6 +32,9 @@ def test_latest_progress_over_batches(spark, tmp_path):
     rows = spark.createDataFrame([r for p in parts for r in p], PROGRESS)
     alive = P.latest_progress(rows, F.lit(at(210))).collect()
     assert [r["training_id"] for r in alive] == [2]
+    for now in (None, F.lit(at(210))):
+        live = P.read_latest(spark, str(tmp_path / "out"), "training_id", P.PROGRESS_TTL, now)
+        assert [r["training_id"] for r in live.collect()] == [2]
 
 
 def test_feed_stops_at_the_last_step(spark, tmp_path):
