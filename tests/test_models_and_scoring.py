@@ -199,3 +199,16 @@ def test_model_pools():
     assert "AgglomerativeClustering" in model_pool(3, "linear")
     assert model_pool(3, "view") == ["AgglomerativeClustering"]
     assert "GradientBoosting" not in S.model_names("classification", 1)
+
+
+def test_folds_are_stratified_and_polynomials_keep_their_order(spark):
+    df = spark.createDataFrame([(i, "rare" if i % 50 == 0 else "often") for i in range(200)],
+                               "_rid int, kind string")
+    rows = R.X.stratified_folds(df, ["kind"], "_rid", 3).groupBy("kind", "fold").count().collect()
+    sizes = {k: sorted(r["count"] for r in rows if r["kind"] == k) for k in ("rare", "often")}
+    assert sizes == {"rare": [1, 1, 2], "often": [65, 65, 66]}
+    one = spark.createDataFrame([([2.0, 3.0, 5.0],)], "v array<double>")
+    got = one.select(T._poly_vector("v").alias("p")).first()["p"].toArray().tolist()
+    named = R.X.polynomial_names(["a", "b", "c"])
+    at = {"a": 2.0, "b": 3.0, "c": 5.0}
+    assert got == [at[a] * at.get(b, 1.0) for a, b, _ in named]
