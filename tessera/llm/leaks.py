@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit distance."""
+"""Benchmark decontamination: lossless seeds by pieces, q-gram counts, exact edit distance."""
 
 from __future__ import annotations
 
@@ -6,15 +6,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import _BYTE, bare, documents, joined, longs, mixed, rolled, slices
+from tessera.llm.common import _BYTE, bare, documents, longs, rolled, slices
 
 SHARE = 0.08
 """A passage matches an item within so many edits per byte of the item."""
 GRAM = 9
+WIDTHS = (11, 9, 6)
+"""Lengths of seeds: an item's are the longest that fit its pieces, of which each has six bytes."""
 FILTER_BITS = 22
-WALKS, SAMPLES, BITS = 4, 16, 7
-"""Independent embeddings, LSH tables per embedding, sampled places per table."""
 ITEMS_AT_ONCE = 2000
+PAIRS_AT_ONCE = 4_000_000
 SLICE = 2 << 20
 
 
@@ -27,163 +28,169 @@ def edits(size: int, share: float = SHARE) -> int:
     return int(size * share)
 
 
-def distance(item: bytes, text: bytes, most: int) -> int | None:
-    """Least edit distance between the item and a beginning of ``text``, if at most ``most``.
+def distances(item: bytes, text: bytes) -> list[int]:
+    """For each place of ``text``: least edit distance between the item and a passage from there.
 
-    Bit-parallel columns (Myers 1999): one big-integer step for each byte of text.
+    Bit-parallel columns (Myers 1999) from the end: one big-integer step for each byte of text.
     """
-    if text.startswith(item):
-        return 0
     n = len(item)
     masks: dict[int, int] = {}
-    for i, c in enumerate(item):
+    for i, c in enumerate(reversed(item)):
         masks[c] = masks.get(c, 0) | 1 << i
     full, high = (1 << n) - 1, 1 << n - 1
-    up, down, score, best = full, 0, n, n
-    for c in text[:n + most]:
+    up, down, score, out = full, 0, n, []
+    for c in reversed(text):
         eq = masks.get(c, 0)
         x = eq | down
         zero = (((x & up) + up) ^ up) | x
         plus, minus = down | (full & ~(zero | up)), up & zero
         score += bool(plus & high) - bool(minus & high)
-        best = min(best, score)
-        plus, minus = plus << 1 | 1, minus << 1
+        out.append(score)
+        plus, minus = plus << 1, minus << 1
         up, down = (minus | (full & ~(zero | plus))) & full, plus & zero & full
+    return out[::-1]
+
+
+def distance(item: bytes, text: bytes, most: int) -> int | None:
+    """Least edit distance between the item and a beginning of ``text``, if at most ``most``."""
+    if text.startswith(item):
+        return 0
+    best = min(distances(item, text[:len(item) + most])[:1], default=len(item))
     return best if best <= most else None
 
 
 class Items:
-    """A block of benchmark items: gram filter, and LSH tables by length class."""
+    """A block of benchmark items and their seeds.
+
+    An item with e edits allowed is cut into e + 1 pieces. Edits can't touch all of them, so any
+    match holds a piece unchanged, at most e bytes from its place: no match is lost, whatever the
+    item's length and wherever the match starts.
+    """
 
-    def __init__(self, items: list[tuple[int, bytes]], seed: int = 11):
+    def __init__(self, items: list[tuple[int, bytes]]):
         self.short = [(i, t) for i, t in items if 0 < len(t) < GRAM]
-        items = sorted((len(t), i, t) for i, t in items if len(t) >= GRAM)
-        self.items = [(i, t) for _, i, t in items]
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        for _, t in self.items:
-            self.filter[self.slots(np.frombuffer(t, np.uint8))] = True
-        rng = np.random.default_rng(seed)
-        self.classes = []
-        start = 0
-        while start < len(self.items):
-            low = len(self.items[start][1])
-            end = start
-            while end < len(self.items) and len(self.items[end][1]) <= low * 1.25:
-                end += 1
-            group = list(range(start, end))
-            sizes = [len(self.items[i][1]) for i in group]
-            need = max(1, min(n - GRAM + 1 - GRAM * edits(n) for n in sizes))
-            reach = max(n + edits(n) for n in sizes)
-            steps = 2 * low
-            walks = []
-            for _ in range(WALKS):
-                bits = rng.integers(0, 2, (steps, 256), dtype=np.int64)
-                tables = [np.sort(rng.choice(steps, min(BITS, steps), replace=False))
-                          for _ in range(SAMPLES)]
-                walks.append((bits, tables))
-            c = {"group": group, "need": need, "reach": reach, "walks": walks}
-            text = np.concatenate([np.frombuffer(self.items[i][1] + b"\0" * steps, np.uint8)
-                                   for i in group])
-            at = np.cumsum([0] + [n + steps for n in sizes[:-1]])
-            c["tables"] = []
-            for keys in self.embed(c, text, np.array(at)):
-                table: dict[int, list[int]] = {}
-                for i, k in zip(group, keys.tolist()):
-                    table.setdefault(k, []).append(i)
-                c["tables"].append((np.array(sorted(table), np.uint64), table))
-            self.classes.append(c)
-            start = end
+        self.items = [(i, t) for i, t in items if len(t) >= GRAM]
+        self.size = np.array([len(t) for _, t in self.items], np.int64)
+        self.edits = np.array([edits(len(t)) for _, t in self.items], np.int64)
+        self.grams: dict[int, np.ndarray] = {}
+        pieces: dict[int, list[tuple[int, int]]] = {}
+        for k, (n, e) in enumerate(zip(self.size.tolist(), self.edits.tolist())):
+            width = next(w for w in WIDTHS if w <= n // (e + 1))
+            pieces.setdefault(width, []).extend((k, j * n // (e + 1)) for j in range(e + 1))
+        self.seeds = []
+        for width, some in pieces.items():
+            h = np.concatenate([rolled(_BYTE[np.frombuffer(
+                self.items[k][1][at:at + width], np.uint8)], width) for k, at in some])
+            item, off = np.array(some, np.int64).T
+            order = np.argsort(h, kind="stable")
+            filter_ = np.zeros(1 << FILTER_BITS, bool)
+            filter_[self.slots(h)] = True
+            self.seeds.append((width, filter_, h[order], item[order], off[order]))
 
     @staticmethod
-    def slots(data: np.ndarray) -> np.ndarray:
-        return (rolled(_BYTE[data], GRAM) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    def slots(h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+    def places(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """(row, item, first, last): where a match can start, by seeds that it may hold."""
+        out = [np.zeros((4, 0), np.int64)]
+        for width, filter_, known, item, off in self.seeds:
+            h = rolled(_BYTE[data], width)
+            at = np.flatnonzero(filter_[self.slots(h)])
+            low = np.searchsorted(known, h[at])
+            n = np.searchsorted(known, h[at], side="right") - low
+            at, low, n = at[n > 0], low[n > 0], n[n > 0]
+            total = np.cumsum(n)
+            begin = 0
+            while begin < len(at):
+                end = max(begin + 1, int(np.searchsorted(
+                    total, total[begin] - n[begin] + PAIRS_AT_ONCE, side="right")))
+                m = n[begin:end]
+                k = np.repeat(low[begin:end] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                start = np.repeat(at[begin:end], m) - off[k]
+                row = np.searchsorted(rows, start + off[k], side="right") - 1
+                out.append(self.merged(np.stack([row, item[k], start - self.edits[item[k]],
+                                                 start + self.edits[item[k]]])))
+                begin = end
+        return self.merged(np.concatenate(out, 1))
 
     @staticmethod
-    def embed(c: dict, text: np.ndarray, at: np.ndarray):
-        """A key per LSH table for the strings that start at ``at``.
-
-        CGK walk: at each step the symbol under the pointer is written, and a random bit, which
-        depends on step and symbol, tells whether the pointer moves on. Equal bits serve all
-        strings, so walks over similar strings meet again soon after an edit, and edit distance
-        becomes Hamming distance, which sampled places find.
-        """
-        for bits, tables in c["walks"]:
-            wanted: dict[int, list[int]] = {}
-            for k, t in enumerate(tables):
-                for j in t.tolist():
-                    wanted.setdefault(j, []).append(k)
-            keys = np.zeros((len(tables), len(at)), np.uint64)
-            pointer = at.copy()
-            for j in range(max(wanted) + 1):
-                symbol = text[pointer]
-                for k in wanted.get(j, ()):
-                    keys[k] = keys[k] * np.uint64(257) + symbol + np.uint64(1)
-                pointer += bits[j][symbol]
-            yield from mixed(keys)
+    def merged(x: np.ndarray) -> np.ndarray:
+        """Ranges of one row and item that overlap, as one."""
+        if not x.shape[1]:
+            return x
+        x = x[:, np.lexsort((x[2], x[1], x[0]))]
+        pair = np.cumsum(np.r_[False, (np.diff(x[0]) != 0) | (np.diff(x[1]) != 0)])
+        # Ends so far within a row and item: pairs lie apart, so one running maximum serves all.
+        apart = np.int64(x[3].max() - min(0, x[2].min()) + 1)
+        reach = np.maximum.accumulate(x[3] + pair * apart) - pair * apart
+        new = np.r_[True, (np.diff(pair) != 0) | (x[2, 1:] > reach[:-1])]
+        first = np.flatnonzero(new)
+        return np.stack([x[0, first], x[1, first], x[2, first],
+                         reach[np.r_[first[1:], len(new)] - 1]])
+
+    def enough(self, item: int, text: bytes) -> bool:
+        """False only if the text holds too few of the item's grams for a match (q-gram lemma)."""
+        need = int(self.size[item] - GRAM + 1 - GRAM * self.edits[item])
+        if need <= 1:
+            return True
+        if item not in self.grams:
+            self.grams[item] = np.unique(rolled(_BYTE[np.frombuffer(
+                self.items[item][1], np.uint8)], GRAM))
+        known, h = self.grams[item], rolled(_BYTE[np.frombuffer(text, np.uint8)], GRAM)
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        return int((known[at] == h).sum()) >= need
 
     def find(self, text: bytes, rows: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(row, item, distance, start) over rows' plain bytes end to end, best per row and item.
 
-        ``rows`` are offsets; rows are parted by a zero byte. A window starts at a word. It goes to
-        the embedding if it has as many of the items' grams as any match of its length must have
-        (q-gram lemma), which loses no match; LSH and the edit distance decide.
+        ``rows`` are offsets; rows are parted by a zero byte. Of equally near passages one that
+        starts at a word goes first, then the first one.
         """
-        found: dict[tuple[int, int], tuple[int, int]] = {}
+        found: dict[tuple[int, int], tuple[int, bool, int]] = {}
 
         def add(row: int, item: int, d: int, at: int) -> None:
-            key = (row, self.items[item][0] if item >= 0 else -item)
-            found[key] = min(found.get(key, (d, at)), (d, at))
+            inside = at > rows[row] and text[at - 1] != 32
+            value = (d, inside, at - int(rows[row]))
+            found[row, item] = min(found.get((row, item), value), value)
 
-        data = np.frombuffer(text, np.uint8)
         for i, t in self.short:
             padded = b" " + text.replace(b"\0", b" ") + b" "
             p = padded.find(b" " + t + b" ")
             while p >= 0:
-                row = int(np.searchsorted(rows, p, side="right")) - 1
-                key = (row, i)
-                found[key] = min(found.get(key, (0, p)), (0, p))
+                add(int(np.searchsorted(rows, p, side="right")) - 1, i, 0, p)
                 p = padded.find(b" " + t + b" ", p + 1)
-        if len(data) < GRAM or not self.items:
-            return [(r, i, d, a - int(rows[r])) for (r, i), (d, a) in sorted(found.items())]
-        hits = np.zeros(len(data) + 1, np.int32)
-        np.cumsum(self.filter[self.slots(data)], out=hits[1:len(data) - GRAM + 2])
-        hits[len(data) - GRAM + 2:] = hits[len(data) - GRAM + 1]
-        gap = (data == 32) | (data == 0)
-        starts = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
-        ends = rows[np.searchsorted(rows, starts, side="right")] - 1
-        padded = np.r_[data, np.zeros(2 * 4096, np.uint8)]
-        for c in self.classes:
-            stop = np.minimum(starts + c["reach"], ends)
-            some = starts[hits[np.maximum(stop - GRAM + 1, starts)] - hits[starts] >= c["need"]]
-            if not len(some):
+        for row, item, first, last in self.places(np.frombuffer(text, np.uint8), rows).T.tolist():
+            i, t = self.items[item]
+            most = int(self.edits[item])
+            begin = max(first, int(rows[row]))
+            part = text[begin:min(last + len(t) + most, int(rows[row + 1]) - 1)]
+            if not self.enough(item, part):
+                continue
+            p = part.find(t)
+            if p >= 0:
+                while p >= 0:
+                    add(row, i, 0, begin + p)
+                    p = part.find(t, p + 1)
                 continue
-            steps = len(c["walks"][0][0])
-            room = padded if steps <= 8192 else np.r_[data, np.zeros(steps, np.uint8)]
-            seen: set[tuple[int, int]] = set()
-            for keys, (known, table) in zip(self.embed(c, room, some), c["tables"]):
-                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                for w in np.flatnonzero(known[at] == keys).tolist():
-                    for item in table[int(keys[w])]:
-                        seen.add((int(some[w]), item))
-            for start, item in sorted(seen):
-                row = int(np.searchsorted(rows, start, side="right")) - 1
-                size = len(self.items[item][1])
-                d = distance(self.items[item][1], text[start:min(
-                    start + size + edits(size), int(rows[row + 1]) - 1)], edits(size))
-                if d is not None:
-                    add(row, item, d, start)
-        return [(r, i, d, a - int(rows[r])) for (r, i), (d, a) in sorted(found.items())]
+            near = distances(t, part)
+            best = min(near, default=most + 1)
+            if best <= most:
+                for p, d in enumerate(near):
+                    if d == best:
+                        add(row, i, d, begin + p)
+        return [(r, i, d, at) for (r, i), (d, _, at) in sorted(found.items())]
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id, distance, start``: items of which a document holds a near copy.
 
     Text and items are compared in plain form (``plain``); ``start`` counts bytes of the plain
-    text. A passage within ``SHARE`` edits per byte that starts at a word is found with the recall
-    of the LSH tables: surely without edits, 0.99 where three in ten places of the embedding
-    differ. Items go in blocks of a fixed number against all documents, one pass over the
-    documents each, without a shuffle. Items without words match nothing, items under nine bytes
-    only themselves between spaces. Null texts hold nothing; repeated rows repeat; null ids stay.
+    text. Every passage within ``SHARE`` edits per byte is found, at whatever byte it starts, and
+    the least distance is given. Items go in blocks of a fixed number against all documents, one
+    pass over the documents each, without a shuffle. Items without words match nothing, items
+    under nine bytes only themselves between spaces. Null texts hold nothing; repeated rows repeat;
+    null ids stay.
     """
     spark = docs.sparkSession
     rows = items.where("text is not null").select(

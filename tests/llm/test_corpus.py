@@ -315,6 +315,53 @@ def test_leaks(spark, docs, empty):
     assert edits(100) == 8
 
 
+def edited(rng, item, e):
+    """The item after ``e`` edits at places of its own."""
+    out = bytearray(item)
+    for _ in range(e):
+        p, kind = rng.randrange(len(out)), rng.randrange(3)
+        out[p:p + (kind > 0)] = bytes([rng.randrange(97, 123)]) if kind < 2 else b""
+    return bytes(out)
+
+
+@pytest.mark.parametrize("size", [13, 25, 26, 60, 100, 240, 390, 1000, 3000])
+def test_leaks_full_radius(size):
+    """Every match within 8 % is found, whatever the item's length."""
+    from tessera.llm.leaks import Items, distances, edits
+    rng = random.Random(size)
+    items = [(i, "".join(rng.choice("abcdefgh ijklm") for _ in range(size)).replace("  ", "xy")
+              .strip().ljust(size, "q").encode()) for i in range(8)]
+    index = Items(items)
+    for _ in range(24):
+        i, item = rng.choice(items)
+        text = b"some words " + edited(rng, item, edits(size)) + b" more words"
+        near = min(distances(item, text))
+        assert near <= edits(size)
+        got = {h[1]: h for h in index.find(text + b"\0", np.array([0, len(text) + 1]))}
+        assert got[i][2] == near
+
+
+def test_leaks_against_brute_force():
+    """All rows and items, matches that just miss the radius included."""
+    from tessera.llm.leaks import Items, distances, edits
+    rng = random.Random(6)
+    items = [(i, bytes(rng.choice(b"abc ") for _ in range(rng.randint(9, 60)))) for i in range(12)]
+    texts = []
+    for _ in range(150):
+        i, item = rng.choice(items)
+        texts.append(bytes(rng.choice(b"abc ") for _ in range(rng.randint(0, 30))) + edited(
+            rng, item, rng.randint(0, edits(len(item)) + 2)) + rng.choice([b"", b" ab", item]))
+    rows = np.cumsum([0] + [len(t) + 1 for t in texts])
+    want = {}
+    for r, t in enumerate(texts):
+        for i, item in items:
+            best = min(distances(item, t), default=len(item))
+            if best <= edits(len(item)):
+                want[r, i] = best
+    got = Items(items).find(b"\0".join(texts) + b"\0", rows)
+    assert {(r, i): d for r, i, d, _ in got} == want and len(want) > 100
+
+
 def test_mixing(docs, rows, empty):
     from tessera.llm.mixing import mix, sized, targets
     got = mix(sized(docs)).collect()
