@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -24,6 +27,20 @@ def plain(text: bytes) -> bytes:
     return b" ".join(text.lower().split())
 
 
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff"
+                      "\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+"""Letters of scripts that write words without a space between."""
+
+
+def stands(item: bytes, before: bytes, behind: bytes) -> bool:
+    """Whether the item isn't a part of a longer word, by the bytes on either side of it."""
+    def inner(*chars: str) -> bool:
+        return all(c and unicodedata.category(c)[0] in "LMN" and not UNSPACED.match(c)
+                   for c in chars)
+    left, word, right = (x.decode(errors="ignore") for x in (before, item, behind))
+    return not inner(left[-1:], word[:1]) and not inner(word[-1:], right[:1])
+
+
 def edits(size: int, share: float = SHARE) -> int:
     return int(size * share)
 
@@ -155,11 +172,14 @@ class Items:
             found[row, item] = min(found.get((row, item), value), value)
 
         for i, t in self.short:
-            padded = b" " + text.replace(b"\0", b" ") + b" "
-            p = padded.find(b" " + t + b" ")
+            p = text.find(t)
             while p >= 0:
-                add(int(np.searchsorted(rows, p, side="right")) - 1, i, 0, p)
-                p = padded.find(b" " + t + b" ", p + 1)
+                row = int(np.searchsorted(rows, p, side="right")) - 1
+                begin, end = int(rows[row]), int(rows[row + 1]) - 1
+                if p + len(t) <= end and stands(t, text[max(begin, p - 4):p],
+                                                text[p + len(t):min(end, p + len(t) + 4)]):
+                    add(row, i, 0, p)
+                p = text.find(t, p + 1)
         for row, item, first, last in self.places(np.frombuffer(text, np.uint8), rows).T.tolist():
             i, t = self.items[item]
             most = int(self.edits[item])
@@ -189,8 +209,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     text. Every passage within ``SHARE`` edits per byte is found, at whatever byte it starts, and
     the least distance is given. Items go in blocks of a fixed number against all documents, one
     pass over the documents each, without a shuffle. Items without words match nothing, items
-    under nine bytes only themselves between spaces. Null texts hold nothing; repeated rows repeat;
-    null ids stay.
+    under nine bytes only themselves and not inside a word (``stands``). Null texts hold nothing;
+    repeated rows repeat; null ids stay.
     """
     spark = docs.sparkSession
     rows = items.where("text is not null").select(

@@ -362,6 +362,20 @@ def test_leaks_against_brute_force():
     assert {(r, i): d for r, i, d, _ in got} == want and len(want) > 100
 
 
+def test_leaks_start_at_any_byte(spark):
+    from tessera.llm.leaks import leaks
+    rng = random.Random(12)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(60))
+    item = "Which of the rivers named above runs north, and how long is it in all?"
+    items = spark.createDataFrame([(1, han[20:50]), (2, item), (3, "tiny"), (4, "東京")],
+                                  "item_id long, text string")
+    texts = [han, han[:30] + "x" + han[30:], "see\u00a0" + item + "\u00a0end", "(" + item[1:] + ")",
+             "so tiny, yes", "destiny tinys", "「tiny」", "前に東京は"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["distance"]) for r in leaks(docs, items).collect()}
+    assert got == {(0, 1, 0), (1, 1, 1), (2, 2, 0), (3, 2, 1), (4, 3, 0), (6, 3, 0), (7, 4, 0)}
+
+
 def test_mixing(docs, rows, empty):
     from tessera.llm.mixing import mix, sized, targets
     got = mix(sized(docs)).collect()
