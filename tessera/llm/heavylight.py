@@ -16,6 +16,8 @@ PERCENT = 75
 SLICE = 2 << 20
 LIGHT_AT_MOST = 64
 """Sizes for which costs are compared; above, a set has more subsets than elements."""
+CHUNK_ITEMS, CHUNK_SETS = 1 << 20, 2048
+"""Shingles and sets in a chunk of a component, about."""
 COMMON = 1_000_000
 """Shingles kept as common (the most frequent ones): they only decide an order."""
 
@@ -203,8 +205,9 @@ def entries(rows: DataFrame, hot: np.ndarray, counts: np.ndarray, light: int,
         meet, "content long, h long").select(F.col("content").alias("key"), "h")
 
 
-def linked(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of set keys those whose Jaccard similarity is high enough.
+def linked(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the pairs (a, b) of set keys those whose Jaccard similarity is high enough; and the
+    shingles of the sets compared (``key, items``).
 
     Bitmaps of the sets rule most pairs out. Only texts of the others' sets are fetched, one text
     a set, and their shingles are compared.
@@ -231,7 +234,7 @@ def linked(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column("key"), pa.array([g[i:j].tobytes() for i, j in zip(at, at[1:])],
                                            pa.binary())], ["key", "items"])
-    sets = saved(texts.mapInArrow(shingled, "key long, items binary"), "sets")
+    sets = saved(texts.mapInArrow(shingled, "key long, items binary").dropDuplicates(["key"]), "sets")
 
     def check(batches):
         for b in batches:
@@ -245,22 +248,93 @@ def linked(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
 
     return saved(pairs.join(sets.select(F.col("key").alias("a"), F.col("items").alias("x")), "a")
                  .join(sets.select(F.col("key").alias("b"), F.col("items").alias("y")), "b")
-                 .mapInArrow(check, "a long, b long").distinct(), "links")
+                 .mapInArrow(check, "a long, b long").distinct(), "links"), sets
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, n_links, component_id`` for every row.
+def linking(x: list[np.ndarray], y: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the sets of ``x`` and ``y`` that link.
+
+    Elements of ``y`` are one inverted index: a set of ``x`` costs the elements that it shares.
+    """
+    n = np.array([len(s) for s in y])
+    items = np.concatenate(y)
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), n)
+    order = np.argsort(items, kind="stable")
+    items, owner = items[order], owner[order]
+    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, s in enumerate(x):
+        low = np.searchsorted(items, s)
+        m = np.searchsorted(items, s, side="right") - low
+        at = np.repeat(low - np.cumsum(m) + m, m) + np.arange(m.sum())
+        both = np.bincount(owner[at], minlength=len(y))
+        j = np.flatnonzero(100 * both >= PERCENT * (len(s) + n - both))
+        out_i.append(np.full(len(j), i))
+        out_j.append(j)
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
+def within(sets: DataFrame, label: DataFrame, emit: bool) -> DataFrame:
+    """All links inside components: ``key, n`` per set, or the pairs ``a < b`` if ``emit``.
+
+    A link lies within one component, so its sets are dealt into chunks of bounded size and each
+    two chunks meet in one task, which hands on a count per set. Every pair meets once.
+    """
+    # The smallest set of a component has no row in ``label``, nor has a set without links.
+    named = saved(sets.join(label.withColumnRenamed("node", "key"), "key", "left").select(
+        "key", "items", F.coalesce("component", "key").alias("component"),
+        (F.length("items") / 8).cast("long").alias("n")), "members")
+    sums = named.groupBy("component").agg(
+        F.sum("n").alias("total"), F.count("*").alias("number")).where("number > 1")
+    chunks = F.greatest(F.ceil(F.col("total") / CHUNK_ITEMS),
+                        F.ceil(F.col("number") / CHUNK_SETS)).cast("int")
+    dealt = named.join(sums.select("component", chunks.alias("chunks")), "component").withColumn(
+        "chunk", F.pmod(F.xxhash64(F.lit(3), "key"), F.col("chunks")).cast("int"))
+    meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
+    total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = 1 + total // CHUNK_ITEMS
+    # Small components share a group; a pair of chunks of a large one is a group.
+    meets = meets.select(
+        "key", "items", "component", "chunk", low.alias("i"), high.alias("j"),
+        F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("component"), F.lit(parts)))
+        .otherwise(F.xxhash64("component", low, high)).alias("part"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("component", "i", "j", "key")])
+        where = np.stack([table.column(c).to_numpy() for c in ("component", "i", "j")])
+        chunk, key = table.column("chunk").to_numpy(), table.column("key").to_numpy()
+        items = [np.frombuffer(v, np.uint64) for v in table.column("items").to_pylist()]
+        cut = np.flatnonzero(np.r_[True, (where[:, 1:] != where[:, :-1]).any(0), True])
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for begin, end in zip(cut, cut[1:]):
+            rows = np.arange(begin, end)
+            x, y = rows[chunk[rows] == where[1, begin]], rows[chunk[rows] == where[2, begin]]
+            if not len(x) or not len(y):
+                continue
+            i, j = linking([items[r] for r in x], [items[r] for r in y])
+            a, b = key[x[i]], key[y[j]]
+            if where[1, begin] == where[2, begin]:
+                a, b = a[a < b], b[a < b]
+            out_a.append(np.minimum(a, b))
+            out_b.append(np.maximum(a, b))
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        if emit:
+            return pa.table({"a": longs(a), "b": longs(b)})
+        key, n = np.unique(np.r_[a, b], return_counts=True)
+        return pa.table({"key": longs(key), "n": longs(n)})
+
+    found = meets.groupBy("part").applyInArrow(compare, "a long, b long" if emit else "key long, n long")
+    return found if emit else found.groupBy("key").agg(F.sum("n").alias("n_links"))
+
+
+def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows with their sets' keys, classes, components (``node, component``), linked sets' shingles.
 
     Documents of one shingle set are one class, represented by one text. Candidates come from
     lists (an entry common to two sets, not both light) and from subset entries (both light).
     First each list links its members with the one of smallest key; where one list still holds
     several components, pairs across them are compared as well. So copies never meet pairwise, and
-    no link between components is lost. ``n_links`` counts the compared sets that the class links
-    with: a lower bound, as members of one component aren't compared further.
-
-    Null or wordless text has the empty set: no links, a component of its own (its own id, also
-    null). Rows equal in id and text count as one. A null id is larger than all others: it is a
-    component's id only where no other id is in it.
+    no link between components is lost.
     """
     rows = bare(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"),
                              F.xxhash64("text").alias("content"), "text")
@@ -291,7 +365,7 @@ def join(docs: DataFrame) -> DataFrame:
     first = saved(sized(star.select(
         F.col("lead.key").alias("a"), F.col("key").alias("b"), F.col("lead.n").alias("an"),
         F.col("n").alias("bn"))).select("a", "b").distinct(), "pairs")
-    links = linked(first, rows, classes)
+    links, sets = linked(first, rows, classes)
     label = components(links)
     known = member.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key"))
@@ -307,10 +381,36 @@ def join(docs: DataFrame) -> DataFrame:
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = saved(sized(cross).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"),
                    "pairs")
-    links = links.unionByName(linked(second, rows, classes))
-    label = components(links).withColumnRenamed("node", "key")
-    degree = links.select(F.col("a").alias("key")).unionByName(
-        links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("n_links"))
+    more, others = linked(second, rows, classes)
+    sets = sets.unionByName(others.join(sets, "key", "left_anti"))
+    return found, classes, components(links.unionByName(more)), sets
+
+
+def links_of(docs: DataFrame) -> DataFrame:
+    """``a, b``: the smallest ids of each two classes that link, smaller key first, each pair once.
+
+    As many rows as there are links: quadratic in a group of similar texts by its nature. A null id
+    stays null.
+    """
+    _, classes, label, sets = classed(docs)
+    ids = classes.select("key", F.nullif("first.doc_id", F.lit(NO_ID)).alias("id"))
+    return within(sets, label, True).join(ids.toDF("a", "x"), "a").join(
+        ids.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, n_links, component_id`` for every row.
+
+    ``n_links`` is the number of other shingle sets that the document's set links with, all pairs
+    of a component compared (``within``); ``links_of`` gives the pairs themselves.
+
+    Null or wordless text has the empty set: no links, a component of its own (its own id, also
+    null). Rows equal in id and text count as one. A null id is larger than all others: it is a
+    component's id only where no other id is in it.
+    """
+    found, classes, label, sets = classed(docs)
+    degree = within(sets, label, False)
+    label = label.withColumnRenamed("node", "key")
     named = classes.drop("bits").join(label, "key", "left").withColumn(
         "component", F.coalesce("component", "key"))
     ids = named.groupBy("component").agg(F.min("first.doc_id").alias("component_id"))

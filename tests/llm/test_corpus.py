@@ -150,6 +150,41 @@ def test_heavy_light(docs, rows, empty):
             assert may_link(bitmap(x), len(x), bitmap(y), len(y))
 
 
+def test_heavy_light_links(spark, docs, rows, empty, monkeypatch):
+    """Every link between different sets counts, in a list of many similar texts too."""
+    from tessera.llm import heavylight
+    rng = random.Random(21)
+    base = words(rng, 200)
+    more = []
+    for i in range(30):
+        copy = list(base)
+        for _ in range(rng.randint(1, 6)):
+            copy[rng.randrange(200)] = f"other{rng.randrange(10**6)}"
+        more.append((500 + i, " ".join(copy), "en", "a", 0, 1, "x"))
+    table = docs.unionByName(spark.createDataFrame(more, SCHEMA))
+    ids = {}
+    for k, text in unique([*rows, *more]):
+        w = text.encode().lower().split()
+        s = frozenset(tuple(w[j:j + 5]) for j in range(len(w) - 4)) if len(w) > 4 else frozenset(
+            [tuple(w)] if w else [])
+        ids.setdefault(s, []).append(k)
+    links = {frozenset((a, b)) for a in ids for b in ids if a != b
+             and a & b and 100 * len(a & b) >= 75 * len(a | b)}
+    degree = collections.Counter(s for pair in links for s in pair)
+    want = {k: degree[s] for s, ks in ids.items() for k in ks}
+    pairs = {frozenset(min(ids[s]) for s in pair) for pair in links}
+    assert max(want.values()) > 11 and len(pairs) > 150
+    for chunk in (2048, 7):
+        monkeypatch.setattr(heavylight, "CHUNK_SETS", chunk)
+        got = heavylight.join(table).collect()
+        assert len(got) == len(rows) + len(more)
+        assert {2**63 - 1 if r["doc_id"] is None else r["doc_id"]: r["n_links"] for r in got} == want
+    found = [tuple(2**63 - 1 if r[c] is None else r[c] for c in "ab")
+             for r in heavylight.links_of(table).collect()]
+    assert len(found) == len(pairs) and {frozenset(p) for p in found} == pairs
+    assert heavylight.links_of(empty).count() == 0
+
+
 def test_brown(docs, rows, empty):
     from pyspark.sql import functions as F
     from tessera.llm.brown import exchange, score
