@@ -14,7 +14,7 @@ WIDTH = 8
 SCALE = 32.0
 PRIOR = 300
 """Empty pieces in every average: a text of a few words can't stray far from the bias."""
-SAMPLE_DOCS = 2000
+SAMPLE_DOCS = 3000
 THRESHOLD = 0.7
 
 #: Letters, digits and bytes of other scripts stay, A-Z as a-z; anything else ends a word.
@@ -136,13 +136,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS):
             yield pa.RecordBatch.from_arrays([
                 b.column("doc_id"), b.column("y"),
                 pa.array([bucket[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary()),
-                pa.array([np.minimum(n[i:j], 65535).astype(np.uint16).tobytes() for i, j in zip(at, at[1:])],
+                pa.array([n[i:j].astype(np.uint32).tobytes() for i, j in zip(at, at[1:])],
                          pa.binary())], ["doc_id", "y", "b", "n"])
 
     rows = (bare(docs).join(F.broadcast(some), "doc_id").select("doc_id", "y", "text")
             .mapInArrow(run, "doc_id long, y int, b binary, n binary").collect())
     rows.sort(key=lambda r: (r["doc_id"], r["y"], r["b"]))
-    return fit([(np.frombuffer(r["b"], np.int32), np.frombuffer(r["n"], np.uint16)) for r in rows],
+    return fit([(np.frombuffer(r["b"], np.int32), np.frombuffer(r["n"], np.uint32)) for r in rows],
                [r["y"] for r in rows])
 
 

@@ -350,6 +350,16 @@ def test_leaks(spark, docs, empty):
     assert edits(100) == 8
 
 
+def test_toxicity_sample_and_counts(spark, monkeypatch):
+    from tessera.llm import toxicity
+    assert toxicity.SAMPLE_DOCS >= 3000
+    monkeypatch.setattr(toxicity, "fit", lambda bags, labels: bags)
+    docs = spark.createDataFrame([(0, "abc " * 70000)], "doc_id long, text string")
+    marks = spark.createDataFrame([(0, 1)], "doc_id long, toxic int")
+    (_, n), = toxicity.train(docs, marks)
+    assert n.max() == 70000
+
+
 def edited(rng, item, e):
     """The item after ``e`` edits at places of its own."""
     out = bytearray(item)
