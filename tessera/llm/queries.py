@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.brown import op1_brown
+from tessera.llm.codes import OP11_SQL, op11_codes
 from tessera.llm.heavylight import op3_heavy_light
 from tessera.llm.leaks import op7_leaks
 from tessera.llm.lines import op2_line_labels
@@ -20,5 +21,5 @@ QUERIES = {"op1_brown": op1_brown, "op2_line_labels": op2_line_labels,
            "op3_heavy_light": op3_heavy_light, "op4_suffix_array": op4_suffix_array,
            "op5_rans": op5_rans, "op6_toxicity": op6_toxicity, "op7_leaks": op7_leaks,
            "op8_mixing": op8_mixing, "op9_pii": op9_pii, "op10_substrings": op10_substrings,
-           "op13_warc": op13_warc}
-CHECKS = {"op8_mixing": OP8_SQL, "op13_warc": OP13_SQL}
+           "op11_codes": op11_codes, "op13_warc": op13_warc}
+CHECKS = {"op8_mixing": OP8_SQL, "op11_codes": OP11_SQL, "op13_warc": OP13_SQL}
