@@ -1,25 +1,28 @@
 """Distance joins in bounded blocks.
 
-Points are assigned to cells around a bounded set of pivots. For each query cell a distance bound
-is known before any pair is looked at: the radius asked for, or an upper bound on the k-th
-neighbour distance derived from per-cell statistics. A reference point is sent to a query cell
-only if the triangle inequality or the bisecting plane between the two pivots lets it be that
-close, so the answer is exact (the partitioning follows Lu, Shen, Chen and Ooi, "Efficient
-Processing of k Nearest Neighbor Joins using MapReduce", VLDB 2012). Both sides of a cell are then
-hashed into chunks of bounded size; one task sees one chunk of each side, however large the cell,
-and hands on a result that is bounded per point, never the pairs.
+Reference points are assigned to the leaves of a pivot tree. A query point is sent to a leaf only if
+the triangle inequality or the bisecting plane between two pivots lets one of its points lie within
+the query's own bound: the radius asked for, or the k-th distance found in the query's home leaf. So
+the answer is exact, each reference point stays in one place and a query point goes to the few
+leaves around it. Both sides of a leaf are hashed into chunks of bounded size; one task sees one
+chunk of each side, however large the leaf, and hands on a result that is bounded per point, never
+the pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
+from tessera.operators.pivots import (Tree, build, distances as _distances, exact as _exact,
+                                      matrix as _matrix, squared as _squared)
+from tessera.session import written
+
 BLOCK_ROWS = 2048
-MAX_PIVOTS = 512
 
 Kernel = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
 
@@ -29,145 +32,111 @@ def points(df: DataFrame, key: str, vec: str, extra: Sequence[str] = ()) -> Data
     return df.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("vec"), *extra)
 
 
-def _matrix(pdf: pd.DataFrame) -> np.ndarray:
-    return np.stack(pdf["vec"].to_numpy()).astype(float)
-
-
-def _squared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
-    """Squared distances by inner products and a bound on their rounding error."""
-    na, nb = (a * a).sum(1), (b * b).sum(1)
-    sq = na[:, None] + nb[None, :] - 2.0 * (a @ b.T)
-    return np.maximum(sq, 0.0), 1e-11 * float((na.max() if len(na) else 0.0)
-                                              + (nb.max() if len(nb) else 0.0)) + 1e-300
-
-
-def _exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    out = np.empty(len(i))
-    for at in range(0, len(i), 100_000):
-        part = slice(at, at + 100_000)
-        out[part] = np.sqrt(((a[i[part]] - b[j[part]]) ** 2).sum(1))
-    return out
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances of all pairs of a block; pairs too close for the fast form are recomputed."""
-    sq, tol = _squared(a, b)
-    near = np.argwhere(sq < 1e5 * tol)
-    out = np.sqrt(sq)
-    if len(near):
-        out[near[:, 0], near[:, 1]] = _exact(a, b, near[:, 0], near[:, 1])
-    return out
-
-
-def _pick_pivots(df: DataFrame, n: int) -> np.ndarray:
-    rows = df.orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(n).select("vec").collect()
-    return np.unique(np.array([r["vec"] for r in rows], dtype=float), axis=0)
-
+@dataclass
+class Index:
+    """Reference points in the leaves of a tree, with each leaf's size and reach."""
+
+    tree: Tree
+    table: DataFrame
+    n: np.ndarray
+    reach: np.ndarray
+    reach_top: np.ndarray
+
+    @staticmethod
+    def of(refs: DataFrame, n: int, block: int) -> Index:
+        tree = build(refs := written(refs, "points"), n, block)
+        table = written(tree.place(refs), "placed")
+        held = np.zeros(len(tree), dtype="int64")
+        reach, reach_top = np.full(len(tree), -1.0), np.full(len(tree.tops), -1.0)
+        for row in table.groupBy("leaf").agg(F.count("*").alias("n"), F.max("r").alias("r"),
+                                             F.max("r_top").alias("t")).collect():
+            held[row["leaf"]], reach[row["leaf"]] = row["n"], row["r"]
+            top = tree.top_of[row["leaf"]]
+            reach_top[top] = max(reach_top[top], row["t"])
+        return Index(tree, table, held, reach, reach_top)
+
+    def copies(self, queries: DataFrame, keep=None) -> DataFrame:
+        """The rows of ``queries`` (with ``bound``) for each leaf that they must look into."""
+        return written(self.tree.replicas(queries, self.reach, self.reach_top, keep), "copies")
+
+    def promised(self, want: int) -> np.ndarray:
+        """A distance from each leaf's pivot within which there are ``want`` points, by whole leaves.
+
+        For leaves with fewer points than that; others get infinity, their own points say more.
+        """
+        out = np.full(len(self.tree), np.inf)
+        some = np.flatnonzero(self.n > 0)
+        few = np.flatnonzero(self.n < want)
+        for at in range(0, len(few) if self.n.sum() >= want else 0, 256):
+            mine = few[at:at + 256]
+            far = _distances(self.tree.pivots[mine], self.tree.pivots[some]) + self.reach[some]
+            order = far.argsort(axis=1)
+            enough = (self.n[some][order].cumsum(axis=1) >= want).argmax(axis=1)
+            rows = np.arange(len(mine))
+            out[mine] = far[rows, order[rows, enough]]
+        return out
+
+    def join(self, queries: DataFrame, kernel: Kernel, schema: str | T.StructType, block: int
+             ) -> DataFrame:
+        """Run the kernel over the chunk pairs of each leaf; ``queries`` has ``leaf``."""
+        counts = [(r["leaf"], -(-r["n"] // block), -(-int(self.n[r["leaf"]]) // block))
+                  for r in queries.groupBy("leaf").agg(F.count("*").alias("n")).collect()
+                  if self.n[r["leaf"]]]
+        chunks = queries.sparkSession.createDataFrame(counts, "leaf int, n_a int, n_b int")
+        return _meet(queries, self.table.drop("r", "top", "r_top"), chunks, kernel, schema)
 
-def _cell_rows(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add the nearest pivot and the distance to it."""
-    schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType()),
-                           T.StructField("r", T.DoubleType())])
 
-    def assign(batches):
-        for pdf in batches:
-            if len(pdf):
-                d = _distances(_matrix(pdf), pivots)
-                cell = d.argmin(1)
-                yield pdf.assign(cell=cell.astype("int32"), r=d[np.arange(len(d)), cell])
+def _meet(queries: DataFrame, refs: DataFrame, chunks: DataFrame, kernel: Kernel,
+          schema: str | T.StructType) -> DataFrame:
+    names = [f.name for f in schema] if isinstance(schema, T.StructType) else None
 
-    return df.mapInPandas(assign, schema)
+    def run(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(l) or not len(r):
+            return pd.DataFrame(columns=names or [c.split()[0] for c in schema.split(",")])
+        return kernel(l, r)
 
+    # Fresh column identities: both sides may come from one table.
+    refs = refs.select(*[F.col(c).alias(c) for c in refs.columns])
+    left = _chunked(queries, chunks, "a", "b").groupBy("leaf", "a", "b")
+    return left.cogroup(_chunked(refs, chunks, "b", "a").groupBy("leaf", "a", "b")
+                        ).applyInPandas(run, schema)
 
-def _replicas(df: DataFrame, pivots: np.ndarray, reach: np.ndarray, bound: np.ndarray
-              ) -> DataFrame:
-    """One copy of each reference point per query cell it may matter to."""
-    between = _distances(pivots, pivots)
-    np.fill_diagonal(between, np.inf)
-    schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType())])
 
-    def copy(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            d = _distances(_matrix(pdf), pivots)
-            home = d.argmin(1)
-            own = d[np.arange(len(d)), home]
-            plane = (d * d - (own * own)[:, None]) / (2.0 * between[home])
-            least = np.maximum(d - reach[None, :], plane)
-            i, cell = np.nonzero(least <= bound[None, :] * (1 + 1e-9) + 1e-9)
-            yield pdf.iloc[i].assign(cell=cell.astype("int32"))
+def _chunked(df: DataFrame, chunks: DataFrame, mine: str, theirs: str) -> DataFrame:
+    """Hash rows of a leaf into its chunks and repeat them for each chunk of the other side.
 
-    return df.mapInPandas(copy, schema)
+    ``chunks`` has ``leaf`` and the numbers of chunks ``n_<side>``: at most one row a leaf.
+    """
+    return (df.join(F.broadcast(chunks), "leaf")
+            .withColumn(mine, F.pmod(F.xxhash64(F.lit(3), "id"), F.col(f"n_{mine}")).cast("int"))
+            .withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(f"n_{theirs}") - 1)))
+            .drop(f"n_{mine}", f"n_{theirs}"))
 
 
-def _chunked(df: DataFrame, own: list[int], other: list[int], mine: str, theirs: str
-             ) -> DataFrame:
-    """Hash rows of a cell into its chunks and repeat them for each chunk of the other side."""
-    at = F.col("cell") + 1
-    salted = df.withColumn(mine, F.pmod(F.xxhash64(F.lit(3), "id"),
-                                        F.element_at(F.lit(own), at)).cast("int"))
-    return salted.withColumn(theirs, F.explode(F.sequence(
-        F.lit(0), F.element_at(F.lit(other), at) - 1)))
+def _whole(queries: DataFrame, refs: DataFrame, kernel: Kernel, schema: str | T.StructType,
+           block: int, n_s: int) -> DataFrame:
+    """Every chunk of one side with every chunk of the other."""
+    n_q = n_s if queries is refs else queries.count()
+    chunks = refs.sparkSession.createDataFrame(
+        [(0, max(1, -(-n_q // block)), max(1, -(-n_s // block)))], "leaf int, n_a int, n_b int")
+    return _meet(queries.withColumn("leaf", F.lit(0)), refs.withColumn("leaf", F.lit(0)), chunks,
+                 kernel, schema)
 
 
 def block_join(queries: DataFrame, refs: DataFrame, kernel: Kernel, schema: str | T.StructType,
-               radius: float | None = None, k: int | None = None, block: int = BLOCK_ROWS
-               ) -> DataFrame:
+               radius: float | None = None, block: int = BLOCK_ROWS) -> DataFrame:
     """Run ``kernel(query chunk, reference chunk)`` over all chunk pairs that can matter.
 
-    Pass ``radius`` or ``k`` to leave out pairs that are provably farther apart; without either,
-    every pair is seen. A query point may meet several chunks: the caller combines its results.
+    Pass ``radius`` to leave out pairs that are provably farther apart; without it every pair is
+    seen. A query point may meet several chunks: the caller combines its results.
     """
-    same = queries is refs
-    # Fresh column identities: both sides may be filters of one table.
-    refs = refs.select(*[F.col(c).alias(c) for c in refs.columns])
     n_s = refs.count()
-    n_q = n_s if same else queries.count()
-    cells = min(MAX_PIVOTS, -(-n_s // block))
-    if cells > 1 and (radius is not None or k is not None):
-        pivots = _pick_pivots(refs, cells)
-        q = _cell_rows(queries, pivots)
-        s_cells = _cell_rows(refs, pivots)
-        p = len(pivots)
-        q_n, reach = np.zeros(p, dtype=int), np.zeros(p)
-        for row in q.groupBy("cell").agg(F.count("*").alias("n"), F.max("r").alias("u")).collect():
-            q_n[row["cell"]], reach[row["cell"]] = row["n"], row["u"]
-        s_n, s_reach = np.zeros(p, dtype=int), np.zeros(p)
-        for row in s_cells.groupBy("cell").agg(F.count("*").alias("n"),
-                                               F.max("r").alias("u")).collect():
-            s_n[row["cell"]], s_reach[row["cell"]] = row["n"], row["u"]
-        between = _distances(pivots, pivots)
-        if k is not None:
-            first = s_cells.select("cell", "r").withColumn("rn", F.row_number().over(
-                W.partitionBy("cell").orderBy("r"))).where(F.col("rn") <= k + 1).collect()
-            far = np.array([r["r"] for r in first])
-            of = np.array([r["cell"] for r in first])
-            bound = np.array([
-                np.partition(reach[i] + between[i, of] + far, min(k, len(far) - 1))[
-                    min(k, len(far) - 1)] for i in range(p)])
-        else:
-            bound = np.full(p, float(radius))
-        s = _replicas(refs, pivots, reach, bound)
-        meets = between - reach[:, None] - s_reach[None, :] <= bound[:, None] * (1 + 1e-9) + 1e-9
-        s_max = (meets * s_n[None, :]).sum(1)
-        q_chunks = [max(1, int(-(-c // block))) for c in q_n]
-        s_chunks = [max(1, int(-(-c // block))) for c in s_max]
-        q = q.drop("r")
-    else:
-        q, s = (d.withColumn("cell", F.lit(0)) for d in (queries, refs))
-        q_chunks, s_chunks = [max(1, -(-n_q // block))], [max(1, -(-n_s // block))]
-    left = _chunked(q, q_chunks, s_chunks, "a", "b").groupBy("cell", "a", "b")
-    right = _chunked(s, s_chunks, q_chunks, "b", "a").groupBy("cell", "a", "b")
-
-    names = [f.name for f in schema] if isinstance(schema, T.StructType) else None
-
-    def run(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(l) or not len(r):
-            return pd.DataFrame(columns=names or [c.split()[0] for c in schema.split(",")])
-        return kernel(l, r)
-
-    return left.cogroup(right).applyInPandas(run, schema)
+    if n_s <= block or radius is None:
+        return _whole(queries, refs, kernel, schema, block, n_s)
+    index = Index.of(refs, n_s, block)
+    q = index.table if queries is refs else queries
+    return index.join(index.copies(q.withColumn("bound", F.lit(float(radius)))), kernel, schema,
+                      block)
 
 
 def _key_field(df: DataFrame, name: str) -> T.StructField:
@@ -212,10 +181,29 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, skip_self: bool = False
             out[f"own_{keep}"] = l[keep].to_numpy()[i]
         return pd.DataFrame(out)
 
-    found = block_join(queries, refs, kernel, T.StructType(fields),
-                          k=k + 1 if skip_self else k, block=block)
+    schema = T.StructType(fields)
     best = W.partitionBy("id").orderBy("dist", "nbr")
-    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+
+    n_s = refs.count()
+    if n_s <= block:
+        return ranked(_whole(queries, refs, kernel, schema, block, n_s))
+    # First the home leaf; its k-th distance bounds how far a point has to look elsewhere.
+    index = Index.of(refs, n_s, block)
+    q = index.table if queries is refs else written(index.tree.place(queries), "queries")
+    near = written(ranked(index.join(q.drop("r", "top", "r_top"), kernel, schema, block)), "near")
+    own = near.where(F.col("place") == k).select("id", F.col("dist").alias("own"))
+    promised = index.promised(k + 1)
+    short = q.sparkSession.createDataFrame(
+        [(int(i), float(promised[i])) for i in np.flatnonzero(index.n < k + 1)],
+        "leaf int, promised double")
+    far = q.join(own, "id", "left").join(F.broadcast(short), "leaf", "left").withColumn(
+        "bound", F.coalesce("own", F.col("r") + F.col("promised"), F.lit(float("inf")))).drop(
+        "own", "promised").withColumn("home", F.col("leaf"))
+    copies = index.copies(far, lambda pdf, i, leaf: pdf["home"].to_numpy()[i] != leaf).drop("home")
+    return ranked(near.drop("place").unionByName(index.join(copies, kernel, schema, block)))
 
 
 def neighbour_counts(df: DataFrame, radius: float, block: int = BLOCK_ROWS) -> DataFrame:

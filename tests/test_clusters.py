@@ -69,6 +69,53 @@ def test_radius_counts_and_components(spark, cloud, block):
     assert (comp.sort_index().to_numpy() == label).all()
 
 
+@pytest.fixture
+def small_trees(monkeypatch):
+    """Two levels for a few hundred points."""
+    from tessera.operators import pivots
+    monkeypatch.setattr(pivots, "TOPS", 5)
+
+
+def test_two_levels_of_pivots(spark, cloud, small_trees):
+    from tessera.operators import pivots
+    p = table(spark, cloud).repartition(3)
+    tree = pivots.build(p, len(cloud), 8)
+    assert len(tree.tops) <= 5 < len(tree)
+    placed = tree.place(p).toPandas()
+    assert np.allclose(placed.r, np.sqrt(((cloud[placed.id] - tree.pivots[placed.leaf]) ** 2).sum(1)))
+    d = distances(cloud)
+    np.fill_diagonal(d, np.inf)
+    order = np.argsort(np.round(d, 12), axis=1, kind="stable")[:, :4]
+    for block in (8, 40):
+        got = B.nearest(p, p, 4, skip_self=True, block=block).toPandas()
+        assert {(r.id, r.nbr) for r in got.itertuples()} == {
+            (i, j) for i in range(len(cloud)) for j in order[i]}
+        counts = B.neighbour_counts(p, 0.4, block).toPandas().set_index("id").n
+        assert (counts.sort_index().to_numpy() == (d <= 0.4).sum(1) + 1).all()
+    far = table(spark, [[50.0, 50.0], [2.0, 2.0]])
+    got = B.nearest(far, p, 200, block=8).toPandas()
+    for i, q in enumerate(([50.0, 50.0], [2.0, 2.0])):
+        want = np.sort(np.sqrt(((cloud - q) ** 2).sum(1)))[:200]
+        assert np.allclose(np.sort(got[got.id == i].dist), want)
+
+
+def test_copies_stay_bounded(spark, monkeypatch):
+    """Leaves keep their size and rows few copies when there are more leaves than first cells."""
+    from tessera.operators import pivots
+    monkeypatch.setattr(pivots, "TOPS", 16)
+    rng = np.random.default_rng(8)
+    copies, kept = [], B.Index.copies
+    monkeypatch.setattr(B.Index, "copies", lambda *a: seen.append(kept(*a)) or seen[-1])
+    for n in (4_000, 32_000):
+        seen = []
+        p = table(spark, rng.normal(size=(n, 2)))
+        B.nearest(p, p, 5, skip_self=True, block=64)
+        index = B.Index.of(p, n, 64)
+        assert index.n.max() < 12 * 64 and len(index.tree) > n / 64 / 3
+        copies.append(seen[0].count() / n)
+    assert max(copies) < 3 and copies[1] < 1.3 * copies[0]
+
+
 def test_radius_links_stay_within_groups(spark):
     p = table(spark, [[0, 0], [0, 0.1], [0, 0.2]], [0, 1, 0])
     comp = {r["id"]: r["component"] for r in G.connected_components(
