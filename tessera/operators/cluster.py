@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from tessera.functions.ordered import exact_quantiles
 from tessera.operators.blocks import (nearest, neighbour_counts, radius_links, smallest_within)
 from tessera.operators.features import choose_metric, l2_normalise
-from tessera.operators.graph import connected_components, spanning_forest
-from tessera.operators.quality import moments, uniform
+from tessera.operators.graph import connected_components
+from tessera.operators.kth import kth_distance
+from tessera.operators.linkage import linkage_clusters
+from tessera.operators.quality import moments
 from tessera.session import written
 
 
@@ -254,22 +256,13 @@ def estimate_eps(p: DataFrame) -> DataFrame:
     return exact_quantiles(last, ["dist"], [0.9], rows=n).select(F.col("quantiles")[0].alias("eps"))
 
 
-BANDWIDTH_POINTS = 5_000
-
-
 def estimate_bandwidth(p: DataFrame, quantile: float = 0.3) -> DataFrame:
-    """One row ``(bandwidth)``: mean distance to the ⌊quantile·n⌋-th neighbour, the point
-    itself counted. The number only centres a search range, and its cost grows with n², so
-    above ``BANDWIDTH_POINTS`` it is taken from that many points, spread by hash."""
-    n = p.count()
-    if n > BANDWIDTH_POINTS:
-        p = written(p.where(uniform(5, F.col("id")) < BANDWIDTH_POINTS / n), "bandwidth")
-        n = p.count()
-    k = max(1, int(n * quantile)) - 1
+    """One row ``(bandwidth)``: mean distance to the ⌊quantile·n⌋-th neighbour, the point itself
+    counted, over all points. As k grows with n every pair is looked at, in blocks."""
+    k = max(1, int(p.count() * quantile)) - 1
     if k < 1:
         return p.sparkSession.createDataFrame([(0.0,)], "bandwidth double")
-    return nearest(p, p, k, skip_self=True).where(F.col("place") == k).agg(
-        F.avg("dist").alias("bandwidth"))
+    return kth_distance(p, k).agg(F.avg("dist").alias("bandwidth"))
 
 
 SEED_LIMIT = 4_000
@@ -343,25 +336,10 @@ def mean_shift(p: DataFrame, bandwidth: float, max_iter: int = 60) -> Fit:
 
 # ---------------------------------------------------------------- linkage
 
-def single_linkage(p: DataFrame, k: int, neighbours: int = 10) -> Fit:
-    """Minimum spanning forest of the k-NN graph with its heaviest edges cut.
-
-    If the neighbour graph has several components they stay apart and count toward ``k``.
-    """
-    n = p.count()
-    near = nearest(p, p, min(neighbours, n - 1), skip_self=True).select(
-        F.col("id").alias("u"), F.col("nbr").alias("v"), F.col("dist").alias("w"))
-    forest = written(spanning_forest(p.select("id"), near), "forest")
-    cut = max(0, k - (n - forest.count()))
-    kept = forest
-    if cut:
-        heaviest = forest.orderBy(F.col("w").desc(), F.col("u").desc(), F.col("v").desc()).limit(
-            cut).agg(F.min(F.struct("w", "u", "v")).alias("s")).first()["s"]
-        kept = forest.where(F.struct("w", "u", "v") < F.struct(*[
-            F.lit(heaviest[c]).cast(forest.schema[c].dataType) for c in ("w", "u", "v")]))
-    comp = connected_components(p.select("id"), kept.select("u", "v"))
+def single_linkage(p: DataFrame, k: int) -> Fit:
+    """The k clusters that are left when the spanning tree loses its k − 1 heaviest edges."""
     return Fit("AgglomerativeClustering", {"n_clusters": k, "linkage": "single"},
-               renumber(comp.withColumnRenamed("component", "cluster")))
+               renumber(linkage_clusters(p, k).withColumnRenamed("component", "cluster")))
 
 
 # ---------------------------------------------------------------- search spaces

@@ -180,3 +180,18 @@ def build(df: DataFrame, n: int, block: int) -> Tree:
         picked.setdefault(r["top"], []).append(r["vec"])
     return Tree(tops, [np.unique(np.array(picked[c], dtype=float), axis=0) if c in picked
                        else tops[c:c + 1] for c in range(len(tops))])
+
+
+def clearance(tree: Tree, x: np.ndarray, leaf: int, reach: np.ndarray, reach_top: np.ndarray
+              ) -> np.ndarray:
+    """A lower bound on each point's distance to all points outside its ``leaf``."""
+    top = tree.top_of[leaf]
+    d = distances(x, tree.tops)
+    least = np.maximum(d - reach_top[None, :], _plane(d, tree.tops))
+    least[:, (reach_top < 0) | (np.arange(len(tree.tops)) == top)] = np.inf
+    part = slice(tree.first[top], tree.first[top + 1])
+    inner = distances(x, tree.leaves[top])
+    least_in = np.maximum(inner - reach[part][None, :], _plane(inner, tree.leaves[top]))
+    least_in[:, (reach[part] < 0) | (np.arange(least_in.shape[1]) == leaf - part.start)] = np.inf
+    out = np.minimum(least.min(1), least_in.min(1))
+    return np.maximum(out * (1 - SLACK) - SLACK, 0.0)

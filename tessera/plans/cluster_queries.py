@@ -391,9 +391,74 @@ def k8(spark, d):
     return sizes(K.two_stage(pts(labelled(spark, d)), 0.5, 4))
 
 
-@query("k9_single_linkage")
+def _tree_sql(rounds=9, doublings=9):
+    """Borůvka rounds over all pairs: table ``mst`` (w, u, v), ties by the ends."""
+    steps = ["""d AS MATERIALIZED (SELECT a.id AS u, b.id AS v, LIST_DISTANCE(a.vec, b.vec) AS w
+        FROM e a JOIN e b ON a.id < b.id), l0 AS (SELECT id, id AS c FROM e)"""]
+    for r in range(rounds):
+        steps.append(f"""x{r} AS (SELECT a.c AS a, b.c AS b, w, u, v FROM d JOIN l{r} a ON a.id = u
+            JOIN l{r} b ON b.id = v WHERE a.c <> b.c),
+          b{r} AS MATERIALIZED (SELECT c, MIN(ROW(w, u, v, o)) AS s FROM (SELECT a AS c, b AS o, w, u, v FROM x{r}
+            UNION ALL SELECT b, a, w, u, v FROM x{r}) GROUP BY c),
+          p{r}_0 AS MATERIALIZED (SELECT a.c, CASE WHEN b.s[4] = a.c AND a.c < a.s[4] THEN a.c ELSE a.s[4] END AS r
+            FROM b{r} a JOIN b{r} b ON b.c = a.s[4])""")
+        steps += [f"""p{r}_{i + 1} AS MATERIALIZED (SELECT a.c, b.r FROM p{r}_{i} a JOIN p{r}_{i} b ON b.c = a.r)"""
+                  for i in range(doublings)]
+        steps.append(f"""l{r + 1} AS MATERIALIZED (SELECT id, COALESCE(r, l.c) AS c
+            FROM l{r} l LEFT JOIN p{r}_{doublings} p ON p.c = l.c)""")
+    steps.append("mst AS MATERIALIZED (" + " UNION ".join(
+        f"SELECT s[1] AS w, s[2] AS u, s[3] AS v FROM b{r}" for r in range(rounds)) + ")")
+    return ", ".join(steps)
+
+
+NUMBERED = """SELECT id, CAST(code AS INT) AS cluster FROM part JOIN (SELECT c, ROW_NUMBER() OVER (
+    ORDER BY COUNT(*) DESC, MIN(id)) - 1 AS code FROM part GROUP BY c) USING (c)"""
+
+
+@query("k9_single_linkage", f"""WITH RECURSIVE {P_SQL}, {_tree_sql()},
+  kept AS (SELECT u, v FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY w DESC, u DESC, v DESC) AS i FROM mst)
+    WHERE i > 3),
+  link AS (FROM kept UNION ALL SELECT v, u FROM kept),
+  reach(id, c) AS (SELECT id, id FROM e UNION SELECT link.v, reach.c FROM reach JOIN link ON link.u = reach.id),
+  part AS (SELECT id, MIN(c) AS c FROM reach GROUP BY id) {NUMBERED}""")
 def k9(spark, d):
-    return sizes(K.single_linkage(pts(plane(spark, d)), 4))
+    return K.single_linkage(pts(plane(spark, d)), 4).labels
+
+
+def prices(spark, d):
+    """All orders on a line."""
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.array(
+        F.col("o_totalprice").cast("double")).alias("vec"))
+
+
+@query("k9_single_linkage_orders", f"""WITH g AS (SELECT o_orderkey AS id, o_totalprice AS x,
+    o_totalprice - LAG(o_totalprice) OVER (ORDER BY o_totalprice) AS w FROM orders),
+  cut AS (SELECT x FROM g WHERE w > 0 ORDER BY w DESC LIMIT 7),
+  part AS (SELECT id, (SELECT COUNT(*) FROM cut WHERE cut.x <= g.x) AS c FROM g) {NUMBERED}""")
+def k9_orders(spark, d):
+    return K.single_linkage(prices(spark, d), 8).labels
+
+
+@query("g1_nearest_orders", """WITH s AS (SELECT o_orderkey AS id, o_totalprice AS x,
+    ROW_NUMBER() OVER (ORDER BY o_totalprice, o_orderkey) AS i FROM orders),
+  d AS (SELECT a.id, b.id AS nbr, ABS(a.x - b.x) AS dist FROM s a JOIN s b
+    ON b.i BETWEEN a.i - 20 AND a.i + 20 AND b.i <> a.i)
+  SELECT id, nbr, ROUND(dist, 6) AS dist, CAST(place AS INT) AS place FROM (SELECT *, ROW_NUMBER() OVER (
+    PARTITION BY id ORDER BY dist, nbr) AS place FROM d) WHERE place <= 5""")
+def g1_orders(spark, d):
+    p = prices(spark, d)
+    return r6(B.nearest(p, p, 5, skip_self=True), "dist").select("id", "nbr", "dist", "place")
+
+
+@query("k11_bandwidth_events", """WITH s AS (SELECT value AS x, ROW_NUMBER() OVER (ORDER BY value) AS i,
+    (SELECT CAST(FLOOR(0.3 * COUNT(*)) AS INT) - 1 FROM events) AS k FROM events),
+  r AS (SELECT a.i, MIN(GREATEST(a.x - lo.x, hi.x - a.x)) AS dist FROM s a
+    JOIN s lo ON lo.i BETWEEN a.i - a.k AND a.i JOIN s hi ON hi.i = lo.i + a.k GROUP BY a.i)
+  SELECT ROUND(AVG(dist), 6) AS bandwidth FROM r""")
+def k11_events(spark, d):
+    p = table(spark, d, "events").select(F.col("event_id").alias("id"),
+                                         F.array(F.col("value").cast("double")).alias("vec"))
+    return r6(K.estimate_bandwidth(p), "bandwidth")
 
 
 @query("k10_eps_estimate", f"""WITH {E_SQL}, {PAIRS}, {RANKED},

@@ -154,6 +154,59 @@ def test_spanning_forest(spark):
     assert found.w.sum() == pytest.approx(weight)
 
 
+def tree_weight(d):
+    """Weight of a minimum spanning tree, by Kruskal."""
+    root, total = list(range(len(d))), 0.0
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+    for w, i, j in sorted((d[i, j], i, j) for i in range(len(d)) for j in range(i)):
+        if find(i) != find(j):
+            root[find(i)] = find(j)
+            total += w
+    return total
+
+
+@pytest.mark.parametrize("case", ["cloud", "grid", "text"])
+def test_spanning_tree_and_linkage(spark, cloud, small_trees, case):
+    from tessera.operators import linkage as L
+    x, ids, rng = cloud, None, np.random.default_rng(2)
+    if case == "grid":                              # nothing but ties
+        x = np.array([[i, j] for i in range(9) for j in range(7)], dtype=float)
+    if case == "text":
+        x = rng.normal(size=(90, 3))
+        ids = [f"p{i:04d}" for i in rng.permutation(len(x))]
+    p = table(spark, x, ids=ids).repartition(3)
+    block = 2048 if case == "text" else 9
+    tree = L.spanning_tree(p, block).toPandas()
+    assert len(tree) == len(x) - 1
+    assert tree.w.sum() == pytest.approx(tree_weight(distances(x)))
+    if case == "cloud":
+        got = L.linkage_clusters(p, 4, block).toPandas().set_index("id").component.sort_index()
+        d, cut = distances(x), sorted(tree.w)[-3]
+        label = np.arange(len(x))
+        while True:
+            new = np.array([label[d[i] < cut].min() for i in range(len(x))])
+            if (new == label).all():
+                break
+            label = new
+        assert (got.to_numpy() == label).all() and len(set(label)) == 4
+
+
+def test_kth_distance(spark, cloud):
+    """Every rank, with a third of the points equal, in one block and in many."""
+    from tessera.operators.kth import kth_distance
+    d = distances(cloud)
+    np.fill_diagonal(d, np.inf)
+    d.sort(axis=1)
+    for k, block in ((89, 150), (200, 2048)):
+        got = kth_distance(table(spark, cloud), k, block).toPandas().set_index("id").dist.sort_index()
+        assert np.allclose(got, d[:, k - 1], rtol=1e-9, atol=1e-12)
+
+
 def silhouette_of(x, c):
     d = distances(x)
     s = []
