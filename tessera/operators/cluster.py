@@ -25,7 +25,8 @@ from tessera.operators.features import choose_metric, l2_normalise
 from tessera.operators.graph import connected_components
 from tessera.operators.kth import kth_distance
 from tessera.operators.linkage import linkage_clusters
-from tessera.operators.quality import moments
+from tessera.operators.quality import CLUSTER_LIMIT, moments
+from tessera.operators.shift import find_modes
 from tessera.session import written
 
 
@@ -265,73 +266,16 @@ def estimate_bandwidth(p: DataFrame, quantile: float = 0.3) -> DataFrame:
     return kth_distance(p, k).agg(F.avg("dist").alias("bandwidth"))
 
 
-SEED_LIMIT = 4_000
-
-
-def bin_seeds(p: DataFrame, side: float, limit: int = SEED_LIMIT) -> np.ndarray:
-    """Grid corners next to points. Seeds only start the search, so if there are more than
-    ``limit`` the grid is made coarser; the points themselves all stay."""
-    while True:
-        cells = (p.select(F.transform("vec", lambda x: F.round(x / side)).alias("c")).distinct()
-                 .limit(limit + 1).collect())
-        if len(cells) <= limit:
-            return np.array(sorted(r["c"] for r in cells), dtype=float) * side
-        side *= 2
-
-
-def shift_step(p: DataFrame, seeds: np.ndarray, bandwidth: float) -> DataFrame:
-    """``(seed, i, n, mean)``: mean of the points within ``bandwidth`` of each seed, by dimension.
-
-    Each task sums its own points per seed, so only seeds × dimensions numbers travel.
-    """
-    def sums(batches):
-        n, sx = np.zeros(len(seeds)), np.zeros(seeds.shape)
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["vec"].to_numpy()).astype(float)
-            for at in range(0, len(x), 1024):
-                b = x[at:at + 1024]
-                d2 = ((b * b).sum(1)[:, None] + (seeds * seeds).sum(1)[None] - 2 * b @ seeds.T)
-                m = (d2 <= bandwidth * bandwidth).astype(float)
-                n += m.sum(0)
-                sx += m.T @ b
-        hit = np.nonzero(n)[0]
-        j, i = np.repeat(hit, seeds.shape[1]), np.tile(np.arange(seeds.shape[1]), len(hit))
-        yield pd.DataFrame({"seed": j.astype("int32"), "i": i.astype("int32"),
-                            "n": n[j].astype("int64"), "sx": sx[hit].ravel()})
-
-    return (p.select("vec").mapInPandas(sums, "seed int, i int, n long, sx double")
-            .groupBy("seed", "i").agg(F.sum("n").alias("n"),
-                                      (F.sum("sx") / F.sum("n")).alias("mean")))
-
-
-def mean_shift(p: DataFrame, bandwidth: float, max_iter: int = 60) -> Fit:
+def mean_shift(p: DataFrame, bandwidth: float, max_iter: int = 300) -> Fit:
     """Flat-kernel mean shift from grid seeds; seeds that end within one bandwidth are one mode."""
-    seeds = bin_seeds(p, bandwidth)
-    live = np.arange(len(seeds))
-    weight = np.zeros(len(seeds))
-    for _ in range(max_iter):
-        rows = shift_step(p, seeds[live], bandwidth).toPandas()
-        new = seeds[live].copy()
-        got = np.zeros(len(live))
-        if len(rows):
-            new[rows["seed"], rows["i"]] = rows["mean"]
-            got[rows["seed"]] = rows["n"]
-        moved = np.sqrt(((new - seeds[live]) ** 2).sum(1))
-        seeds[live], weight[live] = new, got
-        live = live[(moved > 1e-3 * bandwidth) & (got > 0)]
-        if not len(live):
-            break
-    seeds, weight = seeds[weight > 0], weight[weight > 0]
-    order = np.lexsort((*seeds.T[::-1], -weight))
-    modes: list[np.ndarray] = []
-    for s in seeds[order]:
-        if all(((s - m) ** 2).sum() > bandwidth ** 2 for m in modes):
-            modes.append(s)
-    return Fit("MeanShift", {"bandwidth": bandwidth},
-               renumber(assign_nearest(p, np.array(modes)).select("id", "cluster")),
-               info={"centres": np.array(modes)})
+    modes, info = find_modes(p, bandwidth, max_iter)
+    if info["modes"] > CLUSTER_LIMIT:
+        raise ValueError(f"more than {CLUSTER_LIMIT} modes")
+    labels = nearest(p.select("id", "vec"), modes.select("id", "vec"), 1).select(
+        "id", F.col("nbr").alias("cluster"))
+    centres = np.array([r["vec"] for r in modes.orderBy("id").collect()], dtype=float)
+    return Fit("MeanShift", {"bandwidth": bandwidth}, renumber(labels),
+               info={"centres": centres, **info})
 
 
 # ---------------------------------------------------------------- linkage

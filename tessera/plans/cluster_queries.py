@@ -284,7 +284,7 @@ def q16(spark, d):
 
 from pyspark.ml.functions import vector_to_array  # noqa: E402
 
-from tessera.operators import cluster as K  # noqa: E402
+from tessera.operators import cluster as K, shift as S  # noqa: E402
 
 
 def pts(p):
@@ -363,13 +363,11 @@ def k6(spark, d):
          ROUND(AVG(vec[2]), 6) AS my FROM s, e WHERE LIST_DISTANCE(vec, [sx, sy]) <= 0.1 GROUP BY 1, 2""")
 def k7_step(spark, d):
     p = pts(plane(spark, d))
-    seeds = K.bin_seeds(p, 0.1)
-    named = spark.createDataFrame([(i, float(s[0]), float(s[1])) for i, s in enumerate(seeds)],
-                                  "seed int, sx double, sy double")
-    step = K.shift_step(p, seeds, 0.1)
-    wide = step.groupBy("seed").agg(F.max("n").alias("n"), *[F.round(F.max(F.when(
-        F.col("i") == i, F.col("mean"))), 6).alias(c) for i, c in ((0, "mx"), (1, "my"))])
-    return r6(wide.join(named, "seed"), "sx", "sy").drop("seed")
+    seeds = S.bin_seeds(p, 0.1)
+    step = S.Grid(p, 0.1).step(seeds).join(seeds, "id")
+    return r6(step.select(F.col("vec")[0].alias("sx"), F.col("vec")[1].alias("sy"), "n",
+                          F.col("mean")[0].alias("mx"), F.col("mean")[1].alias("my")),
+              "sx", "sy", "mx", "my")
 
 
 @query("k7_mean_shift")

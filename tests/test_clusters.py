@@ -207,6 +207,38 @@ def test_kth_distance(spark, cloud):
         assert np.allclose(got, d[:, k - 1], rtol=1e-9, atol=1e-12)
 
 
+def test_modes(spark, monkeypatch):
+    """Modes as by plain mean shift, from every grid corner; the same with crowded cells cut up."""
+    from tessera.operators import shift as S
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 0.5, (60, 2)) for c in ((0, 0), (6, 0), (0, 7))]
+                       + [np.full((80, 2), 3.0)])
+    width = 1.2
+    seeds = np.unique(np.round(x / width), axis=0) * width
+    ends = []
+    for s in seeds:
+        for _ in range(300):
+            near = x[((x - s) ** 2).sum(1) <= width * width]
+            if not len(near):
+                break
+            before, s = s, near.mean(0)
+            if ((s - before) ** 2).sum() <= (S.DONE * width) ** 2:
+                break
+        if len(near):
+            ends.append((-len(near), tuple(s)))
+    modes = []
+    for n, s in sorted(ends):
+        if all(sum((a - b) ** 2 for a, b in zip(s, m)) > width * width for m in modes):
+            modes.append(s)
+    monkeypatch.setattr(S, "BLOCK_ROWS", 25)
+    got, info = S.find_modes(table(spark, x), width, 300)
+    assert info["converged"] and info["modes"] == len(modes) >= 4
+    for r in got.collect():
+        assert min(sum((a - b) ** 2 for a, b in zip(r["vec"], m)) for m in modes) < .1
+    _, info = S.find_modes(table(spark, x), width, 1)
+    assert not info["converged"] and info["rounds"] == 1
+
+
 def silhouette_of(x, c):
     d = distances(x)
     s = []
