@@ -69,17 +69,16 @@ def _events_stream(spark, d):
 
 @query("w1_latest_progress_stream", f"WITH {PROG} {LAST}")
 def w1_stream(spark, d):
-    sink = new_path(spark, "stream")
-    P.run_available(P.stream_latest_progress(progress(_events_stream(spark, d))), sink,
-                    new_path(spark, "stream-state"))
-    return P.read_latest(spark, sink, "training_id", P.PROGRESS_TTL).drop("ts")
+    state = new_path(spark, "stream-state")
+    P.run_available(P.stream_latest_progress(progress(_events_stream(spark, d))), state)
+    return P.read_latest(spark, state).drop("ts")
 
 
 @query("w2_progress_feed_stream", f"WITH {PROG} {FEED}")
 def w2_stream(spark, d):
     sink = new_path(spark, "stream")
     P.run_feed(progress(_events_stream(spark, d)), sink, new_path(spark, "stream-state"))
-    return spark.read.parquet(sink).drop("ts", "batch")
+    return spark.read.parquet(sink).drop("ts")
 
 
 @query("w3_active_datasets_stream", """SELECT 'u' || user_id AS user_id,
@@ -87,7 +86,6 @@ def w2_stream(spark, d):
     SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events) WHERE rn = 1
     AND ts > (SELECT MAX(ts) FROM events) - INTERVAL 15 MINUTE""")
 def w3_stream(spark, d):
-    sink = new_path(spark, "stream")
-    P.run_available(P.stream_active_datasets(datasets(_events_stream(spark, d))), sink,
-                    new_path(spark, "stream-state"))
-    return P.read_latest(spark, sink, "user_id", P.ACTIVE_DATASET_TTL).drop("ts")
+    state = new_path(spark, "stream-state")
+    P.run_available(P.stream_active_datasets(datasets(_events_stream(spark, d))), state)
+    return P.read_latest(spark, state).drop("ts")

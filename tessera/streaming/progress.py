@@ -1,13 +1,18 @@
 """Progress of runs and the active dataset of each user, in batch and as streams.
 
-The streaming forms are ordinary grouped aggregates and joins, so a busy key is combined before
-the shuffle like any other and no Python runs per row. Expiry is the watermark's work: state for
-a time window is dropped when nothing newer than its time to live can still change it.
+The streaming forms keep one row a key in RocksDB state, which is also the table that readers
+query. Rows of a busy key are combined before the shuffle. An entry goes by an event-time timer
+once the watermark, one time to live behind the newest event, has passed it; rows that come in
+later than that would be expired already and are dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.config import ACTIVE_DATASET_TTL, PROGRESS_TTL
 
@@ -60,17 +65,91 @@ def _until(df: DataFrame, ends: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- streaming forms
 
-def _stream_latest(stream: DataFrame, key: str, values: list[str], ttl: int) -> DataFrame:
-    """Update stream of the newest values per key and time window of length ``ttl``.
+def _millis(ts: pd.Timestamp) -> int:
+    return pd.Timestamp(ts).value // 1_000_000
+
+
+class Latest(StatefulProcessor):
+    """Keeps the newest row of a key until the watermark has passed it, and tells of each change."""
+
+    def __init__(self, key: str, schema: T.StructType):
+        self.key, self.columns = key, [f.name for f in schema if f.name != key]
+        self.kept = T.StructType([f for f in schema if f.name != key])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("latest", self.kept)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        old, new = (self.state.get() if self.state.exists() else None), None
+        for pdf in rows:
+            row = pdf.loc[pdf["ts"].idxmax()]
+            if new is None or row["ts"] > new["ts"]:
+                new = row
+        at = self.columns.index("ts")
+        if new is None or old is not None and pd.Timestamp(old[at]) > new["ts"]:
+            return
+        if old is not None:
+            self.handle.deleteTimer(_millis(old[at]) + 1)
+        values = [None if pd.isna(v) else v.item() if hasattr(v, "item") else v
+                  for v in (new[c] for c in self.columns)]
+        values[at] = new["ts"].to_pydatetime()
+        self.state.update(tuple(values))
+        self.handle.registerTimer(_millis(new["ts"]) + 1)
+        yield pd.DataFrame({self.key: [key[0]], **{c: [new[c]] for c in self.columns}})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+class Feed(StatefulProcessor):
+    """Lets the rows of a run pass up to its first final step, which it remembers for a while."""
+
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.end = handle.getValueState("end", "ts timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows))[self.columns]
+        old = pd.Timestamp(self.end.get()[0]) if self.end.exists() else None
+        last = pdf.loc[pdf["step_index"] == LAST_STEP, "ts"]
+        end = min([*([old] if old is not None else []), *([last.min()] if len(last) else [])],
+                  default=None)
+        if end is not None and end != old:
+            if old is not None:
+                self.handle.deleteTimer(_millis(old) + 1)
+            self.end.update((end.to_pydatetime(),))
+            self.handle.registerTimer(_millis(end) + 1)
+        yield pdf if end is None else pdf[pdf["ts"] <= end]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.end.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
 
-    The newest row of a key is the one in its newest window. A window's state goes when the
-    watermark, ``ttl`` behind the newest event, has passed it.
-    """
+
+def _stream_latest(stream: DataFrame, key: str, values: list[str], ttl: int) -> DataFrame:
+    """Update stream of the newest values per key; the state named "latest" is the table itself."""
     use_rocksdb(stream.sparkSession)
-    return (stream.withWatermark("ts", f"{ttl} seconds")
-            .groupBy(key, F.window("ts", f"{ttl} seconds"))
-            .agg(F.max_by(F.struct(*values), "ts").alias("s"), F.max("ts").alias("latest"))
-            .select(key, "s.*", F.col("latest").alias("ts")))
+    rows = stream.select(key, *values, "ts")
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
+
+    def newest(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.loc[pdf.groupby(key, sort=False)["ts"].idxmax()]
+
+    return (rows.mapInPandas(newest, rows.schema).withWatermark("ts", f"{ttl} seconds").groupBy(key)
+            .transformWithStateInPandas(Latest(key, schema), schema, "Update", "EventTime"))
 
 
 def stream_latest_progress(stream: DataFrame) -> DataFrame:
@@ -82,42 +161,31 @@ def stream_active_datasets(stream: DataFrame) -> DataFrame:
     return _stream_latest(stream, "user_id", ["files_key", "filename"], ACTIVE_DATASET_TTL)
 
 
-def run_available(stream: DataFrame, sink: str, checkpoint: str, once: bool = True):
-    """Write an update stream batch by batch; a repeated batch replaces its own folder.
+def run_available(stream: DataFrame, checkpoint: str, once: bool = True):
+    """Keep the table of an update stream up to date in the state at ``checkpoint``.
 
     With ``once`` the rows that are there are processed and the query ends; otherwise the running
     query is returned.
     """
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+    return _start(stream.writeStream.format("noop").outputMode("update"), checkpoint, once)
 
-    return _start(stream.writeStream.outputMode("update").foreachBatch(write), checkpoint, once)
 
+def stream_feed(stream: DataFrame) -> DataFrame:
+    """Progress events, ending each run's events at its first final step.
 
-def run_feed(stream: DataFrame, sink: str, checkpoint: str, once: bool = True):
-    """Write progress events, ending each run's events at its first final step.
-
-    The times of final steps are a small table written per micro-batch: batch n reads the table
-    of batch n−1, so a repeated batch gives the same result. Entries expire with the progress.
+    The end of a run is kept in its state, and goes with a timer as the progress itself does.
     """
-    state = f"{checkpoint}-ends"
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        ends = _ends(batch)
-        if number:
-            old = spark.read.parquet(f"{state}/{number - 1}")
-            first = batch.agg(F.min("ts")).first()[0]
-            if first is not None:
-                old = old.where(F.col("end") > F.lit(first) - F.make_interval(
-                    secs=F.lit(PROGRESS_TTL)))
-            ends = ends.unionByName(old)
-        ends.groupBy("training_id").agg(F.min("end").alias("end")).write.mode(
-            "overwrite").parquet(f"{state}/{number}")
-        _until(batch, spark.read.parquet(f"{state}/{number}")).write.mode("overwrite").parquet(
-            f"{sink}/batch={number}")
-
-    return _start(stream.writeStream.outputMode("append").foreachBatch(write), checkpoint, once)
+    use_rocksdb(stream.sparkSession)
+    columns = stream.columns
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in stream.schema])
+    return (stream.withWatermark("ts", f"{PROGRESS_TTL} seconds").groupBy("training_id")
+            .transformWithStateInPandas(Feed(columns), schema, "Append", "EventTime"))
+
+
+def run_feed(stream: DataFrame, sink: str, checkpoint: str, once: bool = True):
+    """Write the feed to ``sink`` as it grows."""
+    return _start(stream_feed(stream).writeStream.outputMode("append").format("parquet")
+                  .option("path", sink), checkpoint, once)
 
 
 def _start(writer, checkpoint: str, once: bool):
@@ -129,19 +197,7 @@ def _start(writer, checkpoint: str, once: bool):
     return query
 
 
-def read_latest(spark: SparkSession, sink: str, key: str, ttl: int | None = None,
-                now: Column | None = None) -> DataFrame:
-    """Newest row per key of what an update stream has written.
-
-    With ``ttl`` entries expire so many seconds after their time, as in the batch form; ``now`` is
-    the newest time in the sink where it isn't given.
-    """
-    rows = spark.read.parquet(sink)
-    values = [c for c in rows.columns if c not in (key, "batch")]
-    last = rows.groupBy(key).agg(F.max_by(F.struct(*values), F.struct("ts", "batch"))
-                                 .alias("s")).select(key, "s.*")
-    if ttl is None:
-        return last
-    if now is None:
-        now = F.lit(rows.agg(F.max("ts")).first()[0])
-    return last.where(F.col("ts") > now - F.make_interval(secs=F.lit(ttl)))
+def read_latest(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Newest row per key that hasn't expired: the state of an update stream, one row a key."""
+    rows = spark.read.format("statestore").option("stateVarName", "latest").load(checkpoint)
+    return rows.select("key.*", "value.*")
