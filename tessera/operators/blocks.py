@@ -305,25 +305,3 @@ def distance_sums(df: DataFrame, group: str, block: int = BLOCK_ROWS) -> DataFra
 
     part = block_join(df, df, kernel, T.StructType(fields), block=block)
     return part.groupBy("id", group, "other").agg(F.sum("total").alias("total"))
-
-
-def group_extremes(df: DataFrame, group: str, block: int = BLOCK_ROWS) -> DataFrame:
-    """``(g, other, least, most)``: smallest and largest distance between points of two groups."""
-    kind = df.schema[group].dataType
-    fields = [T.StructField("g", kind), T.StructField("other", kind),
-              T.StructField("least", T.DoubleType()), T.StructField("most", T.DoubleType())]
-
-    def kernel(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        d = _distances(_matrix(l), _matrix(r))
-        lg, rg = l[group].to_numpy(), r[group].to_numpy()
-        rows = []
-        for g in np.unique(lg):
-            part = d[lg == g]
-            for o in np.unique(rg):
-                cell = part[:, rg == o]
-                rows.append((g, o, float(cell.min()), float(cell.max())))
-        return pd.DataFrame(rows, columns=["g", "other", "least", "most"])
-
-    part = block_join(df, df, kernel, T.StructType(fields), block=block)
-    return part.groupBy("g", "other").agg(F.min("least").alias("least"),
-                                          F.max("most").alias("most"))

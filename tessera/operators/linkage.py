@@ -102,7 +102,6 @@ def spanning_tree(p: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
     leaves that hold nothing but the component itself. What travels is one edge a component and
     task. Each round at least halves the components.
     """
-    kind = p.schema["id"].dataType
     points = written(p.select("id", "vec"), "points")
     distinct = written(points.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec"),
                        "distinct")
@@ -124,41 +123,17 @@ def spanning_tree(p: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
             out.loc[row, ["w", "u", "v"]] = w, ids[min(i, j)], ids[max(i, j)]
         return out.astype({"u": pdf["id"].dtype, "v": pdf["id"].dtype})
 
+    kind = p.schema["id"].dataType
     schema = T.StructType([*distinct.schema.fields, T.StructField("leaf", T.IntegerType()),
                            T.StructField("c", kind), T.StructField("w", T.DoubleType()),
                            T.StructField("u", kind), T.StructField("v", kind)])
     local = written(index.table.groupBy("leaf").applyInPandas(settle, schema), "settled")
     chosen = copies.unionByName(local.where("w is not null and not isnan(w)").select("u", "v", "w"))
     label = local.select("id", "vec", "leaf", "c")
-    edge = T.StructType([T.StructField("c", kind), T.StructField("w", T.DoubleType()),
-                         T.StructField("u", kind), T.StructField("v", kind), T.StructField("o", kind)])
-
-    def lightest(found: DataFrame) -> DataFrame:
-        return found.groupBy("c").agg(F.min(F.struct("w", "u", "v", "o")).alias("s")).select("c", "s.*")
-
     for _ in range(MAX_ROUNDS):
-        held = label.groupBy("leaf").agg(F.min("c").alias("a"), F.max("c").alias("b")).collect()
-        whole = {r["leaf"]: r["a"] for r in held if r["a"] == r["b"]}   # leaves of one component
-        if len(whole) == len(held) and len(set(whole.values())) == 1:
+        best = lightest_edges(index, label, block)
+        if best is None:
             return chosen
-        now = replace(index, table=label.withColumns({x: F.lit(0) for x in ("r", "top", "r_top")}))
-        mixed = label.where(~F.col("leaf").isin(list(whole))) if len(whole) < 1000 else label.join(
-            F.broadcast(p.sparkSession.createDataFrame([(x,) for x in whole], "leaf int")), "leaf",
-            "left_anti")
-        inside = written(lightest(now.join(mixed, _lightest, edge, block)), "inside") if len(
-            whole) < len(held) else p.sparkSession.createDataFrame([], edge)
-        # A component that fills its leaves reaches another in any leaf that isn't its own.
-        ways = p.sparkSession.createDataFrame(_ways(index, whole), T.StructType(edge.fields[:2]))
-        limit = inside.select("c", "w").unionByName(ways).groupBy("c").agg(F.min("w").alias("bound"))
-        ahead = label.join(limit, "c").withColumn("home", F.col("leaf")).withColumns(
-            {x: F.lit(0) for x in ("r", "top", "r_top")})
-
-        def worth(pdf: pd.DataFrame, i: np.ndarray, leaf: np.ndarray, whole=whole) -> np.ndarray:
-            c, home = pdf["c"].to_numpy()[i], pdf["home"].to_numpy()[i]
-            return np.array([h != x and whole.get(x) != y for h, x, y in zip(
-                home.tolist(), leaf.tolist(), c.tolist())], dtype=bool)
-        reached = now.join(now.copies(ahead, worth).drop("home"), _lightest, edge, block)
-        best = written(lightest(inside.unionByName(reached)), "lightest")
         chosen = chosen.unionByName(best.select("u", "v", "w").distinct())
         merged = _merge(best)
         label = written(label.join(merged, "c").select("id", "vec", "leaf", F.col("root").alias("c")),
@@ -166,6 +141,99 @@ def spanning_tree(p: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def lightest_edges(index: Index, label: DataFrame, block: int = BLOCK_ROWS) -> DataFrame | None:
+    """``(c, w, u, v, o)``: each component's lightest edge, ties by ends, and where it leads to.
+
+    ``label`` has ``id, vec, leaf, c`` of the points in the index. None if there is one component.
+    """
+    spark, kind = label.sparkSession, label.schema["c"].dataType
+    ends = label.schema["id"].dataType
+    edge = T.StructType([T.StructField("c", kind), T.StructField("w", T.DoubleType()),
+                         T.StructField("u", ends), T.StructField("v", ends), T.StructField("o", kind)])
+
+    def lightest(found: DataFrame) -> DataFrame:
+        return found.groupBy("c").agg(F.min(F.struct("w", "u", "v", "o")).alias("s")).select("c", "s.*")
+
+    held = label.groupBy("leaf").agg(F.min("c").alias("a"), F.max("c").alias("b")).collect()
+    whole = {r["leaf"]: r["a"] for r in held if r["a"] == r["b"]}       # leaves of one component
+    if len(whole) == len(held) and len(set(whole.values())) < 2:
+        return None
+    now = replace(index, table=label.withColumns({x: F.lit(0) for x in ("r", "top", "r_top")}))
+    inside = spark.createDataFrame([], edge)
+    if len(whole) < len(held):
+        mixed = [(r["leaf"],) for r in held if r["leaf"] not in whole]
+        mixed = label.join(F.broadcast(spark.createDataFrame(mixed, "leaf int")), "leaf")
+        inside = written(lightest(now.join(mixed, _lightest, edge, block)), "inside")
+    # A component that fills its leaves reaches another in any leaf that isn't its own.
+    ways = spark.createDataFrame(_ways(index, whole), T.StructType(edge.fields[:2]))
+    limit = inside.select("c", "w").unionByName(ways).groupBy("c").agg(F.min("w").alias("bound"))
+    ahead = label.join(limit, "c").withColumn("home", F.col("leaf")).withColumns(
+        {x: F.lit(0) for x in ("r", "top", "r_top")})
+
+    def worth(pdf: pd.DataFrame, i: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        c, home = pdf["c"].to_numpy()[i], pdf["home"].to_numpy()[i]
+        return np.array([h != x and whole.get(x) != y for h, x, y in zip(
+            home.tolist(), leaf.tolist(), c.tolist())], dtype=bool)
+    reached = now.join(now.copies(ahead, worth).drop("home"), _lightest, edge, block)
+    return written(lightest(inside.unionByName(reached)), "lightest")
+
+
+def _length(a: str, b: str):
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0),
+                              lambda x, y: x + y))
+
+
+def diameters(index: Index, label: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+    """``(c, most)``: largest distance between two points of each component, by branch and bound.
+
+    A real distance is known first: from the point farthest from the mean to the point farthest from
+    it. Only pairs of leaves whose pivots and reaches allow more are looked at. Ties cost nothing,
+    as the distance alone is wanted.
+    """
+    spark = label.sparkSession
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    middle = label.groupBy("c").agg(Summarizer.mean(array_to_vector("vec")).alias("m")).select(
+        "c", vector_to_array("m").alias("middle"))
+    ends = written(label.join(middle, "c").groupBy("c").agg(
+        F.max_by("vec", F.struct(_length("vec", "middle"), "id")).alias("end")), "ends")
+    known = written(label.join(ends, "c").groupBy("c").agg(
+        F.max(_length("vec", "end")).alias("known")), "known")
+    pivots = spark.createDataFrame(
+        [(i, [float(x) for x in v]) for i, v in enumerate(index.tree.pivots)],
+        "leaf int, pivot array<double>")
+    parts = written(label.join(pivots, "leaf").groupBy("c", "leaf").agg(
+        F.count("*").alias("n"), F.max(_length("vec", "pivot")).alias("r"),
+        F.first("pivot").alias("pivot")), "parts")
+    other = parts.select(*[F.col(x).alias(f"{x}_b") for x in ("c", "leaf", "n", "r", "pivot")])
+    pairs = written(parts.join(other, (F.col("c") == F.col("c_b")) & (F.col("leaf") <= F.col("leaf_b")))
+                    .join(known, "c").where((_length("pivot", "pivot_b") + F.col("r") + F.col("r_b"))
+                                            * (1 + 1e-9) > F.col("known"))
+                    .select("c", "leaf", "leaf_b", F.ceil(F.col("n") / block).cast("int").alias("n_a"),
+                            F.ceil(F.col("n_b") / block).cast("int").alias("n_b")), "leaf_pairs")
+
+    def side(leaf: str, mine: str, theirs: str) -> DataFrame:
+        # Fresh column identities: both sides come from the same tables.
+        points = label.select(F.col("leaf").alias(leaf), *[F.col(x).alias(x) for x in ("c", "id", "vec")])
+        return (points.join(pairs.select(*[F.col(x).alias(x) for x in pairs.columns]), ["c", leaf])
+                .withColumn(mine, F.pmod(F.xxhash64(F.lit(3), "id"), F.col(f"n_{mine}")).cast("int"))
+                .withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(f"n_{theirs}") - 1)))
+                .groupBy("c", "leaf", "leaf_b", "a", "b"))
+
+    def widest(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(l) or not len(r):
+            return pd.DataFrame(columns=["c", "most"])
+        x, y = matrix(l), matrix(r)
+        sq, tol = squared(x, y)
+        i, j = np.nonzero(sq >= sq.max() - 4 * tol)
+        return pd.DataFrame({"c": l["c"].iloc[:1], "most": exact(x, y, i[:4096], j[:4096]).max()})
+
+    found = side("leaf", "a", "b").cogroup(side("leaf_b", "b", "a")).applyInPandas(
+        widest, T.StructType([label.schema["c"], T.StructField("most", T.DoubleType())]))
+    return known.withColumnRenamed("known", "most").unionByName(found).groupBy("c").agg(
+        F.max("most").alias("most"))
+
+
 def _ways(index: Index, whole: dict) -> list[tuple]:
     """(component, distance): within it some point of the component surely has a stranger."""
     if not whole:
@@ -194,3 +262,15 @@ def linkage_clusters(p: DataFrame, k: int, block: int = BLOCK_ROWS) -> DataFrame
     cut = tree.orderBy(F.col("w").desc(), F.col("u").desc(), F.col("v").desc()).limit(max(0, k - 1))
     kept = tree.join(F.broadcast(cut.select("u", "v")), ["u", "v"], "left_anti")
     return connected_components(p.select("id"), kept.select("u", "v"))
+
+
+def group_extremes(df: DataFrame, group: str, block: int = BLOCK_ROWS) -> DataFrame:
+    """``(g, intra, inter)``: largest distance within each group, smallest to any other (or null)."""
+    points = df.select("id", "vec", F.col(group).alias("c"))
+    index = Index.of(points, points.count(), block)
+    label = index.table.select("id", "vec", "leaf", "c")
+    most, near = diameters(index, label, block), lightest_edges(index, label, block)
+    least = near.select("c", "w") if near is not None else most.select("c", F.lit(None).cast(
+        "double").alias("w"))
+    return most.join(least, "c", "left").select(F.col("c").alias("g"), F.col("most").alias("intra"),
+                                                F.col("w").alias("inter"))

@@ -14,8 +14,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions.ordered import exact_quantiles, most_frequent, unpivot
-from tessera.operators.blocks import distance_sums, group_extremes, nearest, radius_links
+from tessera.operators.blocks import distance_sums, nearest, radius_links
 from tessera.operators.graph import connected_components
+from tessera.operators.linkage import group_extremes
 from tessera.session import written
 
 CLUSTER_LIMIT = 10_000
@@ -474,10 +475,7 @@ def posthoc_score(p: DataFrame, stability_value: float = 0.0, gap: float | None
 
     bad = _per_batch(p, m, "bad long, n long", missed).agg(
         (F.sum("bad") / F.sum("n")).alias("r")).first()["r"]
-    ends = group_extremes(good, "cluster")
-    own = F.col("g") == F.col("other")
-    per = ends.groupBy("g").agg(F.max(F.when(own, F.col("most"))).alias("intra"),
-                                F.min(F.when(~own, F.col("least"))).alias("inter"))
+    per = group_extremes(good, "cluster")
     merge = per.where("inter > 1e-6").agg(F.avg(F.least(
         F.lit(1.0), F.col("intra") / F.col("inter")))).first()[0] or 0.0
     overlap = float(np.clip(1 - (0.5 * bad + 0.5 * merge), 0.0, 1.0))

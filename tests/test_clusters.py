@@ -239,6 +239,20 @@ def test_modes(spark, monkeypatch):
     assert not info["converged"] and info["rounds"] == 1
 
 
+@pytest.mark.parametrize("block", [2048, 9])
+def test_extremes_of_groups(spark, cloud, small_trees, block):
+    from tessera.operators import linkage as L
+    c = np.repeat([0, 1, 2, 3, 7], [60, 50, 70, 89, 1])
+    d = distances(cloud)
+    got = {r["g"]: r for r in L.group_extremes(table(spark, cloud, c), "cluster", block).collect()}
+    assert set(got) == set(c.tolist())
+    for g in got:
+        assert got[g]["intra"] == pytest.approx(d[np.ix_(c == g, c == g)].max())
+        assert got[g]["inter"] == pytest.approx(d[np.ix_(c == g, c != g)].min())
+    alone = L.group_extremes(table(spark, cloud, c * 0), "cluster", block).first()
+    assert alone["inter"] is None and alone["intra"] == pytest.approx(d.max())
+
+
 def silhouette_of(x, c):
     d = distances(x)
     s = []
