@@ -21,9 +21,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tessera.llm.common import documents, longs, saved
+from tessera.llm.common import documents, joined, longs, saved, slices
 from tessera.session import new_path
 
 MAGIC = b"TRA1"
@@ -32,6 +33,7 @@ LANES = 512
 BLOCK = 1 << 16
 CHUNK = 1 << 18
 END = 0
+BROADCAST_ROWS = 200_000     # file parts; beyond this their offsets come by a shuffle join
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 
@@ -199,28 +201,38 @@ class Pieces:
             self.known[p] = self.known[p[:-1]] + self.stops[p[-1]]
         return plain.union(stopped)
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        for text in texts:
-            # A part at the beginning of a line, which no space precedes, is marked by \x00.
-            flat = text.replace("\n", " ")
-            plain = flat and flat[0] != " " != flat[-1] and "  " not in flat and not (
-                self._OTHER.search(flat)) and not any(a in text for a in self.added)
-            split.append(("\x00" + text.replace("\n", " \n \x00")).split(" ") if plain else None)
-        new: set[str] = set()
-        for parts in split:
-            if parts:
-                new.update(parts)
-        new = new.difference(self.known)
+    def _plain(self, text: str) -> bool:
+        flat = text.replace("\n", " ")
+        return bool(flat) and flat[0] != " " != flat[-1] and "  " not in flat and not (
+            self._OTHER.search(flat)) and not any(a in text for a in self.added)
+
+    def _of_pieces(self, texts: list[str]) -> list[bytes]:
+        """Ids of plain texts: split and numbered by Arrow, each distinct piece looked up once."""
+        # A part at the beginning of a line, which no space precedes, is marked by \x00.
+        parts = pc.split_pattern(pa.array(["\x00" + t.replace("\n", " \n \x00") for t in texts],
+                                          pa.large_string()), " ")
+        words = parts.values.dictionary_encode()
+        kinds = words.dictionary.to_pylist()
         full = len(self.known) > self.KNOWN
-        added = self._learn(new)
-        whole = [i for i, parts in enumerate(split) if parts is None]
-        of, get = dict(zip(whole, self._whole([texts[i] for i in whole]))), self.known.__getitem__
-        out = [of[i] if parts is None else b"".join(map(get, parts))
-               for i, parts in enumerate(split)]
+        added = self._learn(set(kinds).difference(self.known))
+        data = [self.known[k] for k in kinds]
         for p in added if full else ():
             del self.known[p]
-        return out
+        size = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        ids, start = np.frombuffer(b"".join(data), "<u4"), np.cumsum(size) - size
+        at = words.indices.to_numpy()
+        n = size[at]
+        end = np.cumsum(n)
+        # Each word's ids, one after another: place in the output, moved to the word's own start.
+        out = ids[np.arange(end[-1]) + np.repeat(start[at] - (end - n), n)].tobytes()
+        cuts = (4 * np.r_[0, end][parts.offsets.to_numpy()]).tolist()
+        return [out[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        plain = [self._plain(t) for t in texts]
+        split = iter(self._of_pieces([t for t, p in zip(texts, plain) if p]) if any(plain) else ())
+        whole = iter(self._whole([t for t, p in zip(texts, plain) if not p]))
+        return [next(split if p else whole) for p in plain]
 
 
 @cache
@@ -229,16 +241,20 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-def tokenize(docs: DataFrame, path: str, end: int = END, texts_at_once: int = 256) -> DataFrame:
-    """``doc_id, ids``: little-endian unsigned 32-bit ids of the whole text (null: empty), and end."""
+def tokenize(docs: DataFrame, path: str, end: int = END) -> DataFrame:
+    """``doc_id, ids``: little-endian unsigned 32-bit ids of the whole text (null: empty), and end.
+
+    Texts are taken by slices of a few megabytes, a longer one by itself.
+    """
     last = np.array([end], "<u4").tobytes()
 
     def run(batches):
         pieces = pieces_of(path)
         for b in batches:
-            for at in range(0, b.num_rows, texts_at_once):
-                part = b.slice(at, texts_at_once)
-                ids = pieces([t or "" for t in part.column("text").to_pylist()])
+            text = b.column("text").fill_null("")
+            for part in slices([pa.RecordBatch.from_arrays([b.column("doc_id"), text],
+                                                           ["doc_id", "text"])]):
+                ids = pieces(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([i + last for i in ids], pa.binary())],
                     ["doc_id", "ids"])
@@ -262,8 +278,9 @@ def write(ids: DataFrame, folder: str, per_file: int = 1 << 22) -> None:
     def count(batches):
         total = np.zeros(1 << 12, np.int64)
         for b in batches:
-            for v in b.column("ids"):
-                n = np.bincount(np.frombuffer(v.as_buffer(), "<u4"), minlength=len(total))
+            for part in slices([b], column="ids"):
+                n = np.bincount(np.frombuffer(joined(part.column("ids"))[0].tobytes(), "<u4"),
+                                minlength=len(total))
                 total = np.pad(total, (0, len(n) - len(total))) + n
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([longs(used), longs(total[used])], ["token", "n"])
@@ -309,7 +326,8 @@ def write(ids: DataFrame, folder: str, per_file: int = 1 << 22) -> None:
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` from the files; every checksum is verified.
 
-    Chunks are decoded where they lie; only one total per file part is accumulated.
+    Chunks are decoded where they lie, and their rows don't move: one total per file part is
+    accumulated, and meets the chunks before they are decoded (broadcast if the counted parts allow).
     """
     table = spark.read.parquet(f"{folder}/table").first()
     freq = np.frombuffer(bytes(table["freq"]), "<u4").astype(np.int64)
@@ -318,23 +336,23 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches):
         t = Table(freq)
         for b in batches:
-            for part, before, names, payload in zip(*(b.column(c) for c in (
-                    "part", "before", "doc_ids", "payload"))):
+            for start, names, payload in zip(*(b.column(c) for c in (
+                    "start", "doc_ids", "payload"))):
                 docs = decode_chunk(payload.as_py(), t)
                 n = np.array([len(d) for d in docs], np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([part.as_py()] * len(docs), pa.int32()), longs(names.as_py()),
-                    longs(before.as_py() + np.cumsum(n) - n), longs(n),
+                    longs(names.as_py()), longs(start.as_py() + np.cumsum(n) - n), longs(n),
                     pa.array([d.astype("<u4").tobytes() for d in docs], pa.binary())],
-                    ["part", "doc_id", "inside", "n_tokens", "ids"])
-    offsets = (chunks.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn(
+                    ["doc_id", "start", "n_tokens", "ids"])
+    offsets = saved(chunks.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn(
         "offset", F.coalesce(F.sum("n").over(
             W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .select("part", "offset"))
-    return chunks.mapInArrow(
-        run, "part int, doc_id long, inside long, n_tokens long, ids binary").join(
-        offsets, "part").select("doc_id", (F.col("offset") + F.col("inside")).alias("start"),
-                                "n_tokens", "ids")
+        .select("part", "offset"), "offsets")
+    if offsets.count() <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+    return chunks.join(offsets, "part").select(
+        (F.col("offset") + F.col("before")).alias("start"), "doc_ids", "payload").mapInArrow(
+        run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def default_tokenizer() -> str:
