@@ -16,6 +16,7 @@ from tessera.session import written
 
 ROW_KEY = "_rid"
 COPIES_PER_TASK = 100_000
+BROADCAST_ROWS = 200_000
 
 
 def drop_unnamed(df: DataFrame) -> DataFrame:
@@ -66,15 +67,31 @@ def drop_null_rows(df: DataFrame) -> DataFrame:
 def with_row_key(df: DataFrame, distinct: bool = False, name: str = ROW_KEY) -> DataFrame:
     """Add a key that depends only on the row's values: 128 hash bits and a copy number.
 
-    Copies are counted (which combines before the shuffle) and expanded again in chunks spread
-    over tasks, so a row that makes up a large part of the table is never numbered in one task.
-    ``distinct`` says that the rows have no copies and saves the count.
+    First the hashes that occur twice are counted, 16 bytes a row. Where their table is small
+    enough to broadcast, all other rows get their key where they lie, and only rows with copies are
+    shuffled whole; else all are. Copies are counted (which combines before the shuffle) and expanded
+    again in chunks spread over tasks, so a row that makes up a large part of the table is never
+    numbered in one task. The rows are read three times: pass a table. ``distinct`` says that the
+    rows have no copies and saves the counts.
     """
     cells = [F.col(f"`{c}`") for c in df.columns]
-    hashes = F.concat(F.lpad(F.lower(F.hex(F.xxhash64(F.lit(11), *cells))), 16, "0"),
-                      F.lpad(F.lower(F.hex(F.xxhash64(F.lit(29), *cells))), 16, "0"))
+    halves = F.xxhash64(F.lit(11), *cells), F.xxhash64(F.lit(29), *cells)
+    hashes = F.concat(*[F.lpad(F.lower(F.hex(h)), 16, "0") for h in halves])
+    first = df.withColumn(name, F.concat(hashes, F.lit("-0")))
     if distinct:
-        return df.withColumn(name, F.concat(hashes, F.lit("-0")))
+        return first
+    repeated = written(df.select(halves[0].alias("_a"), halves[1].alias("_b")).groupBy("_a", "_b")
+                       .agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), "repeated")
+    if repeated.count() > BROADCAST_ROWS:
+        return _numbered(df, hashes, name)
+    held = F.broadcast(repeated)
+    same = (halves[0] == F.col("_a")) & (halves[1] == F.col("_b"))
+    return first.join(held, same, "left_anti").unionByName(
+        _numbered(df.join(held, same, "left_semi"), hashes, name))
+
+
+def _numbered(df: DataFrame, hashes: Column, name: str) -> DataFrame:
+    """Equal rows counted and numbered."""
     step = F.lit(COPIES_PER_TASK)
     counted = df.groupBy(*df.columns).agg(F.count("*").alias("_m"))
     chunked = counted.withColumn(

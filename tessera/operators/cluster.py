@@ -25,6 +25,7 @@ from tessera.operators.features import choose_metric, l2_normalise
 from tessera.operators.graph import connected_components
 from tessera.operators.kth import kth_distance
 from tessera.operators.linkage import linkage_clusters
+from tessera.operators.pivots import distances
 from tessera.operators.quality import CLUSTER_LIMIT, moments
 from tessera.operators.shift import find_modes
 from tessera.session import written
@@ -113,11 +114,10 @@ def assign_nearest(p: DataFrame, centres: np.ndarray) -> DataFrame:
     def run(batches):
         for pdf in batches:
             if len(pdf):
-                x = np.stack(pdf["vec"].to_numpy()).astype(float)
-                d = np.sqrt(((x[:, None, :] - centres[None, :, :]) ** 2).sum(-1))
+                d = distances(np.stack(pdf["vec"].to_numpy()).astype(float), centres)
                 c = d.argmin(1)
                 yield pd.DataFrame({"id": pdf["id"], "cluster": c.astype("int32"),
-                                    "dist": d[np.arange(len(x)), c]})
+                                    "dist": d[np.arange(len(d)), c]})
 
     return p.select("id", "vec").mapInPandas(run, schema)
 

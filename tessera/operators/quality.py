@@ -11,12 +11,13 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.functions.ordered import exact_quantiles, most_frequent, unpivot
 from tessera.operators.blocks import distance_sums, nearest, radius_links
 from tessera.operators.graph import connected_components
 from tessera.operators.linkage import group_extremes
+from tessera.operators.pivots import distances
 from tessera.session import written
 
 CLUSTER_LIMIT = 10_000
@@ -103,17 +104,44 @@ def davies_bouldin(p: DataFrame, m: Moments) -> float:
     for r in rows.collect():
         total[r["c"]] = r["d"]
     s = total / m.n
-    apart = _pairwise(centres)
-    if np.allclose(s, 0) or np.allclose(apart, 0):
+    worst = centre_pairs(centres, s).agg(F.avg("ratio").alias("ratio"), F.max("far").alias("far"))
+    row = worst.first()
+    if np.allclose(s, 0) or np.allclose(row["far"] or 0.0, 0):
         return 0.0
-    apart[apart == 0] = np.inf
-    ratio = (s[:, None] + s[None, :]) / apart
-    np.fill_diagonal(ratio, 0.0)
-    return float(ratio.max(1).mean())
+    return float(row["ratio"])
 
 
-def _pairwise(x: np.ndarray) -> np.ndarray:
-    return np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+CENTRES_AT_ONCE = 256
+
+
+def centre_pairs(centres: np.ndarray, spread: np.ndarray | None = None) -> DataFrame:
+    """``(c, ratio, total, far)`` for each centre: largest (spread + other's spread) / distance over
+    the others, and the sum and the largest of the distances to them.
+
+    Centres are few enough to travel with the tasks; each task holds its own against all in one
+    matrix of distances and hands on one row a centre.
+    """
+    spark, k = SparkSession.getActiveSession(), len(centres)
+    s = np.zeros(k) if spread is None else spread
+
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), CENTRES_AT_ONCE):
+                i = pdf["id"].to_numpy()[at:at + CENTRES_AT_ONCE]
+                d = distances(centres[i], centres)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    ratio = np.where(d > 0, (s[i][:, None] + s[None, :]) / d, 0.0)
+                ratio[np.arange(len(i)), i] = 0.0
+                yield pd.DataFrame({"c": i, "ratio": ratio.max(1), "total": d.sum(1), "far": d.max(1)})
+
+    return spark.range(0, k, 1, max(1, -(-k // CENTRES_AT_ONCE))).mapInPandas(
+        run, "c long, ratio double, total double, far double")
+
+
+def _mean_apart(m: Moments) -> float:
+    """Mean distance between two centres."""
+    k = len(m.labels)
+    return float(centre_pairs(m.mean).agg(F.sum("total")).first()[0]) / (k * (k - 1))
 
 
 # ---------------------------------------------------------------- silhouette
@@ -240,8 +268,7 @@ def view_range(p: DataFrame) -> float:
 def separation(m: Moments, length: float) -> float:
     if len(m.labels) < 2 or length == 0:
         return 0.0
-    i, j = np.triu_indices(len(m.labels), 1)
-    return float(np.clip(2.0 * _pairwise(m.mean)[i, j].mean() / length, 0.0, 1.0))
+    return float(np.clip(2.0 * _mean_apart(m) / length, 0.0, 1.0))
 
 
 # ---------------------------------------------------------------- agreement of labellings
@@ -470,7 +497,7 @@ def posthoc_score(p: DataFrame, stability_value: float = 0.0, gap: float | None
     centres = m.mean
 
     def missed(x: np.ndarray, c: np.ndarray) -> pd.DataFrame:
-        d = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(-1)
+        d = distances(x, centres)
         return pd.DataFrame({"bad": [int((d.argmin(1) != c).sum())], "n": [len(x)]})
 
     bad = _per_batch(p, m, "bad long, n long", missed).agg(
@@ -480,12 +507,11 @@ def posthoc_score(p: DataFrame, stability_value: float = 0.0, gap: float | None
         F.lit(1.0), F.col("intra") / F.col("inter")))).first()[0] or 0.0
     overlap = float(np.clip(1 - (0.5 * bad + 0.5 * merge), 0.0, 1.0))
     log_ch = np.log1p(calinski_harabasz(m))
-    i, j = np.triu_indices(k, 1)
     parts = {"silhouette": sil, "calinski_harabasz": log_ch / (log_ch + 5.0),
              "stability": float(np.clip(stability_value, 0.0, 10.0)) * 100,
              "gap_score": float(np.tanh(gap / 3)) if gap is not None else 0.0,
              "overlap_score": overlap,
-             "centroid_sep": float(np.tanh(_pairwise(centres)[i, j].mean()))}
+             "centroid_sep": float(np.tanh(_mean_apart(m)))}
     factors = {"noise_penalty": 1 - 0.25 * noise,
                "separation_penalty": 1.0 if sil > 0.2 else sil / 0.2,
                "k_penalty": 1.0 if k <= 10 else 10 / k,

@@ -83,6 +83,18 @@ def p7(spark, d):
                      F.count_if(F.col(C.ROW_KEY).endswith("-0")).alias("n_first"))
 
 
+@query("p7_row_key_all_columns", """
+  SELECT COUNT(*) AS n, COUNT(*) AS n_keys, (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM t)) AS n_first
+  FROM t""".replace("FROM t", """FROM (SELECT * FROM lineitem UNION ALL
+    SELECT * FROM lineitem WHERE l_linenumber = 7) t"""))
+def p7_all(spark, d):
+    """All columns, and every row of line number 7 twice."""
+    li = table(spark, d, "lineitem")
+    keyed = C.with_row_key(li.unionByName(li.where("l_linenumber = 7")))
+    return keyed.agg(F.count("*").alias("n"), F.count_distinct(C.ROW_KEY).alias("n_keys"),
+                     F.count_if(F.col(C.ROW_KEY).endswith("-0")).alias("n_first"))
+
+
 @query("p8_column_kinds", " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", COUNT({c}) AS n, '{k}' AS kind FROM lineitem" for c, k in [
         *[(c, "numeric") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",

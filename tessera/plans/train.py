@@ -313,7 +313,7 @@ def run_task(df: DataFrame, task: str, target: str | None = None, config=None, p
 def cluster_points(df: DataFrame, drop: Sequence[str] = (), scale: bool = True) -> DataFrame:
     """Clean a table and turn it into points: scaled numbers, one-hot and hashed text."""
     cleaned = clean(df, "clustering", drop)
-    data = written(with_row_key(cleaned.df), "points")
+    data = written(with_row_key(written(cleaned.df, "cleaned")), "points")
     nums = cleaned.numeric
     if scale and nums:
         data = X.fit_robust(data, nums).apply(data)
@@ -338,7 +338,7 @@ def ordinal_points(df: DataFrame, drop: Sequence[str] = (), scale: bool = True):
     codes = written(X.category_map(cleaned.df, cats, few=cleaned.low), "codes") if cats else None
     data = X.encode_ordinal(cleaned.df, cats, codes) if cats else cleaned.df
     features = [c for c in data.columns if c in [*cleaned.numeric, *cats]]
-    data = written(with_row_key(data.select(*features)), "points")
+    data = written(with_row_key(written(data.select(*features), "cleaned")), "points")
     scaling = X.fit_robust(data, features) if scale else X.Scaling({}, {})
     prep = Artifact("clustering", "clustering", features, scaling, category_codes=codes)
     vec = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
