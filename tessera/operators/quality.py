@@ -8,10 +8,10 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from tessera.functions.ordered import exact_quantiles, most_frequent, unpivot
 from tessera.operators.blocks import distance_sums, nearest, radius_links
@@ -338,25 +338,108 @@ def stability(p: DataFrame, fit_predict: Callable[[DataFrame], DataFrame], runs:
     return float(row[0] or 0.0)
 
 
-def gap_statistic(p: DataFrame, k: int, refs: int = 5, seed: int = 42, inits: int = 1) -> float:
-    """Mean log inertia of uniform reference sets minus the log inertia of the points."""
-    if k <= 1:
-        return 0.0
-    m = moments(p.withColumn("cluster", F.lit(0)))
-    d = m.mean.shape[1]
-    ends = p.agg(*[F.min(F.col("vec")[i]).alias(f"a{i}") for i in range(d)],
-                 *[F.max(F.col("vec")[i]).alias(f"b{i}") for i in range(d)]).first()
+SAMPLE_ROWS = 1_000          # rows of each set that starting centres are drawn from
+GAP_WIDTH = 50               # columns above which the gap is taken in the space of components
+
+
+def _spread_starts(x: np.ndarray, k: int, starts: int, rng: np.random.Generator) -> np.ndarray:
+    """Centres drawn far apart: each in proportion to the squared distance to those before."""
+    out = np.empty((starts, k, x.shape[1]))
+    for s in range(starts):
+        out[s, 0] = x[rng.integers(len(x))]
+        near = ((x - out[s, 0]) ** 2).sum(1)
+        for j in range(1, k):
+            total = near.sum()
+            at = rng.choice(len(x), p=near / total) if total > 0 else rng.integers(len(x))
+            out[s, j] = x[at]
+            near = np.minimum(near, ((x - out[s, j]) ** 2).sum(1))
+    return out
+
 
-    def inertia(df: DataFrame) -> float:
-        v = df.select(array_to_vector("vec").alias("features"))
-        return min(KMeans(k=k, seed=seed + i).fit(v).summary.trainingCost for i in range(inits))
+def inertias(sets: DataFrame, centres: np.ndarray, max_iter: int = 100, tol: float = 1e-4
+             ) -> np.ndarray:
+    """Inertia that k-means reaches on each set from each of its starts.
 
-    logs = []
-    for r in range(refs):
-        cells = F.array(*[F.lit(ends[f"a{i}"]) + uniform(seed + 1000 * r + i, F.col("id"))
-                          * max(ends[f"b{i}"] - ends[f"a{i}"], 1e-9) for i in range(d)])
-        logs.append(np.log(max(inertia(p.select("id", cells.alias("vec"))), 1e-300)))
-    return float(np.mean(logs) - np.log(max(inertia(p), 1e-300)))
+    ``sets`` has ``part`` (the set's number) and ``vec``; ``centres`` is sets × starts × k × width.
+    A round scores all starts of all sets in one pass over the rows; a task hands on counts, sums and
+    costs. Starts whose centres have come to rest are no longer computed.
+    """
+    parts, starts, k, width = centres.shape
+    centres, cost = centres.copy(), np.full((parts, starts), np.inf)
+    live = np.ones((parts, starts), dtype=bool)
+
+    def run(batches, centres, live):
+        n, sums = np.zeros((parts, starts, k)), np.zeros((parts, starts, k, width))
+        cost = np.zeros((parts, starts))
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, part = np.stack(pdf["vec"].to_numpy()).astype(float), pdf["part"].to_numpy()
+            for r in np.unique(part):
+                mine = x[part == r]
+                for s in np.flatnonzero(live[r]):
+                    d = distances(mine, centres[r, s])
+                    c = d.argmin(1)
+                    n[r, s] += np.bincount(c, minlength=k)
+                    one = np.zeros((len(mine), k))
+                    one[np.arange(len(mine)), c] = 1.0
+                    sums[r, s] += one.T @ mine
+                    cost[r, s] += float((d[np.arange(len(mine)), c] ** 2).sum())
+        flat = np.concatenate([cost.ravel(), n.ravel(), sums.ravel()])
+        hit = np.flatnonzero(flat)
+        yield pd.DataFrame({"i": hit, "v": flat[hit]})
+
+    for _ in range(max_iter + 1):
+        flat = np.zeros(parts * starts * (1 + k + k * width))
+        for row in sets.select("part", "vec").mapInPandas(
+                lambda b, c=centres, v=live: run(b, c, v), "i long, v double").groupBy("i").agg(
+                F.sum("v").alias("v")).collect():
+            flat[row["i"]] = row["v"]
+        got, n, sums = np.split(flat, [parts * starts, parts * starts * (1 + k)])
+        n, sums = n.reshape(parts, starts, k), sums.reshape(parts, starts, k, width)
+        cost = np.where(live, got.reshape(parts, starts), cost)
+        new = np.where(n[..., None] > 0, sums / np.maximum(n, 1)[..., None], centres)
+        moved = np.sqrt(((new - centres) ** 2).sum(-1)).max(-1)
+        centres = np.where(live[..., None, None], new, centres)
+        live = live & (moved > tol)
+        if not live.any():
+            break
+    return cost
+
+
+def gap_statistic(p: DataFrame, k: int, refs: int = 5, seed: int = 42, inits: int = 10) -> float:
+    """Mean log inertia of uniform reference sets minus the log inertia of the points.
+
+    Above ``GAP_WIDTH`` columns both are taken in the space of that many principal components.
+    References fill the box of the points in that space. Each set's inertia is the best of ``inits``
+    starts; the points and all references are clustered together, a pass a round.
+    """
+    if k <= 1:
+        return 0.0
+    space = p.select("id", "vec")
+    if p.select(F.size("vec").alias("d")).first()["d"] > GAP_WIDTH:
+        rows = space.select("id", array_to_vector("vec").alias("features"))
+        space = PCA(k=GAP_WIDTH, inputCol="features", outputCol="pc").fit(rows).transform(rows).select(
+            "id", vector_to_array("pc").alias("vec"))
+    space = written(space, "space")
+    d = space.select(F.size("vec").alias("d")).first()["d"]
+    ends = space.agg(*[F.min(F.col("vec")[i]).alias(f"a{i}") for i in range(d)],
+                     *[F.max(F.col("vec")[i]).alias(f"b{i}") for i in range(d)]).first()
+    low = F.array(*[F.lit(ends[f"a{i}"]) for i in range(d)])
+    wide = F.array(*[F.lit(max(ends[f"b{i}"] - ends[f"a{i}"], 1e-9)) for i in range(d)])
+    drawn = space.select("id", F.explode(F.sequence(F.lit(1), F.lit(refs))).alias("part")).select(
+        "part", "id", F.zip_with(F.zip_with(F.sequence(F.lit(0), F.lit(d - 1)), wide, lambda i, w: w * (
+            F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", "part", i), 11) / F.lit(float(2 ** 53)))),
+            low, lambda x, a: x + a).alias("vec"))
+    sets = written(space.select(F.lit(0).alias("part"), "id", "vec").unionByName(drawn), "gap_sets")
+    order = W.partitionBy("part").orderBy(F.xxhash64(F.lit(seed), "id"), "id")
+    some = sets.withColumn("place", F.row_number().over(order)).where(
+        F.col("place") <= SAMPLE_ROWS).orderBy("part", "place").select("part", "vec").collect()
+    rng = np.random.default_rng(seed)
+    begin = np.stack([_spread_starts(np.array([r["vec"] for r in some if r["part"] == part], dtype=float),
+                                     k, inits, rng) for part in range(refs + 1)])
+    logs = np.log(np.maximum(inertias(sets, begin).min(1), 1e-300))
+    return float(logs[1:].mean() - logs[0])
 
 
 # ---------------------------------------------------------------- unified score
@@ -545,7 +628,6 @@ def plot_table(p: DataFrame) -> DataFrame:
 def centroids(p: DataFrame) -> DataFrame:
     """``(cluster_name, centroid array<double>)``, noise included under its own name."""
     s = Summarizer.mean(F.col("v"))
-    from pyspark.ml.functions import vector_to_array
     return (p.select("cluster", array_to_vector("vec").alias("v")).groupBy("cluster")
             .agg(s.alias("m")).select(F.concat(F.lit("cluster_"), "cluster")
                                       .alias("cluster_name"),

@@ -346,6 +346,31 @@ def test_stability_and_gap(spark):
     assert Q.gap_statistic(p, 2, refs=2) > 0.5
 
 
+def test_starts_of_all_sets_in_one_pass(spark):
+    """Each start ends where plain k-means from the same centres does."""
+    rng = np.random.default_rng(4)
+    sets = [rng.normal(size=(80, 3)), rng.uniform(size=(80, 3)) * 4]
+    begin = np.stack([np.stack([x[rng.choice(80, 4, replace=False)] for _ in range(3)]) for x in sets])
+    rows = [(r, [float(c) for c in v]) for r, x in enumerate(sets) for v in x]
+    got = Q.inertias(spark.createDataFrame(rows, "part int, vec array<double>"), begin, tol=1e-9)
+    for r, x in enumerate(sets):
+        for s in range(3):
+            c = begin[r, s].copy()
+            for _ in range(100):
+                near = ((x[:, None] - c[None]) ** 2).sum(-1)
+                at = near.argmin(1)
+                c = np.stack([x[at == j].mean(0) if (at == j).any() else c[j] for j in range(4)])
+            assert got[r, s] == pytest.approx(near.min(1).sum())
+
+
+def test_gap_of_wide_tables(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.2, (60, 55)) for c in (0, 3)])
+    p = table(spark, x)
+    assert Q.gap_statistic(p, 2, refs=2, inits=3) > Q.gap_statistic(
+        table(spark, rng.uniform(size=(120, 55))), 2, refs=2, inits=3)
+
+
 def test_reduced_space_and_view(spark):
     rng = np.random.default_rng(3)
     p = table(spark, rng.normal(size=(50, 6)))
