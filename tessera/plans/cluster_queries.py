@@ -335,7 +335,7 @@ def k5(spark, d):
 
 @query("k5_gaussian_mixture_diagonal")
 def k5_diag(spark, d):
-    return sizes(K.gaussian_mixture(pts(plane(spark, d)), 3, "diag", max_iter=15))
+    return sizes(K.gaussian_mixture(pts(plane(spark, d)), 3, "diag"))
 
 
 @query("k6_core_counts", f"""WITH {P_SQL} SELECT a.id, COUNT(*) AS n FROM e a, e b
@@ -477,17 +477,17 @@ def k11(spark, d):
 def k12(spark, d):
     from tessera.plans.cluster_flow import k_curve
     p = pts(labelled(spark, d))
-    return k_curve(p, p, "KMeans", {"n_clusters": 2}, [2, 3, 4])
+    return k_curve(p, p, "KMeans", {"n_clusters": 2}, range(2, K.k_limit(p.count()) + 1))
 
 
 @query("q8_gap")
 def q8(spark, d):
     p = pts(plane(spark, d))
-    return spark.createDataFrame([(Q.gap_statistic(p, 3, refs=2),)], "gap double")
+    return spark.createDataFrame([(Q.gap_statistic(p, 3),)], "gap double")
 
 
 @query("q9_stability")
 def q9(spark, d):
     p = pts(plane(spark, d))
-    value = Q.stability(p, lambda s: K.kmeans(s, 3).labels, runs=3)
+    value = Q.stability(p, lambda s: K.kmeans(s, 3).labels)
     return spark.createDataFrame([(value,)], "stability double")

@@ -44,13 +44,13 @@ def measured(spark, d, name: str, task: str, params: dict) -> DataFrame:
 for key, name_, task_, params_ in [
         ("m1_logistic_regression", "LogisticRegression", "classification", {"C": 1.0}),
         ("m2_random_forest", "RandomForest", "classification", SMALL),
-        ("m3_decision_tree", "DecisionTree", "classification", SMALL),
+        ("m3_decision_tree", "DecisionTree", "classification", {}),
         ("m5_gradient_boosting", "GradientBoosting", "classification",
          {"n_estimators": 2, "max_depth": 2, "learning_rate": 0.1}),
         ("m7_support_vector", "SVC", "classification", {"C": 1.0}),
         ("m9_ridge", "Ridge", "regression", {"alpha": 1.0}),
         ("m10_lasso", "Lasso", "regression", {"alpha": 0.001}),
-        ("m11_decision_tree_regression", "DecisionTree", "regression", SMALL),
+        ("m11_decision_tree_regression", "DecisionTree", "regression", {}),
         ("m12_random_forest_regression", "RandomForest", "regression", SMALL),
         ("m14_support_vector_regression", "SVR", "regression", {"C": 1.0}),
         ("m15_gradient_boosting_regression", "GradientBoosting", "regression",
