@@ -241,12 +241,17 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-def tokenize(docs: DataFrame, path: str, end: int = END) -> DataFrame:
-    """``doc_id, ids``: little-endian unsigned 32-bit ids of the whole text (null: empty), and end.
+def width_of(path: str, end: int = END) -> int:
+    """Bytes that any id of the tokenizer fits in: 2 or 4."""
+    return 2 if max(_library(path).get_vocab_size(), end + 1) <= 1 << 16 else 4
+
+
+def tokenize(docs: DataFrame, path: str, end: int = END, width: int = 4) -> DataFrame:
+    """``doc_id, ids``: little-endian ids of ``width`` bytes of the whole text (null: empty), and end.
 
     Texts are taken by slices of a few megabytes, a longer one by itself.
     """
-    last = np.array([end], "<u4").tobytes()
+    last, kind = np.array([end], f"<u{width}").tobytes(), f"<u{width}"
 
     def run(batches):
         pieces = pieces_of(path)
@@ -255,6 +260,8 @@ def tokenize(docs: DataFrame, path: str, end: int = END) -> DataFrame:
             for part in slices([pa.RecordBatch.from_arrays([b.column("doc_id"), text],
                                                            ["doc_id", "text"])]):
                 ids = pieces(part.column("text").to_pylist())
+                if width != 4:
+                    ids = [np.frombuffer(i, "<u4").astype(kind).tobytes() for i in ids]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([i + last for i in ids], pa.binary())],
                     ["doc_id", "ids"])
@@ -264,8 +271,8 @@ def tokenize(docs: DataFrame, path: str, end: int = END) -> DataFrame:
 
 # ---------------------------------------------------------------- files
 
-def write(ids: DataFrame, folder: str, per_file: int = 1 << 22) -> None:
-    """Write ``doc_id, ids`` in ascending doc_id order (null first; equal ids by their tokens).
+def write(ids: DataFrame, folder: str, per_file: int = 1 << 22, width: int = 4) -> None:
+    """Write ``doc_id, ids`` (of ``width`` bytes each) in ascending doc_id order (null first; equal ids by their tokens).
 
     ``folder`` gets ``table`` (the shared frequencies) and ``chunks``. Token counts are summed in
     each task before they are shuffled; the table has one entry per vocabulary id. Documents are
@@ -279,8 +286,8 @@ def write(ids: DataFrame, folder: str, per_file: int = 1 << 22) -> None:
         total = np.zeros(1 << 12, np.int64)
         for b in batches:
             for part in slices([b], column="ids"):
-                n = np.bincount(np.frombuffer(joined(part.column("ids"))[0].tobytes(), "<u4"),
-                                minlength=len(total))
+                n = np.bincount(np.frombuffer(joined(part.column("ids"))[0].tobytes(),
+                                              f"<u{width}"), minlength=len(total))
                 total = np.pad(total, (0, len(n) - len(total))) + n
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([longs(used), longs(total[used])], ["token", "n"])
@@ -306,7 +313,7 @@ def write(ids: DataFrame, folder: str, per_file: int = 1 << 22) -> None:
                 ["part", "place", "before", "n_tokens", "doc_ids", "payload"])
         for b in batches:
             for name, v in zip(b.column("doc_id").to_pylist(), b.column("ids")):
-                held.append(np.frombuffer(v.as_py(), "<u4").astype(np.int64))
+                held.append(np.frombuffer(v.as_py(), f"<u{width}").astype(np.int64))
                 names.append(name)
                 size += len(held[-1])
                 if size >= CHUNK:
@@ -364,7 +371,8 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> tuple[str, DataFrame]:
     """Tokenize, write to a new shared folder and read back: the folder and ``read``'s rows."""
     spark = docs.sparkSession
     folder = new_path(spark, "rans")
-    write(saved(tokenize(docs, tokenizer), "ids"), folder)
+    width = width_of(tokenizer)
+    write(saved(tokenize(docs, tokenizer, width=width), "ids"), folder, width=width)
     return folder, read(spark, folder)
 
 
