@@ -178,7 +178,8 @@ def s8(spark, d):
 @query("h1_history", f"""WITH {CHATS}, {RUNS}
   SELECT chat_id AS id, user_id, dataset_name, task_type, target, files_key, updated_at AS created_at,
          created_at AS first_created_at, COALESCE(status, 'idle') AS status,
-         CAST(training_id AS VARCHAR) AS training_id
+         CAST(training_id AS VARCHAR) AS training_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id
+           ORDER BY COALESCE(status = 'training', FALSE) DESC, updated_at DESC, chat_id) AS INT) AS place
   FROM chats LEFT JOIN runs USING (training_id)""")
 def h1(spark, d):
     return R.history(chats(spark, d), runs(spark, d))

@@ -121,17 +121,19 @@ def history(chats: DataFrame, runs: DataFrame, user_id: str | None = None) -> Da
     """Chats of one user (or of all) with the state of their run, running ones first, then newest.
 
     ``created_at`` shows the last update, as callers expect; the real one is ``first_created_at``.
+    ``place`` numbers a user's chats in that order (ties by id), so it outlives any later shuffle.
     """
+    running = F.coalesce(F.col("status") == "training", F.lit(False))
+    place = W.partitionBy("user_id").orderBy(running.desc(), F.col("updated_at").desc(), "chat_id")
     mine = chats if user_id is None else chats.where(F.col("user_id") == user_id)
     r = runs.select("training_id", "task_type", "target", "status")
-    return (mine.join(r, "training_id", "left")
-            .orderBy((F.coalesce(F.col("status") == "training", F.lit(False))).desc(),
-                     F.col("updated_at").desc())
+    return (mine.join(r, "training_id", "left").withColumn("place", F.row_number().over(place))
+            .orderBy(running.desc(), F.col("updated_at").desc(), "chat_id")
             .select(F.col("chat_id").alias("id"), "user_id", F.col("dataset_name"),
                     "task_type", "target", "files_key", F.col("updated_at").alias("created_at"),
                     F.col("created_at").alias("first_created_at"),
                     F.coalesce("status", F.lit("idle")).alias("status"),
-                    F.col("training_id").cast("string").alias("training_id")))
+                    F.col("training_id").cast("string").alias("training_id"), "place"))
 
 
 def run_header(runs: DataFrame, chats: DataFrame) -> DataFrame:
