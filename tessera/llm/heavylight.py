@@ -18,8 +18,8 @@ LIGHT_AT_MOST = 64
 """Sizes for which costs are compared; above, a set has more subsets than elements."""
 CHUNK_ITEMS, CHUNK_SETS = 1 << 20, 2048
 """Shingles and sets in a chunk of a component, about."""
-COMMON = 1_000_000
-"""Shingles kept as common (the most frequent ones): they only decide an order."""
+SLOTS, BLOCKS = 1 << 22, 1 << 10
+"""Hash slots in which all shingles are counted, and parts of that table; they only decide an order."""
 
 
 def shingle_sets(b: pa.RecordBatch, words: int = WORDS):
@@ -89,53 +89,76 @@ def _survey(b: pa.RecordBatch) -> pa.RecordBatch:
         ["doc_id", "content", "key", "n", "bits"])
 
 
-def common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The most frequent shingles with counts (sorted by hash), and list lengths by set size.
+def counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A commonness for each of ``SLOTS`` hash slots, and list lengths by set size.
 
-    Shingles that three sets of a slice share are summed over all slices. They order prefixes: any
-    order gives the same links, this one keeps shared passages out of the lists.
+    Every shingle of the corpus counts in its slot, once for each set of a slice; a task hands on
+    one table of counts, whatever it reads, and tables are added block by block. The slot's count, in eighths of a power of two, orders
+    prefixes: any order that depends on the shingle alone gives the same links, this one keeps
+    passages that many documents share out of the lists.
     """
     def run(batches):
+        total = np.zeros(SLOTS, np.int64)
+        cost = np.zeros(LIGHT_AT_MOST + 1, np.int64)
         for b in slices(batches, SLICE):
             g, at = shingle_sets(b)
-            key = set_keys(g, at)
-            _, first = np.unique(key, return_index=True)
+            _, first = np.unique(set_keys(g, at), return_index=True)
             one = np.zeros(b.num_rows, bool)
             one[first] = True
             n = np.diff(at)
             keep = np.repeat(one, n)
-            values, count = np.unique(g[keep], return_counts=True)
-            seen = count[np.searchsorted(values, g[keep])]
-            size = np.repeat(n, n)[keep]
+            g, size = g[keep], np.repeat(n, n)[keep]
+            total += np.bincount(slot(g), minlength=SLOTS)
+            values, back, count = np.unique(g, return_inverse=True, return_counts=True)
             light = size <= LIGHT_AT_MOST
-            cost = np.bincount(size[light], seen[light], LIGHT_AT_MOST + 1).astype(np.int64)
-            often = count >= 3
-            yield pa.RecordBatch.from_arrays(
-                [longs(np.r_[values[often].view(np.int64), np.arange(LIGHT_AT_MOST + 1)]),
-                 longs(np.r_[count[often], cost]),
-                 pa.array(np.r_[np.zeros(often.sum(), bool), np.ones(LIGHT_AT_MOST + 1, bool)])],
-                ["h", "n", "is_cost"])
-
-    sums = saved(rows.select("text").mapInArrow(run, "h long, n long, is_cost boolean")
-                 .groupBy("h", "is_cost").agg(F.sum("n").alias("n")), "common")
-    top = sums.where("not is_cost").orderBy(F.desc("n"), "h").limit(COMMON).agg(
-        F.collect_list(F.struct("h", "n")).alias("x"))
-    packed = top.mapInArrow(_pack, "h binary, n binary").first()
-    h, n = np.frombuffer(bytes(packed["h"]), np.uint64), np.frombuffer(bytes(packed["n"]), np.int64)
-    order = np.argsort(h)
-    lengths = np.zeros(LIGHT_AT_MOST + 1, np.int64)
-    for r in sums.where("is_cost").collect():
-        lengths[r["h"]] = r["n"]
-    return h[order], n[order], lengths
-
-
-def _pack(batches):
-    for b in batches:
-        for x in b.column("x"):
-            flat = x.values
+            cost += np.bincount(size[light], count[back][light], LIGHT_AT_MOST + 1).astype(np.int64)
+        for block, part in enumerate(np.split(total, BLOCKS)):
+            if part.any():
+                yield _counts(block, part)
+        yield _counts(BLOCKS, cost)
+
+    def add(batches):
+        sums = {}
+        for b in batches:
+            for block, low, at, n in zip(*(b.column(c) for c in ("block", "low", "at", "n"))):
+                total = sums.setdefault(block.as_py(), np.zeros(width, np.int64))
+                low = np.frombuffer(low.as_buffer(), np.uint8)
+                total[:len(low)] += low
+                total[np.frombuffer(at.as_buffer(), np.uint16)] += np.frombuffer(
+                    n.as_buffer(), np.int64)
+        for block, total in sums.items():
+            out = total if block == BLOCKS else np.minimum(
+                8 * np.log2(total + 1), 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([np.asarray(flat.field(c)).astype(np.int64).tobytes()], pa.binary())
-                 for c in ("h", "n")], ["h", "n"])
+                [pa.array([block], pa.int32()), pa.array([out.tobytes()], pa.binary())],
+                ["block", "out"])
+
+    width = SLOTS // BLOCKS
+    found = rows.select("text").mapInArrow(
+        run, "block int, low binary, at binary, n binary").repartition("block").mapInArrow(
+        add, "block int, out binary").collect()
+    rank, lengths = np.zeros(SLOTS, np.uint8), np.zeros(LIGHT_AT_MOST + 1, np.int64)
+    for block, out in found:
+        if block == BLOCKS:
+            lengths = np.frombuffer(bytes(out), np.int64)[:LIGHT_AT_MOST + 1]
+        else:
+            rank[block * width:(block + 1) * width] = np.frombuffer(bytes(out), np.uint8)
+    return rank, lengths
+
+
+def slot(g: np.ndarray) -> np.ndarray:
+    return (g >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
+
+
+def _counts(block: int, part: np.ndarray) -> pa.RecordBatch:
+    """Counts of a block: low bytes and what goes beyond them, or only the few that are not zero."""
+    at, low = np.flatnonzero(part), np.zeros(0, np.uint8)
+    if 10 * len(at) > len(part):
+        low, part = part.astype(np.uint8), part & ~np.int64(255)
+        at = np.flatnonzero(part)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([block], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (
+            low, at.astype(np.uint16), part[at]))], ["block", "low", "at", "n"])
 
 
 def boundary(sizes: dict[int, int], lengths: np.ndarray) -> int:
@@ -154,8 +177,7 @@ def boundary(sizes: dict[int, int], lengths: np.ndarray) -> int:
     return best
 
 
-def entries(rows: DataFrame, hot: np.ndarray, counts: np.ndarray, light: int,
-            parts: int) -> DataFrame:
+def entries(rows: DataFrame, common: np.ndarray, light: int, parts: int) -> DataFrame:
     """``key, h``: list entries and subset entries that at least two sets share.
 
     Elements are ordered from rare to common. Sets that link share at least c elements, so their
@@ -173,11 +195,7 @@ def entries(rows: DataFrame, hot: np.ndarray, counts: np.ndarray, light: int,
             keep = np.repeat(one, n)
             row = np.repeat(np.arange(b.num_rows), n)[keep]
             h = g[keep]
-            rank = np.zeros(len(h), np.int64)
-            if len(hot):
-                i = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-                rank = np.where(hot[i] == h, counts[i], 0)
-            order = np.lexsort((h, rank, row))
+            order = np.lexsort((h, common[slot(h)], row))
             h, row = h[order], row[order]
             n = n[one]
             begin = np.cumsum(n) - n
@@ -327,13 +345,78 @@ def within(sets: DataFrame, label: DataFrame, emit: bool) -> DataFrame:
     return found if emit else found.groupBy("key").agg(F.sum("n").alias("n_links"))
 
 
+def across(lists: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of sets of different components that share a list and may link by size.
+
+    ``lists``: ``h, key, n, light, component`` and the list's length ``number``. Pairs are formed
+    and tested inside a task, which hands on each once; long lists are dealt into chunks, of which
+    each two meet in one task.
+    """
+    chunks = F.ceil(F.col("number") / CHUNK_SETS).cast("int")
+    dealt = lists.withColumn("chunks", chunks).withColumn(
+        "chunk", F.pmod(F.xxhash64(F.lit(5), "key"), F.col("chunks")).cast("int"))
+    meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
+    parts = 1 + lists.count() // (1 << 18)
+    meets = meets.select(
+        "h", "key", "n", "light", "component", "chunk", low.alias("i"), high.alias("j"),
+        F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("h"), F.lit(parts)))
+        .otherwise(F.xxhash64("h", low, high)).alias("part"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        h, key, n, component, light, chunk, i, j = (table.column(c).to_numpy() for c in (
+            "h", "key", "n", "component", "light", "chunk", "i", "j"))
+        order = np.lexsort((n, j, i, h))
+        h, key, n, component, light, chunk, i, j = (
+            v[order] for v in (h, key, n, component, light, chunk, i, j))
+        cut = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        end = np.repeat(np.r_[cut[1:], len(h)], np.diff(np.r_[cut, len(h)]))
+        # Sizes ascend in a group: each member meets those behind it up to the last size allowed.
+        stop, most = np.empty(len(h), np.int64), n * 100 // PERCENT
+        for a, b in zip(cut, [*cut[1:], len(h)]):
+            stop[a:b] = a + np.searchsorted(n[a:b], most[a:b], side="right")
+        stop = np.minimum(stop, end)
+        count = stop - np.arange(len(h)) - 1
+        out, begin = [np.zeros((0, 2), np.int64)], 0
+        total = np.cumsum(count)
+        while begin < len(h):
+            done = total[begin - 1] if begin else 0
+            last = max(begin + 1, int(np.searchsorted(total, done + (1 << 20), side="right")))
+            m = count[begin:last]
+            x = np.repeat(np.arange(begin, last), m)
+            y = x + 1 + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            ok = (component[x] != component[y]) & ((i[x] == j[x]) | (chunk[x] != chunk[y]))
+            ok &= ((h[x] & 1) == 1) | ~(light[x] & light[y])
+            a, b = key[x[ok]], key[y[ok]]
+            out.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
+            begin = last
+        pairs = np.unique(np.concatenate(out), axis=0)
+        return pa.table({"a": longs(pairs[:, 0]), "b": longs(pairs[:, 1])})
+
+    return meets.groupBy("part").applyInArrow(compare, "a long, b long")
+
+
+def merged(label: DataFrame, more: DataFrame) -> DataFrame:
+    """Components (``node, component``) of ``label`` joined by further links between them."""
+    root = label.toDF("node", "root")
+    ends = more
+    for c in ("a", "b"):
+        ends = ends.join(root.withColumnRenamed("node", c), c, "left").withColumn(
+            c, F.coalesce("root", c)).drop("root")
+    joint = components(ends)
+    moved = label.join(joint.toDF("component", "whole"), "component", "left").select(
+        "node", F.coalesce("whole", "component").alias("component"))
+    # A root has no row in ``label``: those that moved come from the joined roots.
+    return moved.unionByName(joint)
+
+
 def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Rows with their sets' keys, classes, components (``node, component``), linked sets' shingles.
 
     Documents of one shingle set are one class, represented by one text. Candidates come from
     lists (an entry common to two sets, not both light) and from subset entries (both light).
     First each list links its members with the one of smallest key; where one list still holds
-    several components, pairs across them are compared as well. So copies never meet pairwise, and
+    several components, pairs across them are compared as well (``across``). So copies never meet pairwise, and
     no link between components is lost.
     """
     rows = bare(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"),
@@ -349,9 +432,9 @@ def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     sizes = {r["n"]: r["count"] for r in classes.where(F.col("n") <= LIGHT_AT_MOST)
              .groupBy("n").count().collect()}
-    hot, counts, lengths = common(rows)
+    common, lengths = counted(rows)
     light = boundary(sizes, lengths)
-    shared = saved(entries(rows, hot, counts, light, 1 + total // (3 << 20)), "entries")
+    shared = saved(entries(rows, common, light, 1 + total // (3 << 20)), "entries")
     plain = F.col("key").bitwiseAND(F.lit(-2))
     member = shared.select(plain.alias("key"), "h", (F.col("key") != plain).alias("light")).join(
         classes.select("key", "n"), "key")
@@ -369,21 +452,15 @@ def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     label = components(links)
     known = member.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key"))
-    several = known.groupBy("h").agg((F.min("component") != F.max("component")).alias("open")) \
-        .where("open").select("h")
-    open_ = saved(known.join(several, "h"), "open")
-    left = open_.select("h", F.col("key").alias("a"), F.col("n").alias("an"),
-                        F.col("component").alias("ac"), F.col("light").alias("al"))
-    right = open_.select("h", F.col("key").alias("b"), F.col("n").alias("bn"),
-                         F.col("component").alias("bc"), F.col("light").alias("bl"))
-    cross = left.join(right, "h").where(
-        "a < b and ac <> bc and ((h & 1) = 1 or not (al and bl))")
+    several = known.groupBy("h").agg(
+        (F.min("component") != F.max("component")).alias("open"),
+        F.count("*").alias("number")).where("open").select("h", "number")
+    cross = across(saved(known.join(several, "h"), "open"))
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = saved(sized(cross).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"),
-                   "pairs")
+    second = saved(cross.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     more, others = linked(second, rows, classes)
     sets = sets.unionByName(others.join(sets, "key", "left_anti"))
-    return found, classes, components(links.unionByName(more)), sets
+    return found, classes, merged(label, more), sets
 
 
 def links_of(docs: DataFrame) -> DataFrame:
