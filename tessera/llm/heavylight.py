@@ -16,6 +16,8 @@ PERCENT = 75
 SLICE = 2 << 20
 LIGHT_AT_MOST = 64
 """Sizes for which costs are compared; above, a set has more subsets than elements."""
+LEADERS = 8
+"""Members of a list that its other members meet before all remaining pairs do."""
 CHUNK_ITEMS, CHUNK_SETS = 1 << 20, 2048
 """Shingles and sets in a chunk of a component, about."""
 SLOTS, BLOCKS = 1 << 22, 1 << 10
@@ -345,6 +347,30 @@ def within(sets: DataFrame, label: DataFrame, emit: bool) -> DataFrame:
     return found if emit else found.groupBy("key").agg(F.sum("n").alias("n_links"))
 
 
+def led(lists: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of each set of a list with ``LEADERS`` of its members, drawn by hash, that are
+    of other components and may link by size. Of a large group of near copies this joins all but
+    a few sets, for a cost linear in the entries, before ``across`` meets the rest pairwise."""
+    member = F.struct("key", "n", "light", "component")
+    drawn = lists.groupBy("h").agg(F.array(*[
+        F.min_by(member, F.xxhash64(F.lit(r), "key")) for r in range(LEADERS)]).alias("leads"))
+    met = F.filter("leads", lambda x: (x["component"] != F.col("component")) & (
+        (F.col("h").bitwiseAND(F.lit(1)) == 1) | ~(F.col("light") & x["light"])) & (
+        100 * F.least("n", x["n"]) >= PERCENT * F.greatest("n", x["n"])))
+    return lists.join(drawn, "h").select("key", F.explode(F.array_distinct(met)).alias("x")).select(
+        F.least("key", "x.key").alias("a"), F.greatest("key", "x.key").alias("b"))
+
+
+def _once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once, smaller key first."""
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
 def across(lists: DataFrame) -> DataFrame:
     """Pairs ``a < b`` of sets of different components that share a list and may link by size.
 
@@ -377,7 +403,7 @@ def across(lists: DataFrame) -> DataFrame:
             stop[a:b] = a + np.searchsorted(n[a:b], most[a:b], side="right")
         stop = np.minimum(stop, end)
         count = stop - np.arange(len(h)) - 1
-        out, begin = [np.zeros((0, 2), np.int64)], 0
+        out, begin = [(np.zeros(0, np.int64),) * 2], 0
         total = np.cumsum(count)
         while begin < len(h):
             done = total[begin - 1] if begin else 0
@@ -387,11 +413,10 @@ def across(lists: DataFrame) -> DataFrame:
             y = x + 1 + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
             ok = (component[x] != component[y]) & ((i[x] == j[x]) | (chunk[x] != chunk[y]))
             ok &= ((h[x] & 1) == 1) | ~(light[x] & light[y])
-            a, b = key[x[ok]], key[y[ok]]
-            out.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
+            out.append(_once(key[x[ok]], key[y[ok]]))
             begin = last
-        pairs = np.unique(np.concatenate(out), axis=0)
-        return pa.table({"a": longs(pairs[:, 0]), "b": longs(pairs[:, 1])})
+        a, b = _once(*(np.concatenate(v) for v in zip(*out)))
+        return pa.table({"a": longs(a), "b": longs(b)})
 
     return meets.groupBy("part").applyInArrow(compare, "a long, b long")
 
@@ -416,7 +441,8 @@ def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     Documents of one shingle set are one class, represented by one text. Candidates come from
     lists (an entry common to two sets, not both light) and from subset entries (both light).
     First each list links its members with the one of smallest key; where one list still holds
-    several components, pairs across them are compared as well (``across``). So copies never meet pairwise, and
+    several components, members meet a few others (``led``), then all pairs across the components
+    that remain are compared (``across``). So copies never meet pairwise, and
     no link between components is lost.
     """
     rows = bare(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"),
@@ -450,17 +476,21 @@ def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
         F.col("n").alias("bn"))).select("a", "b").distinct(), "pairs")
     links, sets = linked(first, rows, classes)
     label = components(links)
-    known = member.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn(
-        "component", F.coalesce("component", "key"))
-    several = known.groupBy("h").agg(
-        (F.min("component") != F.max("component")).alias("open"),
-        F.count("*").alias("number")).where("open").select("h", "number")
-    cross = across(saved(known.join(several, "h"), "open"))
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = saved(cross.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    more, others = linked(second, rows, classes)
-    sets = sets.unionByName(others.join(sets, "key", "left_anti"))
-    return found, classes, merged(label, more), sets
+    for candidates in (led, across):
+        known = member.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn(
+            "component", F.coalesce("component", "key"))
+        several = known.groupBy("h").agg(
+            (F.min("component") != F.max("component")).alias("open"),
+            F.count("*").alias("number")).where("open").select("h", "number")
+        pairs = candidates(saved(known.join(several, "h"), "open"))
+        pairs = saved(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        more, others = linked(pairs, rows, classes)
+        sets = sets.unionByName(others.join(sets, "key", "left_anti"))
+        label, tried = merged(label, more), tried.unionByName(pairs)
+    return found, classes, label, sets
 
 
 def links_of(docs: DataFrame) -> DataFrame:
