@@ -18,6 +18,8 @@ LIGHT_AT_MOST = 64
 """Sizes for which costs are compared; above, a set has more subsets than elements."""
 LEADERS = 8
 """Members of a list that its other members meet before all remaining pairs do."""
+MAP_SLOTS = 1 << 12
+"""Slots of the bitmaps that travel with list entries, at most; those of larger sets are folded."""
 CHUNK_ITEMS, CHUNK_SETS = 1 << 20, 2048
 """Shingles and sets in a chunk of a component, about."""
 SLOTS, BLOCKS = 1 << 22, 1 << 10
@@ -62,9 +64,10 @@ def least_shared(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return -(-percent * n // 100)
 
 
-def bitmap(items: np.ndarray) -> bytes:
+def bitmap(items: np.ndarray, most: int | None = None) -> bytes:
     """A bit for each element's slot, about two slots an element, a power of two in all."""
     slots = 1 << max(6, int(2 * len(items) - 1).bit_length()) if len(items) else 64
+    slots = min(slots, most or slots)
     bits = np.zeros(slots, np.uint8)
     bits[(items & np.uint64(slots - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
@@ -82,13 +85,50 @@ def may_link(x: bytes, n: int, y: bytes, m: int) -> bool:
     return 100 * most >= PERCENT * (n + m - most)
 
 
+class Maps:
+    """Bitmaps of many sets, to test many pairs at once as ``may_link`` does.
+
+    The maps lie in one matrix for each width; a set is also in the matrix of half its width,
+    since sizes that may link differ by a third at most, so widths by one step at most.
+    """
+
+    def __init__(self, maps: list[bytes], n: np.ndarray):
+        self.n = n
+        self.words = np.array([len(m) // 8 for m in maps], np.int64)
+        self.place, self.table = {}, {}
+        for w in np.unique(self.words).tolist():
+            own, twice = np.flatnonzero(self.words == w), np.flatnonzero(self.words == 2 * w)
+            wide = [np.frombuffer(b"".join(maps[i] for i in ids.tolist()), np.uint64).reshape(
+                len(ids), size) for ids, size in ((own, w), (twice, 2 * w))]
+            self.table[w] = np.concatenate([wide[0], wide[1][:, :w] | wide[1][:, w:]])
+            self.place[w] = np.zeros(len(maps), np.int64)
+            self.place[w][np.r_[own, twice]] = np.arange(len(own) + len(twice))
+
+    def may_link(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """For sets x[i] and y[i]: False only if they surely don't link."""
+        out = np.ones(len(x), bool)
+        low, high = np.minimum(self.words[x], self.words[y]), np.maximum(self.words[x], self.words[y])
+        for w, table in self.table.items():
+            some = np.flatnonzero((low == w) & (high <= 2 * w))
+            step = max(1, (1 << 22) // w)
+            for at in range(0, len(some), step):
+                k = some[at:at + step]
+                a, b = table[self.place[w][x[k]]], table[self.place[w][y[k]]]
+                n, m = self.n[x[k]], self.n[y[k]]
+                most = np.minimum(n - np.bitwise_count(a & ~b).sum(1, dtype=np.int64),
+                                  m - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
+                out[k] = 100 * most >= PERCENT * (n + m - most)
+        return out
+
+
 def _survey(b: pa.RecordBatch) -> pa.RecordBatch:
-    """Per row its set's key, size and bitmap."""
+    """Per row its set's key, size and bitmaps, the second of bounded width."""
     g, at = shingle_sets(b)
     return pa.RecordBatch.from_arrays(
         [b.column("doc_id"), b.column("content"), longs(set_keys(g, at).view(np.int64)),
-         longs(np.diff(at)), pa.array([bitmap(g[i:j]) for i, j in zip(at, at[1:])], pa.binary())],
-        ["doc_id", "content", "key", "n", "bits"])
+         longs(np.diff(at)), *(pa.array([bitmap(g[i:j], most) for i, j in zip(at, at[1:])],
+                                        pa.binary()) for most in (None, MAP_SLOTS))],
+        ["doc_id", "content", "key", "n", "bits", "map"])
 
 
 def counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -372,29 +412,32 @@ def _once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def across(lists: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of sets of different components that share a list and may link by size.
+    """Pairs ``a < b`` of sets of different components that share a list and may link by size and
+    bitmaps.
 
-    ``lists``: ``h, key, n, light, component`` and the list's length ``number``. Pairs are formed
-    and tested inside a task, which hands on each once; long lists are dealt into chunks, of which
-    each two meet in one task.
+    ``lists``: ``h, key, n, light, component, map`` and the list's length ``number``. Pairs are
+    formed and tested inside a task, which hands on only those that may link, each once; long lists
+    are dealt into chunks, of which each two meet in one task.
     """
     chunks = F.ceil(F.col("number") / CHUNK_SETS).cast("int")
     dealt = lists.withColumn("chunks", chunks).withColumn(
         "chunk", F.pmod(F.xxhash64(F.lit(5), "key"), F.col("chunks")).cast("int"))
     meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
-    parts = 1 + lists.count() // (1 << 18)
+    parts = 1 + lists.count() // (1 << 17)
     meets = meets.select(
-        "h", "key", "n", "light", "component", "chunk", low.alias("i"), high.alias("j"),
+        "h", "key", "n", "light", "component", "map", "chunk", low.alias("i"), high.alias("j"),
         F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("h"), F.lit(parts)))
         .otherwise(F.xxhash64("h", low, high)).alias("part"))
 
     def compare(table: pa.Table) -> pa.Table:
         h, key, n, component, light, chunk, i, j = (table.column(c).to_numpy() for c in (
             "h", "key", "n", "component", "light", "chunk", "i", "j"))
+        sets, one, who = np.unique(key, return_index=True, return_inverse=True)
+        maps = Maps(table.column("map").take(pa.array(one)).to_pylist(), n[one])
         order = np.lexsort((n, j, i, h))
-        h, key, n, component, light, chunk, i, j = (
-            v[order] for v in (h, key, n, component, light, chunk, i, j))
+        h, who, n, component, light, chunk, i, j = (
+            v[order] for v in (h, who, n, component, light, chunk, i, j))
         cut = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         end = np.repeat(np.r_[cut[1:], len(h)], np.diff(np.r_[cut, len(h)]))
         # Sizes ascend in a group: each member meets those behind it up to the last size allowed.
@@ -413,10 +456,12 @@ def across(lists: DataFrame) -> DataFrame:
             y = x + 1 + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
             ok = (component[x] != component[y]) & ((i[x] == j[x]) | (chunk[x] != chunk[y]))
             ok &= ((h[x] & 1) == 1) | ~(light[x] & light[y])
-            out.append(_once(key[x[ok]], key[y[ok]]))
+            a, b = _once(who[x[ok]], who[y[ok]])
+            ok = maps.may_link(a, b)
+            out.append((a[ok], b[ok]))
             begin = last
         a, b = _once(*(np.concatenate(v) for v in zip(*out)))
-        return pa.table({"a": longs(a), "b": longs(b)})
+        return pa.table({"a": longs(sets[a]), "b": longs(sets[b])})
 
     return meets.groupBy("part").applyInArrow(compare, "a long, b long")
 
@@ -452,9 +497,10 @@ def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
         for b in slices(batches, SLICE):
             yield _survey(b)
 
-    found = saved(rows.mapInArrow(survey, "doc_id long, content long, key long, n long, bits binary"), "sets_of")
+    found = saved(rows.mapInArrow(survey, "doc_id long, content long, key long, n long, bits binary, map binary"), "sets_of")
     classes = saved(found.where("n > 0").groupBy("key", "n").agg(
-        F.min(F.struct("doc_id", "content")).alias("first"), F.first("bits").alias("bits")), "classes")
+        F.min(F.struct("doc_id", "content")).alias("first"), F.first("bits").alias("bits"),
+        F.first("map").alias("map")), "classes")
     total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     sizes = {r["n"]: r["count"] for r in classes.where(F.col("n") <= LIGHT_AT_MOST)
              .groupBy("n").count().collect()}
@@ -483,7 +529,10 @@ def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
         several = known.groupBy("h").agg(
             (F.min("component") != F.max("component")).alias("open"),
             F.count("*").alias("number")).where("open").select("h", "number")
-        pairs = candidates(saved(known.join(several, "h"), "open"))
+        lists = saved(known.join(several, "h"), "open")
+        if candidates is across:
+            lists = lists.join(classes.select("key", "map"), "key")
+        pairs = candidates(lists)
         pairs = saved(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
@@ -518,13 +567,13 @@ def join(docs: DataFrame) -> DataFrame:
     found, classes, label, sets = classed(docs)
     degree = within(sets, label, False)
     label = label.withColumnRenamed("node", "key")
-    named = classes.drop("bits").join(label, "key", "left").withColumn(
+    named = classes.drop("bits", "map").join(label, "key", "left").withColumn(
         "component", F.coalesce("component", "key"))
     ids = named.groupBy("component").agg(F.min("first.doc_id").alias("component_id"))
     named = named.join(ids, "component").join(degree, "key", "left").select(
         "key", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     real = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return found.drop("bits").join(named, "key", "left").select(
+    return found.drop("bits", "map").join(named, "key", "left").select(
         F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.nullif(real, F.lit(NO_ID)).alias("component_id"), "content")

@@ -150,6 +150,26 @@ def test_heavy_light(docs, rows, empty):
             assert may_link(bitmap(x), len(x), bitmap(y), len(y))
 
 
+def test_heavy_light_maps():
+    """Many pairs at once are ruled out as one by one, on maps folded to a bounded width too."""
+    from tessera.llm.heavylight import Maps, bitmap, may_link
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 2**63, 700).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool[:k], k)) for k in rng.integers(1, 700, 120)]
+    n = np.array([len(s) for s in sets])
+    x, y = (v.ravel() for v in np.meshgrid(np.arange(120), np.arange(120)))
+    near = 100 * np.minimum(n[x], n[y]) >= 75 * np.maximum(n[x], n[y])
+    x, y = x[near], y[near]
+    for most in (None, 256):
+        maps = [bitmap(s, most) for s in sets]
+        want = [may_link(maps[i], int(n[i]), maps[j], int(n[j])) for i, j in zip(x, y)]
+        assert Maps(maps, n).may_link(x, y).tolist() == want
+        assert most or not all(want)
+        for i, j, may in zip(x, y, want):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            assert may or 100 * both < 75 * (n[i] + n[j] - both)
+
+
 def test_heavy_light_links(spark, docs, rows, empty, monkeypatch):
     """Every link between different sets counts, in a list of many similar texts too."""
     from tessera.llm import heavylight
