@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.anchors import DEALT, deal, meet, sieve
@@ -18,8 +19,8 @@ LIGHT_AT_MOST = 64
 """Sizes for which costs are compared; above, a set has more subsets than elements."""
 LEADERS = 8
 """Members of a list that its other members meet before all remaining pairs do."""
-MAP_SLOTS = 1 << 12
-"""Slots of the bitmaps that travel with list entries, at most; those of larger sets are folded."""
+MAP_SHARE, MAP_SLOTS = 8, 1 << 12
+"""Slots an element, about, and in all, at most, of the bitmaps that travel with list entries."""
 CHUNK_ITEMS, CHUNK_SETS = 1 << 20, 2048
 """Shingles and sets in a chunk of a component, about."""
 SLOTS, BLOCKS = 1 << 22, 1 << 10
@@ -64,9 +65,9 @@ def least_shared(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return -(-percent * n // 100)
 
 
-def bitmap(items: np.ndarray, most: int | None = None) -> bytes:
-    """A bit for each element's slot, about two slots an element, a power of two in all."""
-    slots = 1 << max(6, int(2 * len(items) - 1).bit_length()) if len(items) else 64
+def bitmap(items: np.ndarray, share: int = 2, most: int | None = None) -> bytes:
+    """A bit for each element's slot, about ``share`` slots an element, a power of two in all."""
+    slots = 1 << max(6, int(share * len(items) - 1).bit_length()) if len(items) else 64
     slots = min(slots, most or slots)
     bits = np.zeros(slots, np.uint8)
     bits[(items & np.uint64(slots - 1)).astype(np.int64)] = 1
@@ -126,8 +127,8 @@ def _survey(b: pa.RecordBatch) -> pa.RecordBatch:
     g, at = shingle_sets(b)
     return pa.RecordBatch.from_arrays(
         [b.column("doc_id"), b.column("content"), longs(set_keys(g, at).view(np.int64)),
-         longs(np.diff(at)), *(pa.array([bitmap(g[i:j], most) for i, j in zip(at, at[1:])],
-                                        pa.binary()) for most in (None, MAP_SLOTS))],
+         longs(np.diff(at)), *(pa.array([bitmap(g[i:j], *how) for i, j in zip(at, at[1:])],
+                                        pa.binary()) for how in ((), (MAP_SHARE, MAP_SLOTS)))],
         ["doc_id", "content", "key", "n", "bits", "map"])
 
 
@@ -389,16 +390,33 @@ def within(sets: DataFrame, label: DataFrame, emit: bool) -> DataFrame:
 
 def led(lists: DataFrame) -> DataFrame:
     """Pairs ``a < b`` of each set of a list with ``LEADERS`` of its members, drawn by hash, that are
-    of other components and may link by size. Of a large group of near copies this joins all but
-    a few sets, for a cost linear in the entries, before ``across`` meets the rest pairwise."""
-    member = F.struct("key", "n", "light", "component")
+    of other components and may link by size and bitmaps. Of a large group of near copies this
+    joins all but a few sets, for a cost linear in the entries, before ``across`` meets the rest
+    pairwise. ``lists`` as for ``across``."""
+    member = F.struct("key", "n", "light", "component", "map")
     drawn = lists.groupBy("h").agg(F.array(*[
         F.min_by(member, F.xxhash64(F.lit(r), "key")) for r in range(LEADERS)]).alias("leads"))
     met = F.filter("leads", lambda x: (x["component"] != F.col("component")) & (
         (F.col("h").bitwiseAND(F.lit(1)) == 1) | ~(F.col("light") & x["light"])) & (
         100 * F.least("n", x["n"]) >= PERCENT * F.greatest("n", x["n"])))
-    return lists.join(drawn, "h").select("key", F.explode(F.array_distinct(met)).alias("x")).select(
-        F.least("key", "x.key").alias("a"), F.greatest("key", "x.key").alias("b"))
+
+    def test(batches):
+        for b in batches:
+            leads = b.column("leads")
+            lead = leads.flatten()
+            key = np.r_[b.column("key").to_numpy(), lead.field("key").to_numpy()]
+            n = np.r_[b.column("n").to_numpy(), lead.field("n").to_numpy()]
+            sets, one, who = np.unique(key, return_index=True, return_inverse=True)
+            maps = Maps(pa.chunked_array([b.column("map"), lead.field("map")]).take(
+                pa.array(one)).to_pylist(), n[one])
+            row = pa.compute.list_parent_indices(leads).to_numpy()
+            x, y = _once(who[row], who[b.num_rows:])
+            ok = maps.may_link(x, y)
+            yield pa.RecordBatch.from_arrays(
+                [longs(sets[x[ok]]), longs(sets[y[ok]])], ["a", "b"])
+
+    return lists.join(drawn, "h").select("key", "n", "map", F.array_distinct(met).alias(
+        "leads")).where(F.size("leads") > 0).mapInArrow(test, "a long, b long")
 
 
 def _once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -424,7 +442,7 @@ def across(lists: DataFrame) -> DataFrame:
         "chunk", F.pmod(F.xxhash64(F.lit(5), "key"), F.col("chunks")).cast("int"))
     meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
-    parts = 1 + lists.count() // (1 << 17)
+    parts = 1 + lists.count() // (1 << 16)
     meets = meets.select(
         "h", "key", "n", "light", "component", "map", "chunk", low.alias("i"), high.alias("j"),
         F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("h"), F.lit(parts)))
@@ -529,9 +547,7 @@ def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
         several = known.groupBy("h").agg(
             (F.min("component") != F.max("component")).alias("open"),
             F.count("*").alias("number")).where("open").select("h", "number")
-        lists = saved(known.join(several, "h"), "open")
-        if candidates is across:
-            lists = lists.join(classes.select("key", "map"), "key")
+        lists = saved(known.join(several, "h"), "open").join(classes.select("key", "map"), "key")
         pairs = candidates(lists)
         pairs = saved(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():

@@ -160,8 +160,8 @@ def test_heavy_light_maps():
     x, y = (v.ravel() for v in np.meshgrid(np.arange(120), np.arange(120)))
     near = 100 * np.minimum(n[x], n[y]) >= 75 * np.maximum(n[x], n[y])
     x, y = x[near], y[near]
-    for most in (None, 256):
-        maps = [bitmap(s, most) for s in sets]
+    for share, most in ((2, None), (2, 256), (8, 1024)):
+        maps = [bitmap(s, share, most) for s in sets]
         want = [may_link(maps[i], int(n[i]), maps[j], int(n[j])) for i, j in zip(x, y)]
         assert Maps(maps, n).may_link(x, y).tolist() == want
         assert most or not all(want)
