@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.common import bare, documents, joined, remainder, slices
@@ -140,10 +141,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS):
                          pa.binary())], ["doc_id", "y", "b", "n"])
 
     rows = (bare(docs).join(F.broadcast(some), "doc_id").select("doc_id", "y", "text")
-            .mapInArrow(run, "doc_id long, y int, b binary, n binary").collect())
-    rows.sort(key=lambda r: (r["doc_id"], r["y"], r["b"]))
-    return fit([(np.frombuffer(r["b"], np.int32), np.frombuffer(r["n"], np.uint32)) for r in rows],
-               [r["y"] for r in rows])
+            .mapInArrow(run, "doc_id long, y int, b binary, n binary").toArrow())
+    order = pa.compute.sort_indices(
+        rows, [(c, "ascending") for c in ("doc_id", "y", "b")]).to_pylist()
+    # Views of the table's memory: the sample is held once.
+    bags = [tuple(np.frombuffer(rows.column(c)[i].as_buffer(), kind)
+                  for c, kind in (("b", np.int32), ("n", np.uint32))) for i in order]
+    return fit(bags, rows.column("y").take(pa.array(order, pa.int64())).to_pylist())
 
 
 def score(docs: DataFrame, model, *keep: str) -> DataFrame:
