@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tessera.operators.blocks import BLOCK_ROWS, Index
 from tessera.operators.graph import MAX_ROUNDS, connected_components
+from tessera.operators.line import clusters_on_line, on_line
 from tessera.operators.pivots import clearance, distances, exact, matrix, squared
 from tessera.session import written
 
@@ -256,8 +257,13 @@ def _ways(index: Index, whole: dict) -> list[tuple]:
 def linkage_clusters(p: DataFrame, k: int, block: int = BLOCK_ROWS) -> DataFrame:
     """``(id, component)``: the spanning tree without its k - 1 heaviest edges (ties by ends).
 
-    Exactly k clusters, or one a point where there are fewer points.
+    Exactly k clusters, or one a point where there are fewer points. On a line the tree is the gaps
+    between neighbours, so the cuts are found in the order of the points.
     """
+    p = written(p.select("id", "vec"), "points")
+    cut = clusters_on_line(p, k) if on_line(p) else None
+    if cut is not None:
+        return cut
     tree = written(spanning_tree(p, block), "tree")
     cut = tree.orderBy(F.col("w").desc(), F.col("u").desc(), F.col("v").desc()).limit(max(0, k - 1))
     kept = tree.join(F.broadcast(cut.select("u", "v")), ["u", "v"], "left_anti")

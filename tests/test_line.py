@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tessera.operators import kth, line as N
+from tessera.operators import blocks, cluster as K, kth, line as N, linkage as L
 
 
 def points(spark, x, ids=None):
@@ -25,8 +25,21 @@ def test_kth_distance_on_a_line_forms_no_pairs(spark, monkeypatch, chunk):
             assert np.allclose(got.toPandas().set_index("id").dist.sort_index(), gaps[:, k])
 
 
+def test_single_linkage_on_a_line_forms_no_pairs(spark, monkeypatch):
+    x = np.array([0, 0, 1, 5, 6, 6, 20, 21, 3.5])
+    p = points(spark, x, np.arange(len(x))[::-1])
+    whole = L.linkage_clusters(p.selectExpr("id", "array(vec[0], 0D) AS vec"), 3).toPandas()
+    monkeypatch.setattr(blocks.Index, "of", refuse)
+    got = L.linkage_clusters(p, 3).toPandas()
+    assert got.sort_values("id").to_numpy().tolist() == whole.sort_values("id").to_numpy().tolist()
+    assert got.component.nunique() == 3
+    assert K.single_linkage(p, 1).labels.toPandas().cluster.eq(0).all()
+
+
 def test_points_off_the_line_go_the_general_way(spark):
     plane = spark.createDataFrame([(0, [1.0, 2.0])], "id long, vec array<double>")
     gap = spark.createDataFrame([(0, [1.0]), (1, None)], "id long, vec array<double>")
     keyless = spark.createDataFrame([(None, [1.0])], "id long, vec array<double>")
     assert not any(N.on_line(p) for p in (plane, gap, keyless))
+    copies = points(spark, np.array([1.0, 1.0, 1.0, 4.0]))
+    assert L.linkage_clusters(copies, 3).toPandas().component.nunique() == 3
