@@ -23,6 +23,8 @@ from tessera.operators.pivots import (Tree, build, distances as _distances, exac
 from tessera.session import written
 
 BLOCK_ROWS = 2048
+SIDES = 12                   # chunks of a side where every pair is looked at
+TILES = 32                   # blocks that such a chunk may hold
 
 Kernel = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
 
@@ -113,26 +115,51 @@ def _chunked(df: DataFrame, chunks: DataFrame, mine: str, theirs: str) -> DataFr
             .drop(f"n_{mine}", f"n_{theirs}"))
 
 
+def _wide(n: int, block: int) -> int:
+    """Rows of a chunk where all chunks meet: a fixed number of chunks, so what travels grows with
+    the rows, until a chunk holds ``TILES`` blocks."""
+    return min(max(block, -(-n // SIDES)), TILES * block)
+
+
+def _tiled(kernel: Kernel, combine: Callable[[pd.DataFrame], pd.DataFrame], block: int) -> Kernel:
+    """The kernel over the blocks of two chunks; ``combine`` folds what the rows of a block got."""
+    def run(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if len(l) <= block and len(r) <= block:
+            return kernel(l, r)
+        parts = [r.iloc[b:b + block] for b in range(0, len(r), block)]
+        return pd.concat([combine(pd.concat([kernel(l.iloc[a:a + block], x) for x in parts],
+                                            ignore_index=True))
+                          for a in range(0, len(l), block)], ignore_index=True)
+    return run
+
+
 def _whole(queries: DataFrame, refs: DataFrame, kernel: Kernel, schema: str | T.StructType,
-           block: int, n_s: int) -> DataFrame:
+           block: int, n_s: int, combine=None) -> DataFrame:
     """Every chunk of one side with every chunk of the other."""
     n_q = n_s if queries is refs else queries.count()
+    rows_q, rows_s = (_wide(n_q, block), _wide(n_s, block)) if combine else (block, block)
     chunks = refs.sparkSession.createDataFrame(
-        [(0, max(1, -(-n_q // block)), max(1, -(-n_s // block)))], "leaf int, n_a int, n_b int")
+        [(0, max(1, -(-n_q // rows_q)), max(1, -(-n_s // rows_s)))], "leaf int, n_a int, n_b int")
     return _meet(queries.withColumn("leaf", F.lit(0)), refs.withColumn("leaf", F.lit(0)), chunks,
-                 kernel, schema)
+                 _tiled(kernel, combine, block) if combine else kernel, schema)
+
+
+def summed(*by: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Adds up the other columns of rows with equal ``by``."""
+    return lambda pdf: pdf.groupby(list(by), as_index=False, sort=False, dropna=False).sum()
 
 
 def block_join(queries: DataFrame, refs: DataFrame, kernel: Kernel, schema: str | T.StructType,
-               radius: float | None = None, block: int = BLOCK_ROWS) -> DataFrame:
+               radius: float | None = None, block: int = BLOCK_ROWS, combine=None) -> DataFrame:
     """Run ``kernel(query chunk, reference chunk)`` over all chunk pairs that can matter.
 
     Pass ``radius`` to leave out pairs that are provably farther apart; without it every pair is
-    seen. A query point may meet several chunks: the caller combines its results.
+    seen. A query point may meet several chunks: the caller combines its results. With ``combine``,
+    which folds the rows that a kernel gave in the same way, all pairs are seen in larger chunks.
     """
     n_s = refs.count()
     if n_s <= block or radius is None:
-        return _whole(queries, refs, kernel, schema, block, n_s)
+        return _whole(queries, refs, kernel, schema, block, n_s, combine)
     index = Index.of(refs, n_s, block)
     q = index.table if queries is refs else queries
     return index.join(index.copies(q.withColumn("bound", F.lit(float(radius)))), kernel, schema,
@@ -187,6 +214,10 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, skip_self: bool = False
     def ranked(found: DataFrame) -> DataFrame:
         return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
 
+    def folded(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.sort_values(["id", "dist", "nbr"], kind="stable").groupby(
+            "id", sort=False, dropna=False).head(k)
+
     n_s = refs.count()
     if n_s <= block:
         return ranked(_whole(queries, refs, kernel, schema, block, n_s))
@@ -202,6 +233,12 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, skip_self: bool = False
     far = q.join(own, "id", "left").join(F.broadcast(short), "leaf", "left").withColumn(
         "bound", F.coalesce("own", F.col("r") + F.col("promised"), F.lit(float("inf")))).drop(
         "own", "promised").withColumn("home", F.col("leaf"))
+    # In many dimensions little is ruled out: then all pairs in large chunks move fewer rows.
+    sides = -(-n_s // _wide(n_s, block))
+    far = written(far, "bounds")
+    if index.tree.looks(far, index.reach, index.reach_top) > (2 * sides + 1) * far.count():
+        mine = q.drop("leaf", "r", "top", "r_top")
+        return ranked(_whole(mine, refs, kernel, schema, block, n_s, folded))
     copies = index.copies(far, lambda pdf, i, leaf: pdf["home"].to_numpy()[i] != leaf).drop("home")
     return ranked(near.drop("place").unionByName(index.join(copies, kernel, schema, block)))
 
@@ -303,5 +340,6 @@ def distance_sums(df: DataFrame, group: str, block: int = BLOCK_ROWS) -> DataFra
                              group: np.repeat(l[group].to_numpy(), n),
                              "other": np.tile(names, len(l)), "total": total.ravel()})
 
-    part = block_join(df, df, kernel, T.StructType(fields), block=block)
+    part = block_join(df, df, kernel, T.StructType(fields), block=block,
+                      combine=summed("id", group, "other"))
     return part.groupBy("id", group, "other").agg(F.sum("total").alias("total"))

@@ -119,21 +119,7 @@ class Tree:
 
         def run(batches):
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = matrix(pdf)
-                limit = pdf["bound"].to_numpy()[:, None] * (1 + SLACK) + SLACK
-                d = distances(x, self.tops)
-                least = np.maximum(d - reach_top[None, :], _plane(d, self.tops))
-                open_ = (least <= limit) & (reach_top >= 0)[None, :]
-                for c in np.flatnonzero(open_.any(0)):
-                    rows = np.flatnonzero(open_[:, c])
-                    part = slice(self.first[c], self.first[c + 1])
-                    inner = distances(x[rows], self.leaves[c])
-                    least_in = np.maximum(inner - reach[part][None, :],
-                                          _plane(inner, self.leaves[c]))
-                    i, leaf = np.nonzero((least_in <= limit[rows]) & (reach[part] >= 0)[None, :])
-                    i, leaf = rows[i], leaf + self.first[c]
+                for i, leaf in self._open(pdf, reach, reach_top):
                     if keep is not None and len(i):
                         good = keep(pdf, i, leaf)
                         i, leaf = i[good], leaf[good]
@@ -142,6 +128,32 @@ class Tree:
 
         return df.mapInPandas(run, schema)
 
+    def looks(self, df: DataFrame, reach: np.ndarray, reach_top: np.ndarray) -> int:
+        """How many rows ``replicas`` would give without ``keep``."""
+        def run(batches):
+            for pdf in batches:
+                yield pd.DataFrame({"n": [sum(len(i) for i, _ in self._open(pdf, reach, reach_top))]})
+
+        return df.select("vec", "bound").mapInPandas(run, "n long").agg(
+            F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def _open(self, pdf: pd.DataFrame, reach: np.ndarray, reach_top: np.ndarray):
+        """Rows and the leaves that they must look into, by cell of the first level."""
+        if not len(pdf):
+            return
+        x = matrix(pdf)
+        limit = pdf["bound"].to_numpy()[:, None] * (1 + SLACK) + SLACK
+        d = distances(x, self.tops)
+        least = np.maximum(d - reach_top[None, :], _plane(d, self.tops))
+        open_ = (least <= limit) & (reach_top >= 0)[None, :]
+        for c in np.flatnonzero(open_.any(0)):
+            rows = np.flatnonzero(open_[:, c])
+            part = slice(self.first[c], self.first[c + 1])
+            inner = distances(x[rows], self.leaves[c])
+            least_in = np.maximum(inner - reach[part][None, :], _plane(inner, self.leaves[c]))
+            i, leaf = np.nonzero((least_in <= limit[rows]) & (reach[part] >= 0)[None, :])
+            yield rows[i], leaf + self.first[c]
+
 
 def build(df: DataFrame, n: int, block: int) -> Tree:
     """A tree for the ``n`` points of ``df`` (read three times: pass a written table)."""

@@ -383,3 +383,25 @@ def test_statistics(spark):
     r = {x["cluster"]: x for x in Q.cluster_statistics(df, ["x"]).collect()}
     assert (r[0]["median"], r[0]["mode"], r[0]["count"]) == (2.0, 2.0, 3)
     assert r[0]["var"] == pytest.approx(1 / 3) and r[1]["std"] is None
+
+
+def test_unpruned_distances_meet_in_few_large_chunks(spark, monkeypatch):
+    """In many dimensions no leaf is ruled out: rows travel to some chunks, not to every leaf."""
+    from tessera.operators import kth
+    from tessera.operators.pivots import Tree
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (400, 24))
+    d = distances(x)
+    np.fill_diagonal(d, np.inf)
+    pairs = []
+    real = B._meet
+    monkeypatch.setattr(B, "_meet", lambda q, r, chunks, *rest: pairs.extend(
+        chunks.selectExpr("n_a * n_b AS n").toPandas().n) or real(q, r, chunks, *rest))
+    monkeypatch.setattr(Tree, "replicas", lambda *a, **k: pytest.fail("copies for every leaf"))
+    got = B.nearest(table(spark, x), table(spark, x), 3, skip_self=True, block=8).toPandas()
+    want = np.sort(d, axis=1)[:, :3]
+    assert np.allclose(got.sort_values(["id", "place"]).dist.to_numpy().reshape(-1, 3), want)
+    assert max(pairs) <= B.SIDES**2
+    got = kth.kth_distance(table(spark, x), 90, block=8).toPandas().set_index("id").dist.sort_index()
+    assert np.allclose(got, np.sort(d, axis=1)[:, 89])
+    assert max(pairs) <= B.SIDES**2
