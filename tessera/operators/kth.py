@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from tessera.operators.blocks import BLOCK_ROWS, block_join
+from tessera.operators.blocks import BLOCK_ROWS, block_join, summed
 from tessera.operators.line import kth_on_line, on_line
 from tessera.operators.pivots import distances, matrix
 from tessera.session import written
@@ -80,8 +80,8 @@ def kth_distance(p: DataFrame, k: int, block: int = BLOCK_ROWS) -> DataFrame:
     brackets = T.StructType([*state.schema.fields, T.StructField("inside", T.LongType())])
     counts = T.StructType([key, *(T.StructField(c, T.LongType()) for c in ("below", *bins))])
     for _ in range(MAX_ROUNDS):
-        n = block_join(state, points, histogram, counts, block=block).groupBy("id").agg(
-            *[F.sum(c).alias(c) for c in ("below", *bins)])
+        n = block_join(state, points, histogram, counts, block=block, combine=summed("id")).groupBy(
+            "id").agg(*[F.sum(c).alias(c) for c in ("below", *bins)])
         state = written(state.select("id", "vec", "lo", "hi").join(n, "id").mapInPandas(
             narrowed, brackets), "brackets")
         rest = (F.col("inside") > FEW) & (F.col("hi") - F.col("lo") > F.col("hi") * 1e-14)
@@ -97,7 +97,8 @@ def kth_distance(p: DataFrame, k: int, block: int = BLOCK_ROWS) -> DataFrame:
         return pd.concat([below, pd.DataFrame({"id": ids[i], "dist": d[i, j], "n": 1})])
 
     rows = block_join(table, points, values, T.StructType(
-        [key, T.StructField("dist", T.DoubleType()), T.StructField("n", T.LongType())]), block=block)
+        [key, T.StructField("dist", T.DoubleType()), T.StructField("n", T.LongType())]), block=block,
+        combine=summed("id", "dist"))
     up = W.partitionBy("id").orderBy("dist").rowsBetween(W.unboundedPreceding, 0)
     ranked = (rows.groupBy("id", "dist").agg(F.sum("n").alias("n"))
               .withColumn("upto", F.sum("n").over(up)).where((F.col("upto") >= k) & (F.col("dist") >= 0))
