@@ -71,7 +71,7 @@ def with_row_key(df: DataFrame, distinct: bool = False, name: str = ROW_KEY) ->
     enough to broadcast, all other rows get their key where they lie, and only rows with copies are
     shuffled whole; else all are. Copies are counted (which combines before the shuffle) and expanded
     again in chunks spread over tasks, so a row that makes up a large part of the table is never
-    numbered in one task. The rows are read three times: pass a table. ``distinct`` says that the
+    numbered in one task. The rows are read four times: pass a table. ``distinct`` says that the
     rows have no copies and saves the counts.
     """
     cells = [F.col(f"`{c}`") for c in df.columns]
@@ -91,12 +91,17 @@ def with_row_key(df: DataFrame, distinct: bool = False, name: str = ROW_KEY) ->
 
 
 def _numbered(df: DataFrame, hashes: Column, name: str) -> DataFrame:
-    """Equal rows counted and numbered."""
+    """Equal rows counted and numbered.
+
+    The chunks are few and small, the rows made of them are not: the number of tasks comes from the
+    rows and is given, as Spark would merge tasks by the size of the chunks.
+    """
     step = F.lit(COPIES_PER_TASK)
+    tasks = 1 + df.count() // (10 * COPIES_PER_TASK)
     counted = df.groupBy(*df.columns).agg(F.count("*").alias("_m"))
     chunked = counted.withColumn(
         "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1, step.cast("long"))))
-    spread = chunked.hint("rebalance")
+    spread = chunked.repartition(tasks)
     copies = spread.withColumn("_i", F.explode(F.sequence(
         F.col("_chunk"), F.least(F.col("_m"), F.col("_chunk") + step) - 1)))
     return copies.select(*df.columns, F.concat_ws("-", hashes, F.col("_i")).alias(name))

@@ -183,3 +183,12 @@ def test_target_codes_follow_the_type(spark):
     df = spark.createDataFrame([(10,), (9,), (100,)], "t int")
     got = {r["value"]: r["label"] for r in X.target_codes(df, "t").collect()}
     assert got == {9: 0, 10: 1, 100: 2}
+
+
+def test_row_key_spreads_the_copies_of_one_row(spark, monkeypatch):
+    from tessera.operators import clean
+    monkeypatch.setattr(clean, "COPIES_PER_TASK", 10)
+    keyed = clean.with_row_key(spark.range(1000).selectExpr("1 AS a", "'x' AS b"))
+    tasks = [len(part) for part in keyed.rdd.glom().collect()]
+    assert sum(tasks) == 1000 and max(tasks) <= 200
+    assert keyed.select(clean.ROW_KEY).distinct().count() == 1000
