@@ -147,10 +147,17 @@ def run_header(runs: DataFrame, chats: DataFrame) -> DataFrame:
 def run_detail(links: DataFrame, models: DataFrame) -> DataFrame:
     """Models of each run; of models with one name the highest id stays, metadata keys are merged
     over the record's own."""
-    joined = links.select("training_id", "model_id").join(models, "model_id")
-    last = joined.groupBy("training_id", "model_name").agg(F.max_by(
+    names = models.select("model_id", "model_name")
+    newest = (links.select("training_id", "model_id").join(names, "model_id")
+              .groupBy("training_id", "model_name").agg(F.max("model_id").alias("model_id")))
+    # Only keys are grouped; the wide columns join what is left.
+    wide = models.dropDuplicates(["model_id", "model_name"]).select(
+        F.col("model_id").alias("_id"), F.col("model_name").alias("_name"),
         F.struct("model_id", "hyperparameters", "metrics", "model_metadata",
-                 "place_in_training_batch"), "model_id").alias("m"))
+                 "place_in_training_batch").alias("m"))
+    last = newest.join(wide, (F.col("model_id") == F.col("_id"))
+                       & F.col("model_name").eqNullSafe(F.col("_name"))).select(
+        "training_id", "model_name", "m")
     own = F.create_map(F.lit("model_id"), F.col("m.model_id").cast("string"),
                        F.lit("model_name"), F.col("model_name"),
                        F.lit("place_in_training_batch"),

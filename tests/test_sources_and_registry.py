@@ -118,3 +118,15 @@ def test_unknown_user_has_plan_one(spark):
     asked = spark.createDataFrame([("a",), ("b",), ("z",)], "user_id string")
     got = {r["user_id"]: (r["plan_id"], r["state"]) for r in R.user_state(asked, users).collect()}
     assert got == {"a": (3, "active"), "b": (2, "banned"), "z": (1, "unknown")}
+
+
+def test_run_detail_groups_keys_only(spark):
+    maps = "map('k', 'v') AS hyperparameters, map('s', 1D) AS metrics, map('b', x) AS model_metadata"
+    models = spark.sql(f"""SELECT id AS model_id, name AS model_name, 1 AS place_in_training_batch,
+        {maps} FROM VALUES (1L, 'A', 'one'), (2L, 'A', 'two'), (3L, NULL, 'three'), (3L, NULL, 'three')
+        t(id, name, x)""")
+    links = spark.sql("SELECT * FROM VALUES (7L, 1L), (7L, 2L), (7L, 3L), (8L, 1L) t(training_id, model_id)")
+    out = R.run_detail(links, models)
+    assert "SortAggregate(key=[training_id" not in out._jdf.queryExecution().sparkPlan().toString()
+    got = {(r.training_id, r.model_id, r.record["b"]) for r in out.collect()}
+    assert got == {(7, 2, "two"), (7, 3, "three"), (8, 1, "one")} and out.count() == 3
