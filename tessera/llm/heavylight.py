@@ -498,6 +498,23 @@ def merged(label: DataFrame, more: DataFrame) -> DataFrame:
     return moved.unionByName(joint)
 
 
+def open_lists(known: DataFrame) -> DataFrame:
+    """``h, number``: lists that hold several components, one of those with the same members.
+
+    A passage of some words that the same sets share gives a list for each of its shingles. Such
+    lists give the same pairs, so only one travels with its sets' bitmaps. Members are told apart
+    by their number and two sums of 64-bit hashes, in halves; subset entries have their own lists.
+    """
+    halves = [half for seed in (13, 17) for h in [F.xxhash64(F.lit(seed), "key")] for half in (
+        h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]
+    sums = [f"s{i}" for i in range(len(halves))]
+    lists = known.groupBy("h").agg(
+        (F.min("component") != F.max("component")).alias("open"), F.count("*").alias("number"),
+        *[F.sum(v).alias(c) for v, c in zip(halves, sums)]).where("open")
+    return lists.groupBy(F.col("h").bitwiseAND(F.lit(1)).alias("subset"), "number", *sums).agg(
+        F.min("h").alias("h")).select("h", "number")
+
+
 def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Rows with their sets' keys, classes, components (``node, component``), linked sets' shingles.
 
@@ -544,10 +561,8 @@ def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     for candidates in (led, across):
         known = member.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn(
             "component", F.coalesce("component", "key"))
-        several = known.groupBy("h").agg(
-            (F.min("component") != F.max("component")).alias("open"),
-            F.count("*").alias("number")).where("open").select("h", "number")
-        lists = saved(known.join(several, "h"), "open").join(classes.select("key", "map"), "key")
+        lists = saved(known.join(open_lists(known), "h"), "open").join(
+            classes.select("key", "map"), "key")
         pairs = candidates(lists)
         pairs = saved(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():

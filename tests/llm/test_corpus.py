@@ -205,6 +205,18 @@ def test_heavy_light_links(spark, docs, rows, empty, monkeypatch):
     assert heavylight.links_of(empty).count() == 0
 
 
+def test_heavy_light_lists_of_equal_members(spark):
+    """Of lists with the same members one travels; subset entries and copies of a row count apart."""
+    from tessera.llm.heavylight import open_lists
+    rows = [(h, k, c) for h in (2, 4, 8, 3, 5) for k, c in ((10, 10), (20, 10), (30, 30))]
+    rows += [(6, 10, 10), (6, 20, 10)]                               # one component
+    rows += [(12, 10, 10), (12, 10, 10), (12, 20, 10), (12, 30, 30)]  # four rows, two alike
+    rows += [(14, 10, 10), (14, 30, 30), (16, 40, 40), (16, 30, 30)]
+    known = spark.createDataFrame(rows, "h long, key long, component long")
+    got = sorted((r["h"], r["number"]) for r in open_lists(known).collect())
+    assert got == [(2, 3), (3, 3), (12, 4), (14, 2), (16, 2)]
+
+
 def test_brown(docs, rows, empty):
     from pyspark.sql import functions as F
     from tessera.llm.brown import exchange, score
