@@ -24,11 +24,8 @@ def _ids(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go. Trained on the labelled rows of the input."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    named = docs.select("doc_id", "lang", "source", "n_chars", F.col("text"),
-                        F.col("text").alias("whole"))
-    kept = toxicity.score(named, model, "lang", "source", "n_chars", "whole")
-    return kept.where(F.col("score") < toxicity.THRESHOLD).withColumnRenamed(
-        "whole", "text").select(*COLUMNS)
+    kept = toxicity.score(docs, model, "text", "lang", "source", "n_chars")
+    return kept.where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ PRIOR = 300
 """Empty pieces in every average: a text of a few words can't stray far from the bias."""
 SAMPLE_DOCS = 3000
 THRESHOLD = 0.7
+SLICE = 1 << 18
+"""Bytes of text whose pieces a task holds at once, or one text."""
 
 #: Letters, digits and bytes of other scripts stay, A-Z as a-z; anything else ends a word.
 _FOLD = np.zeros(256, np.uint8)
@@ -129,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS):
         some = one if some is None else some.unionByName(one)
 
     def run(batches):
-        for b in slices(batches, 1 << 20):
+        for b in slices(batches, SLICE):
             row, bucket = grams(*joined(b.column("text")))
             pair, n = np.unique(row.astype(np.int64) << 32 | bucket, return_counts=True)
             at = np.searchsorted(pair >> 32, np.arange(b.num_rows + 1))
@@ -153,23 +155,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS):
 def score(docs: DataFrame, model, *keep: str) -> DataFrame:
     """``doc_id, score`` (0 to 1) of every whole text, from its text alone, in one pass.
 
-    Text without word pieces (null, empty) has the score of the bias.
+    Text without word pieces (null, empty) has the score of the bias. ``keep`` names columns to pass
+    on; ``text`` among them is the column that is scored, so texts travel once.
     """
     pulls, bias = model
+    whole = "text" in keep
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep) if whole else bare(
+        docs, *keep)
+    out = [c for c in rows.columns if whole or c != "text"]
 
     def run(batches):
-        for b in slices(batches, 1 << 20):
+        for b in slices(batches, SLICE):
             row, bucket = grams(*joined(b.column("text")))
             total = np.bincount(row, pulls[bucket], b.num_rows)
             n = PRIOR + np.bincount(row, minlength=b.num_rows)
             p = 1 / (1 + np.exp(-np.clip(total / n + bias, -40, 40)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p)],
-                                             [*b.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in out), pa.array(p)],
+                                             [*out, "score"])
 
-    kept = docs.select(*keep).schema.fields if keep else []
-    kinds = ", ".join(["doc_id long", *[f"`{f.name}` {f.dataType.simpleString()}" for f in kept],
+    kinds = ", ".join([*[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in out],
                        "score double"])
-    return bare(docs, *keep).mapInArrow(run, kinds)
+    return rows.mapInArrow(run, kinds)
 
 
 def op6_toxicity(spark, folder: str) -> DataFrame:

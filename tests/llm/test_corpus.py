@@ -339,6 +339,22 @@ def test_toxicity(spark, empty):
     assert train(docs, marks.where("toxic = 1")) is not None
 
 
+def test_toxicity_passes_texts_on_once(spark, monkeypatch):
+    """The text that is scored is the one passed on, whatever the slices; null stays null."""
+    from tessera.llm import toxicity
+    rng = np.random.default_rng(3)
+    model = rng.standard_normal(toxicity.BUCKETS).astype(np.float32), 0.25
+    rows = [(1, "Some words here", "en"), (2, None, None), (3, "", "de"), (None, "\u00e4\u00f6 x" * 40, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    bare = [tuple(r) for r in toxicity.score(docs, model).collect()]
+    for size in (toxicity.SLICE, 16):
+        monkeypatch.setattr(toxicity, "SLICE", size)
+        got = toxicity.score(docs, model, "text", "lang")
+        assert got.columns == ["doc_id", "text", "lang", "score"]
+        assert [(r.doc_id, r.text, r.lang) for r in got.collect()] == rows
+        assert [(r.doc_id, r.score) for r in got.collect()] == bare
+
+
 def test_leaks(spark, docs, empty):
     from tessera.llm.leaks import Items, distance, edits, leaks, plain
     rng = random.Random(1)
