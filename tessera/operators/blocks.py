@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
+from tessera.operators.line import nearest_on_line, on_line
 from tessera.operators.pivots import (Tree, build, distances as _distances, exact as _exact,
                                       matrix as _matrix, squared as _squared)
 from tessera.session import written
@@ -221,6 +222,11 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, skip_self: bool = False
     n_s = refs.count()
     if n_s <= block:
         return ranked(_whole(queries, refs, kernel, schema, block, n_s))
+    if queries is refs and skip_self and not carry and not keep:
+        line = nearest_on_line(refs, k) if on_line(refs) else None
+        if line is not None:
+            rows, rest = line
+            return rows if rest is None else rows.unionByName(nearest(rest, refs, k, True, block=block))
     # First the home leaf; its k-th distance bounds how far a point has to look elsewhere.
     index = Index.of(refs, n_s, block)
     q = index.table if queries is refs else written(index.tree.place(queries), "queries")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from tessera.session import written
 
 CHUNK_ROWS = 1 << 18
+ROWS_AT_ONCE = 1 << 13
+LARGEST = 1e150              # beyond, squares of differences leave the range of a double
 _AT = (1 << 33) - 1          # low bits of monotonically_increasing_id: place in the partition
 
 
@@ -88,6 +90,67 @@ def kth_on_line(p: DataFrame, k: int, chunk: int = CHUNK_ROWS) -> DataFrame:
     return placed.groupBy("chunk").applyInPandas(reach, f"id {kind}, dist double")
 
 
+def nearest_on_line(p: DataFrame, k: int, chunk: int = CHUNK_ROWS >> 2
+                    ) -> tuple[DataFrame, DataFrame | None] | None:
+    """``(id, nbr, dist, place)``: the k nearest other points, ties to the lower id; and the points
+    (``id, vec``) that this leaves open, if any. None where a key repeats or numbers are too large.
+
+    Of the points at one place only those with the k + 1 smallest ids can be neighbours. In the order
+    of these, the answer for a point lies within 3k + 1 places to each side: its own place has k
+    others at most, and the place where the k-th of a side stands ends k places farther on. A chunk
+    of the order meets that many rows around it. Farther copies have the first k of their place. Where
+    rounding makes different places equally far up to the end of the rows seen, the point stays open.
+    """
+    points = written(p.select("id", (F.col("vec")[0] + 0.0).alias("x")), "line")
+    if (not points.groupBy("id").count().where("count > 1").isEmpty()
+            or points.agg(F.max(F.abs("x"))).first()[0] > LARGEST):
+        return None
+    rank = F.row_number().over(W.partitionBy("x").orderBy("id"))
+    able = written(points.withColumn("rank", rank).where(F.col("rank") <= k + 1), "able")
+    side = 3 * k + 2
+    order = numbered(able.drop("rank"), "x", "id").withColumn("own", F.floor(F.col("i") / chunk))
+    seen = order.withColumn("chunk", F.explode(F.sequence(
+        F.floor((F.col("i") - side) / chunk), F.floor((F.col("i") + side) / chunk))))
+    key = p.schema["id"].dataType
+    schema = T.StructType([T.StructField("id", key), T.StructField("nbr", key),
+                           T.StructField("dist", T.DoubleType()), T.StructField("place", T.IntegerType()),
+                           T.StructField("open", T.BooleanType())])
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        x, ids = pdf["x"].to_numpy(dtype=float), pdf["id"].to_numpy()
+        mine = np.flatnonzero((pdf["own"] == pdf["chunk"]).to_numpy())
+        steps = np.r_[-side:0, 1:side + 1]
+        out = []
+        for begin in range(0, len(mine), ROWS_AT_ONCE):
+            at = mine[begin:begin + ROWS_AT_ONCE]
+            near = at[:, None] + steps
+            there = (near >= 0) & (near < len(x))
+            near = np.where(there, near, 0)
+            d = np.where(there, np.sqrt((x[near] - x[at][:, None]) ** 2), np.inf)
+            by = np.argsort(ids[near], axis=1, kind="stable")
+            by = np.take_along_axis(by, np.argsort(np.take_along_axis(d, by, 1), axis=1,
+                                                   kind="stable"), 1)[:, :k]
+            best, far = np.take_along_axis(d, by, 1), np.isfinite(d[:, [0, -1]])
+            tied = (far & (d[:, [0, -1]] <= best[:, -1:])).any(1)
+            i, j = np.nonzero(np.isfinite(best) & ~tied[:, None])
+            out.append(pd.DataFrame({"id": ids[at][i], "nbr": ids[near[i, by[i, j]]],
+                                     "dist": best[i, j], "place": (j + 1).astype("int32"), "open": False}))
+            if tied.any():
+                some = ids[at][tied]
+                out.append(pd.DataFrame({"id": some, "nbr": some, "dist": 0.0, "place": np.int32(0),
+                                         "open": True}))
+        return pd.concat(out) if out else pd.DataFrame(columns=schema.names)
+
+    found = written(seen.groupBy("chunk").applyInPandas(meet, schema), "nearest")
+    copies = points.join(able.select("id"), "id", "left_anti")
+    first = able.where(F.col("rank") <= k).select("x", F.col("id").alias("nbr"), F.col("rank").alias("place"))
+    rows = found.where("NOT open").drop("open").unionByName(copies.join(first, "x").select(
+        "id", "nbr", F.lit(0.0).alias("dist"), "place"))
+    rest = found.where("open").select("id").join(p.select("id", "vec"), "id")
+    return rows, None if rest.isEmpty() else rest
+
+
 def clusters_on_line(p: DataFrame, k: int) -> DataFrame | None:
     """``(id, component)`` of single linkage: the line cut at its k - 1 widest gaps, ties by ends.
 
