@@ -245,9 +245,19 @@ def user_state(asked: DataFrame, users: DataFrame) -> DataFrame:
         .when(~F.col("is_active"), "inactive").otherwise("active").alias("state"))
 
 
+ROWS_A_TASK = 1_000_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by its keys into tasks of about ``ROWS_A_TASK`` of its ``rows``, where they are
+    more than that. The number is given, as Spark would merge tasks by the bytes of narrow rows."""
+    return df.repartition(-(-rows // ROWS_A_TASK), *keys) if rows > ROWS_A_TASK else df
+
+
 def ranked(models: DataFrame, metric: str, by: list[str], n: int,
            ties: tuple[str, ...] = ("model_name",)) -> DataFrame:
-    """Best ``n`` models per group of a leaderboard with their place."""
+    """Best ``n`` models per group of a leaderboard with their place. A large one is ``dealt`` by
+    the groups first."""
     w = W.partitionBy(*by).orderBy(F.col(metric).desc_nulls_last(), *ties)
     return models.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 

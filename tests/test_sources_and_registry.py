@@ -130,3 +130,17 @@ def test_run_detail_groups_keys_only(spark):
     assert "SortAggregate(key=[training_id" not in out._jdf.queryExecution().sparkPlan().toString()
     got = {(r.training_id, r.model_id, r.record["b"]) for r in out.collect()}
     assert got == {(7, 2, "two"), (7, 3, "three"), (8, 1, "one")} and out.count() == 3
+
+
+def test_large_leaderboard_is_ranked_in_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(R, "ROWS_A_TASK", 500)
+    rows = [(t, f"m{(7 * i) % 13}", i, float(i % 5)) for t in range(40) for i in range(100)]
+    df = spark.createDataFrame(rows, "run int, model_name string, model_id int, score double")
+    dealt = R.dealt(df, len(rows), "run")
+    top = R.ranked(dealt, "score", ["run"], 3, ("model_name", "model_id"))
+    assert top.rdd.getNumPartitions() == 8
+    got = {(r["run"], r["model_id"], r["place"]) for r in top.collect()}
+    want = {(t, r[2], k + 1) for t in range(40) for k, r in enumerate(sorted(
+        (x for x in rows if x[0] == t), key=lambda x: (-x[3], x[1], x[2]))[:3])}
+    assert got == want
+    assert R.dealt(df, 500, "run") is df
