@@ -326,26 +326,81 @@ def smallest_within(queries: DataFrame, refs: DataFrame, radius: float, value: s
     return part.groupBy("id").agg(F.min(value).alias(value))
 
 
+SUM_TILE = 64, 1024          # rows of a tile whose distances stay in a core's cache
+
+
 def distance_sums(df: DataFrame, group: str, block: int = BLOCK_ROWS) -> DataFrame:
     """``(id, <group>, other, total)``: sum of distances from each point to each group.
 
-    Every pair is computed, in blocks; what leaves a block is one number per point and group.
+    Every pair is computed once, in a task that sees two chunks and adds its distances to both
+    points' sums; what leaves it is one number per point and group.
     """
-    fields = [_key_field(df, "id"), df.schema[group],
-              T.StructField("other", df.schema[group].dataType),
-              T.StructField("total", T.DoubleType())]
+    schema = T.StructType([_key_field(df, "id"), df.schema[group],
+                           T.StructField("other", df.schema[group].dataType),
+                           T.StructField("total", T.DoubleType())])
 
-    def kernel(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        d = _distances(_matrix(l), _matrix(r))
-        names, code = np.unique(r[group].to_numpy(), return_inverse=True)
-        one = np.zeros((len(r), len(names)))
-        one[np.arange(len(r)), code] = 1.0
-        total = d @ one
+    def rows(pdf: pd.DataFrame, names: np.ndarray, total: np.ndarray) -> pd.DataFrame:
         n = len(names)
-        return pd.DataFrame({"id": np.repeat(l["id"].to_numpy(), n),
-                             group: np.repeat(l[group].to_numpy(), n),
-                             "other": np.tile(names, len(l)), "total": total.ravel()})
+        return pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), n),
+                             group: np.repeat(pdf[group].to_numpy(), n),
+                             "other": np.tile(names, len(pdf)), "total": total.ravel()})
 
-    part = block_join(df, df, kernel, T.StructType(fields), block=block,
-                      combine=summed("id", group, "other"))
+    def run(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(l) or not len(r):
+            return pd.DataFrame(columns=schema.names)
+        same = int(l["a"].iloc[0]) == int(l["b"].iloc[0])
+        l, r = (s.sort_values(group, kind="stable") for s in (l, r))
+        mine, x_code = np.unique(l[group].to_numpy(), return_inverse=True)
+        others, y_code = np.unique(r[group].to_numpy(), return_inverse=True)
+        to, back = _sums(_matrix(l), x_code, len(mine), _matrix(r), y_code, len(others), not same)
+        found = rows(l, others, to)
+        return found if same else pd.concat([found, rows(r, mine, back.T)], ignore_index=True)
+
+    n = df.count()
+    sides = max(1, -(-n // _wide(n, block)))
+    at = df.select("id", "vec", group, F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(sides)).cast("int").alias("at"))
+    low = at.withColumn("b", F.explode(F.sequence("at", F.lit(sides - 1)))).withColumnRenamed("at", "a")
+    # Fresh column identities: both sides come from one table.
+    high = at.select(*[F.col(c).alias(c) for c in at.columns]).withColumn(
+        "a", F.explode(F.sequence(F.lit(0), "at"))).withColumnRenamed("at", "b")
+    # Few rows make much work: Spark would merge tasks by the size of what they read.
+    tasks = sides * (sides + 1)
+    part = low.repartition(tasks, "a", "b").groupBy("a", "b").cogroup(
+        high.repartition(tasks, "a", "b").groupBy("a", "b")).applyInPandas(run, schema)
     return part.groupBy("id", group, "other").agg(F.sum("total").alias("total"))
+
+
+def _sums(x: np.ndarray, x_code: np.ndarray, x_n: int, y: np.ndarray, y_code: np.ndarray, y_n: int,
+          both: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of distances from each x to the groups of y, and (groups first) back from each y.
+
+    Rows come in the order of their group's code, so a tile holds few groups. All tiles share one
+    buffer; distances too small for the fast form are computed again.
+    """
+    nx, ny = (x * x).sum(1), (y * y).sum(1)
+    a = np.column_stack([-2.0 * x, nx, np.ones(len(x))])
+    b = np.column_stack([y, np.ones(len(y)), ny]).T
+    near = 1e-6 * float(nx.max() + ny.max()) + 1e-300
+    to, back = np.zeros((len(x), y_n)), np.zeros((x_n if both else 0, len(y)))
+    room, ones = np.empty(SUM_TILE), [_ones(y_code[j:j + SUM_TILE[1]]) for j in range(0, len(y), SUM_TILE[1])]
+    for i in range(0, len(x), SUM_TILE[0]):
+        rows = slice(i, min(i + SUM_TILE[0], len(x)))
+        held, one = _ones(x_code[rows])
+        for j, (met, theirs) in zip(range(0, len(y), SUM_TILE[1]), ones):
+            cols = slice(j, min(j + SUM_TILE[1], len(y)))
+            d = room[:rows.stop - i, :cols.stop - j]
+            np.matmul(a[rows], b[:, cols], out=d)
+            if d.min() < near:
+                u, v = np.divmod(np.flatnonzero(d < near), d.shape[1])
+                d[u, v] = ((x[i + u] - y[j + v]) ** 2).sum(1)
+            np.sqrt(d, out=d)
+            to[rows, met] += d @ theirs.T
+            if both:
+                back[held, cols] += one @ d
+    return to, back
+
+
+def _ones(code: np.ndarray) -> tuple[slice, np.ndarray]:
+    """The groups of a tile (ascending codes), and a row for each with ones at its members."""
+    held = np.arange(code[0], code[-1] + 1)
+    return slice(held[0], held[-1] + 1), (code == held[:, None]).astype(float)

@@ -32,9 +32,10 @@ def matrix(pdf: pd.DataFrame) -> np.ndarray:
 def squared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
     """Squared distances by inner products and a bound on their rounding error."""
     na, nb = (a * a).sum(1), (b * b).sum(1)
-    sq = na[:, None] + nb[None, :] - 2.0 * (a @ b.T)
-    return np.maximum(sq, 0.0), 1e-11 * float((na.max() if len(na) else 0.0)
-                                              + (nb.max() if len(nb) else 0.0)) + 1e-300
+    sq = na[:, None] + nb[None, :]
+    sq -= (2.0 * a) @ b.T
+    return np.maximum(sq, 0.0, out=sq), 1e-11 * float((na.max() if len(na) else 0.0)
+                                                      + (nb.max() if len(nb) else 0.0)) + 1e-300
 
 
 def exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -48,10 +49,11 @@ def exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndar
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of all pairs of a block; pairs too close for the fast form are recomputed."""
     sq, tol = squared(a, b)
-    near = np.argwhere(sq < 1e5 * tol)
-    out = np.sqrt(sq)
+    near = np.flatnonzero(sq < 1e5 * tol)
+    out = np.sqrt(sq, out=sq)
     if len(near):
-        out[near[:, 0], near[:, 1]] = exact(a, b, near[:, 0], near[:, 1])
+        i, j = np.divmod(near, out.shape[1])
+        out[i, j] = exact(a, b, i, j)
     return out
 
 

@@ -405,3 +405,18 @@ def test_unpruned_distances_meet_in_few_large_chunks(spark, monkeypatch):
     got = kth.kth_distance(table(spark, x), 90, block=8).toPandas().set_index("id").dist.sort_index()
     assert np.allclose(got, np.sort(d, axis=1)[:, 89])
     assert max(pairs) <= B.SIDES**2
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_distance_sums_meet_each_two_chunks_once(spark, cloud, block):
+    cluster = np.arange(len(cloud)) % 5
+    sums = B.distance_sums(table(spark, cloud, cluster).repartition(3), "cluster", block)
+    got = sums.toPandas().set_index(["id", "other"])["total"]
+    want = distances(cloud) @ np.eye(5)[cluster]
+    assert len(got) == want.size
+    assert all(abs(got[i, c] - want[i, c]) < 1e-9 for i in range(len(cloud)) for c in range(5))
+    # Every two chunks meet in one task, not in both orders, and tasks are not merged by bytes.
+    sides = -(-len(cloud) // B._wide(len(cloud), block))
+    plan = sums._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "RepartitionByExpression" in x]
+    assert len(dealt) == 2 and all(x.endswith(f"], {sides * (sides + 1)}") for x in dealt)
