@@ -26,6 +26,8 @@ from tessera.session import written
 BLOCK_ROWS = 2048
 SIDES = 12                   # chunks of a side where every pair is looked at
 TILES = 32                   # blocks that such a chunk may hold
+TASKS = 2_000                # tasks of a join, at most
+PAIRS_A_TASK = 1 << 21       # distances for which a task is worth its while
 
 Kernel = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
 
@@ -86,11 +88,19 @@ class Index:
                   for r in queries.groupBy("leaf").agg(F.count("*").alias("n")).collect()
                   if self.n[r["leaf"]]]
         chunks = queries.sparkSession.createDataFrame(counts, "leaf int, n_a int, n_b int")
-        return _meet(queries, self.table.drop("r", "top", "r_top"), chunks, kernel, schema)
+        return _meet(queries, self.table.drop("r", "top", "r_top"), chunks, kernel, schema,
+                     tasks_for(sum(a * b for _, a, b in counts), block))
+
+
+def tasks_for(groups: int, block: int) -> int:
+    """Tasks for so many groups of about ``block`` squared distances each. Much work on few rows: by
+    the size of what they read, Spark would merge them into few tasks. Groups of usual size get two
+    tasks each, so that few of them share one."""
+    return min(1 + groups * block * block // PAIRS_A_TASK, TASKS)
 
 
 def _meet(queries: DataFrame, refs: DataFrame, chunks: DataFrame, kernel: Kernel,
-          schema: str | T.StructType) -> DataFrame:
+          schema: str | T.StructType, tasks: int) -> DataFrame:
     names = [f.name for f in schema] if isinstance(schema, T.StructType) else None
 
     def run(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
@@ -100,8 +110,9 @@ def _meet(queries: DataFrame, refs: DataFrame, chunks: DataFrame, kernel: Kernel
 
     # Fresh column identities: both sides may come from one table.
     refs = refs.select(*[F.col(c).alias(c) for c in refs.columns])
-    left = _chunked(queries, chunks, "a", "b").groupBy("leaf", "a", "b")
-    return left.cogroup(_chunked(refs, chunks, "b", "a").groupBy("leaf", "a", "b")
+    by = ("leaf", "a", "b")
+    left = _chunked(queries, chunks, "a", "b").repartition(tasks, *by).groupBy(*by)
+    return left.cogroup(_chunked(refs, chunks, "b", "a").repartition(tasks, *by).groupBy(*by)
                         ).applyInPandas(run, schema)
 
 
@@ -139,10 +150,11 @@ def _whole(queries: DataFrame, refs: DataFrame, kernel: Kernel, schema: str | T.
     """Every chunk of one side with every chunk of the other."""
     n_q = n_s if queries is refs else queries.count()
     rows_q, rows_s = (_wide(n_q, block), _wide(n_s, block)) if combine else (block, block)
-    chunks = refs.sparkSession.createDataFrame(
-        [(0, max(1, -(-n_q // rows_q)), max(1, -(-n_s // rows_s)))], "leaf int, n_a int, n_b int")
+    n_a, n_b = max(1, -(-n_q // rows_q)), max(1, -(-n_s // rows_s))
+    chunks = refs.sparkSession.createDataFrame([(0, n_a, n_b)], "leaf int, n_a int, n_b int")
     return _meet(queries.withColumn("leaf", F.lit(0)), refs.withColumn("leaf", F.lit(0)), chunks,
-                 _tiled(kernel, combine, block) if combine else kernel, schema)
+                 _tiled(kernel, combine, block) if combine else kernel, schema,
+                 tasks_for(n_a * n_b, max(rows_q, rows_s)))
 
 
 def summed(*by: str) -> Callable[[pd.DataFrame], pd.DataFrame]:

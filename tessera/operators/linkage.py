@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tessera.operators.blocks import BLOCK_ROWS, Index
+from tessera.operators.blocks import BLOCK_ROWS, Index, tasks_for
 from tessera.operators.graph import MAX_ROUNDS, connected_components
 from tessera.operators.line import clusters_on_line, on_line
 from tessera.operators.pivots import clearance, distances, exact, matrix, squared
@@ -118,17 +118,19 @@ def spanning_tree(p: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
         pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
         x, ids = matrix(pdf), pdf["id"].to_numpy()
         root, sure = _settled(_prim(x), clearance(tree, x, int(pdf["leaf"][0]), reach, reach_top))
-        out = pdf[["id", "vec", "leaf"]].assign(c=ids[root], w=np.nan)
-        out["u"] = out["v"] = ids
-        for row, (w, i, j) in enumerate(sure):
-            out.loc[row, ["w", "u", "v"]] = w, ids[min(i, j)], ids[max(i, j)]
-        return out.astype({"u": pdf["id"].dtype, "v": pdf["id"].dtype})
+        w, u, v = np.full(len(ids), np.nan), ids.copy(), ids.copy()
+        if sure:
+            w[:len(sure)], i, j = (np.array(e) for e in zip(*sure))
+            u[:len(sure)], v[:len(sure)] = ids[np.minimum(i, j)], ids[np.maximum(i, j)]
+        return pdf[["id", "vec", "leaf"]].assign(c=ids[root], w=w, u=u, v=v)
 
     kind = p.schema["id"].dataType
     schema = T.StructType([*distinct.schema.fields, T.StructField("leaf", T.IntegerType()),
                            T.StructField("c", kind), T.StructField("w", T.DoubleType()),
                            T.StructField("u", kind), T.StructField("v", kind)])
-    local = written(index.table.groupBy("leaf").applyInPandas(settle, schema), "settled")
+    leaves = int((index.n > 0).sum())
+    local = written(index.table.repartition(tasks_for(leaves, block), "leaf").groupBy("leaf").applyInPandas(
+        settle, schema), "settled")
     chosen = copies.unionByName(local.where("w is not null and not isnan(w)").select("u", "v", "w"))
     label = local.select("id", "vec", "leaf", "c")
     for _ in range(MAX_ROUNDS):

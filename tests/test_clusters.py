@@ -420,3 +420,29 @@ def test_distance_sums_meet_each_two_chunks_once(spark, cloud, block):
     plan = sums._jdf.queryExecution().optimizedPlan().toString()
     dealt = [x for x in plan.splitlines() if "RepartitionByExpression" in x]
     assert len(dealt) == 2 and all(x.endswith(f"], {sides * (sides + 1)}") for x in dealt)
+
+
+def test_heavy_leaves_are_dealt_into_tasks(spark, monkeypatch):
+    """Few rows make much work: the groups of a join don't end in the tasks that their bytes call for."""
+    from pyspark import TaskContext
+
+    from tessera.operators import linkage as L
+
+    x = np.random.default_rng(3).normal(size=(2000, 2))
+    p = table(spark, x)
+    monkeypatch.setattr(B, "PAIRS_A_TASK", 1 << 11, raising=False)
+
+    def kernel(l, r):
+        return pd.DataFrame({"part": [TaskContext.get().partitionId()]})
+
+    found = B.block_join(p, p, kernel, "part int", radius=0.1, block=64)
+    assert found.distinct().count() >= 16
+    tables, keep = {}, L.written
+
+    def written(df, name="stage"):
+        tables[name] = out = keep(df, name)
+        return out
+
+    monkeypatch.setattr(L, "written", written)
+    assert L.spanning_tree(p, block=64).count() == len(x) - 1
+    assert tables["settled"].select(F.input_file_name()).distinct().count() >= 16
