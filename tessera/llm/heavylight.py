@@ -21,6 +21,8 @@ LEADERS = 8
 """Members of a list that its other members meet before all remaining pairs do."""
 MAP_SHARE, MAP_SLOTS = 8, 1 << 12
 """Slots an element, about, and in all, at most, of the bitmaps that travel with list entries."""
+PAIRS, MAP_WORDS, MEETING = 1 << 18, 1 << 19, 1 << 14
+"""Pairs that a task forms, words of bitmaps that it compares, and list entries that it holds at once, about."""
 CHUNK_ITEMS, CHUNK_SETS = 1 << 20, 2048
 """Shingles and sets in a chunk of a component, about."""
 SLOTS, BLOCKS = 1 << 22, 1 << 10
@@ -111,7 +113,7 @@ class Maps:
         low, high = np.minimum(self.words[x], self.words[y]), np.maximum(self.words[x], self.words[y])
         for w, table in self.table.items():
             some = np.flatnonzero((low == w) & (high <= 2 * w))
-            step = max(1, (1 << 22) // w)
+            step = max(1, MAP_WORDS // w)
             for at in range(0, len(some), step):
                 k = some[at:at + step]
                 a, b = table[self.place[w][x[k]]], table[self.place[w][y[k]]]
@@ -442,7 +444,7 @@ def across(lists: DataFrame) -> DataFrame:
         "chunk", F.pmod(F.xxhash64(F.lit(5), "key"), F.col("chunks")).cast("int"))
     meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
-    parts = 1 + lists.count() // (1 << 16)
+    parts = 1 + lists.count() // MEETING
     meets = meets.select(
         "h", "key", "n", "light", "component", "map", "chunk", low.alias("i"), high.alias("j"),
         F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("h"), F.lit(parts)))
@@ -468,7 +470,7 @@ def across(lists: DataFrame) -> DataFrame:
         total = np.cumsum(count)
         while begin < len(h):
             done = total[begin - 1] if begin else 0
-            last = max(begin + 1, int(np.searchsorted(total, done + (1 << 20), side="right")))
+            last = max(begin + 1, int(np.searchsorted(total, done + PAIRS, side="right")))
             m = count[begin:last]
             x = np.repeat(np.arange(begin, last), m)
             y = x + 1 + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)

@@ -548,3 +548,20 @@ def test_pipeline_stages(spark, rows, tmp_path):
         size[r["source"]] += len(W.findall(r["text"] or ""))
     assert dict(got) == {s: int(t) for s, _, t in targets(list(size.items())) if int(t)}
     assert p.run(spark, folder).count() > 0
+
+
+def test_bitmaps_of_many_pairs_are_compared_in_little_memory():
+    import tracemalloc
+
+    from tessera.llm import heavylight
+
+    rng = np.random.default_rng(0)
+    sets = [rng.integers(0, 2 ** 63, 512).astype(np.uint64) for _ in range(200)]
+    maps = heavylight.Maps([heavylight.bitmap(s, 8, 1 << 12) for s in sets], np.full(200, 512))
+    x, y = (rng.integers(0, 200, 1 << 18) for _ in range(2))
+    tracemalloc.start()
+    ok = maps.may_link(x, y)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (ok == (x == y)).all()
+    assert most < 48 << 20
