@@ -103,9 +103,10 @@ def meet(table: pa.Table) -> pa.Table:
         rows = table.filter(pa.compute.equal(table.column("kind"), kind))
         sides[kind] = [np.frombuffer(b"".join(rows.column(c).to_pylist()), t)
                        for c, t in (("h", np.uint64), ("content", np.int64))]
+    del rows
     out_h.append(sides[1][0])
     out_c.append(sides[1][1])
-    h, c = sides[0]
+    h, c = sides.pop(0)          # let go of once it is sorted
     if len(h):
         order = np.lexsort((c, h))
         h, c = h[order], c[order]

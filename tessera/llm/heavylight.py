@@ -292,7 +292,7 @@ def linked(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> tuple[DataF
         .select("key", "text")
 
     def shingled(batches):
-        for b in slices(batches, SLICE):
+        for b in slices(batches, SLICE // 4):
             g, at = shingle_sets(b)
             yield pa.RecordBatch.from_arrays(
                 [b.column("key"), pa.array([g[i:j].tobytes() for i, j in zip(at, at[1:])],
@@ -531,7 +531,7 @@ def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
                              F.xxhash64("text").alias("content"), "text")
 
     def survey(batches):
-        for b in slices(batches, SLICE):
+        for b in slices(batches, SLICE // 4):
             yield _survey(b)
 
     found = saved(rows.mapInArrow(survey, "doc_id long, content long, key long, n long, bits binary, map binary"), "sets_of")
@@ -543,7 +543,7 @@ def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
              .groupBy("n").count().collect()}
     common, lengths = counted(rows)
     light = boundary(sizes, lengths)
-    shared = saved(entries(rows, common, light, 1 + total // (3 << 20)), "entries")
+    shared = saved(entries(rows, common, light, 1 + total // (2 << 20)), "entries")
     plain = F.col("key").bitwiseAND(F.lit(-2))
     member = shared.select(plain.alias("key"), "h", (F.col("key") != plain).alias("light")).join(
         classes.select("key", "n"), "key")
