@@ -565,3 +565,70 @@ def test_bitmaps_of_many_pairs_are_compared_in_little_memory():
     tracemalloc.stop()
     assert (ok == (x == y)).all()
     assert most < 48 << 20
+
+
+def test_every_training_word_chooses_its_class():
+    from tessera.llm.brown import chosen, contexts, fit_of
+    rng = np.random.default_rng(5)
+    end, classes = 30, 4
+    wide, stride = classes + 1, 2 * (classes + 1) + 1
+    line = np.r_[rng.zipf(1.6, 400) % end, end]
+    line[rng.integers(0, 400, 60)] = end
+    old = np.r_[rng.integers(0, classes, end), classes]
+
+    def table(of):
+        out = np.zeros((wide, wide))
+        np.add.at(out, (of[np.r_[end, line[:-1]]], of[line]), 1)
+        return out
+    key, times = contexts(line, old, np.ones(len(line), bool), wide)
+    weight = np.bincount(line, minlength=end + 1)[:end]
+    assert (np.bincount(key // stride, times, end) <= 2 * weight).all()
+    for w in range(end):
+        mine = key // stride == w
+        best = chosen(table(old), old[w:w + 1], weight[w:w + 1], key[mine] - w * stride, times[mine])
+        fits = [fit_of(table(np.r_[old[:w], c, old[w + 1:]])) for c in range(classes)]
+        assert fits[best[0]] == pytest.approx(max(fits)) and (weight[w] or best[0] == old[w])
+    got = chosen(table(old), old[:-1], weight, key, times)
+    assert fit_of(table(np.r_[got, classes])) > fit_of(table(old))
+
+
+def test_rare_words_of_one_form_get_their_own_classes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from tessera.llm import brown
+    monkeypatch.setattr(brown, "FREQUENT", 0.03)
+    rng = np.random.default_rng(6)
+    # Two word lists stand in other places, but their words have the same last letters and length.
+    first, second = ([f"{c}{i:02d}xyz" for i in range(30)] for c in "ab")
+    texts = [" ".join(f"the {first[rng.integers(30)]} of {second[rng.integers(30)]} ran"
+                      for _ in range(20)) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "the zzzxyz", "", None])],
+                                 "doc_id long, text string").select(
+        "doc_id", (F.col("doc_id") == 30).alias("held_out"),
+        F.coalesce("text", F.lit("")).cast("binary").alias("text")).repartition(3)
+    found, kept = [], brown.saved
+    monkeypatch.setattr(brown, "saved", lambda df, name: found.append(kept(df, name)) or found[-1])
+    scores = {r["doc_id"]: r for r in brown.score(docs).collect()}
+    assert len(scores) == 33 and all(r["score"] < 0 for r in scores.values())
+    parsed, told = found
+    # Rows dealt otherwise give the same scores; more parts give every word a class too.
+    other = {r["doc_id"]: r for r in brown.score(docs.repartition(1)).collect()}
+    assert all(other[d]["score"] == pytest.approx(r["score"]) for d, r in scores.items())
+    monkeypatch.setattr(brown, "PER_PART", 100)
+    assert all(r["score"] < 0 for r in brown.score(docs).collect())
+    classes = {}
+    for r in parsed.join(brown.sent_back(told, "counts", "old", "new"), "block").collect():
+        words = np.frombuffer(bytes(r["words"]), "<u8")
+        was, now = (np.frombuffer(b"".join(bytes(p[c]) for p in r["back"]), "u1") for c in ("old", "new"))
+        assert len(words) == len(was) == len(now)
+        for w, *c in zip(words.tolist(), was.tolist(), now.tolist()):
+            assert classes.setdefault(w, c) == c
+
+    def of(words):
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
+        from tessera.llm.common import word_hashes, word_spans
+        starts, ends, _ = word_spans(data, np.array([0, len(data)]))
+        return [classes[h] for h in word_hashes(data, starts, ends, lower=True).tolist()]
+    one, two = of(first), of(second)
+    assert len({was for was, _ in one + two}) == 1, "by their form they are in one class"
+    assert {now for _, now in one}.isdisjoint(now for _, now in two)
+    assert len(set(of(["zzzxyz"])[0])) == 1, "an unknown word stays with its form"
