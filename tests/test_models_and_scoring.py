@@ -212,3 +212,18 @@ def test_folds_are_stratified_and_polynomials_keep_their_order(spark):
     named = R.X.polynomial_names(["a", "b", "c"])
     at = {"a": 2.0, "b": 3.0, "c": 5.0}
     assert got == [at[a] * at.get(b, 1.0) for a, b, _ in named]
+
+
+def test_the_classification_run_is_whole(spark, monkeypatch):
+    from tessera.plans import model_queries as Q
+    seen = []
+
+    def whole(df, target, task, config=None, plan_id=3, models=None, space=S.sample_params, **more):
+        seen.append((target, task, config or settings(task), S.model_names(task, plan_id)
+                     if models is None else models, space, more))
+        return T.SupervisedRun(task, target, T.Prepared(df, [], [], None, 1.0))
+    monkeypatch.setattr(T, "train_supervised", whole)
+    monkeypatch.setattr(Q, "part", lambda spark, d: spark.range(1))
+    assert Q.t7(spark, "").count() == 0
+    assert seen == [("p_type", "classification", settings("classification"),
+                     S.CLASSIFIERS + S.BOOSTED, S.sample_params, {})]
