@@ -146,15 +146,17 @@ def _tiled(kernel: Kernel, combine: Callable[[pd.DataFrame], pd.DataFrame], bloc
 
 
 def _whole(queries: DataFrame, refs: DataFrame, kernel: Kernel, schema: str | T.StructType,
-           block: int, n_s: int, combine=None) -> DataFrame:
-    """Every chunk of one side with every chunk of the other."""
+           block: int, n_s: int, combine=None, large: bool = False) -> DataFrame:
+    """Every chunk of one side with every chunk of the other; ``large`` chunks for a kernel that goes
+    through them in ``tiles`` itself."""
     n_q = n_s if queries is refs else queries.count()
-    rows_q, rows_s = (_wide(n_q, block), _wide(n_s, block)) if combine else (block, block)
+    rows_q, rows_s = ((_wide(n_q, block), _wide(n_s, block)) if combine or large else (block, block))
     n_a, n_b = max(1, -(-n_q // rows_q)), max(1, -(-n_s // rows_s))
     chunks = refs.sparkSession.createDataFrame([(0, n_a, n_b)], "leaf int, n_a int, n_b int")
     return _meet(queries.withColumn("leaf", F.lit(0)), refs.withColumn("leaf", F.lit(0)), chunks,
                  _tiled(kernel, combine, block) if combine else kernel, schema,
-                 tasks_for(n_a * n_b, max(rows_q, rows_s)))
+                 # Tasks without a group cost their start: three for each leave few groups together.
+                 min(tasks_for(n_a * n_b, max(rows_q, rows_s)), 3 * n_a * n_b))
 
 
 def summed(*by: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -163,16 +165,18 @@ def summed(*by: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 
 def block_join(queries: DataFrame, refs: DataFrame, kernel: Kernel, schema: str | T.StructType,
-               radius: float | None = None, block: int = BLOCK_ROWS, combine=None) -> DataFrame:
+               radius: float | None = None, block: int = BLOCK_ROWS, combine=None,
+               large: bool = False) -> DataFrame:
     """Run ``kernel(query chunk, reference chunk)`` over all chunk pairs that can matter.
 
     Pass ``radius`` to leave out pairs that are provably farther apart; without it every pair is
     seen. A query point may meet several chunks: the caller combines its results. With ``combine``,
-    which folds the rows that a kernel gave in the same way, all pairs are seen in larger chunks.
+    which folds the rows that a kernel gave in the same way, all pairs are seen in larger chunks; so
+    they are with ``large``, where the kernel gives one row a point whatever the chunk's size.
     """
     n_s = refs.count()
     if n_s <= block or radius is None:
-        return _whole(queries, refs, kernel, schema, block, n_s, combine)
+        return _whole(queries, refs, kernel, schema, block, n_s, combine, large)
     index = Index.of(refs, n_s, block)
     q = index.table if queries is refs else queries
     return index.join(index.copies(q.withColumn("bound", F.lit(float(radius)))), kernel, schema,
@@ -341,6 +345,28 @@ def smallest_within(queries: DataFrame, refs: DataFrame, radius: float, value: s
 SUM_TILE = 64, 1024          # rows of a tile whose distances stay in a core's cache
 
 
+def tiles(x: np.ndarray, y: np.ndarray):
+    """``(first row, first column, squared distances)`` of all pairs, tile by tile in one buffer.
+
+    Distances too small for the fast form are computed again.
+    """
+    nx, ny = (x * x).sum(1), (y * y).sum(1)
+    a = np.column_stack([-2.0 * x, nx, np.ones(len(x))])
+    b = np.column_stack([y, np.ones(len(y)), ny]).T
+    near = 1e-6 * float(nx.max() + ny.max()) + 1e-300
+    room = np.empty(SUM_TILE)
+    for i in range(0, len(x), SUM_TILE[0]):
+        rows = a[i:i + SUM_TILE[0]]
+        for j in range(0, len(y), SUM_TILE[1]):
+            cols = b[:, j:j + SUM_TILE[1]]
+            d = room.ravel()[:len(rows) * cols.shape[1]].reshape(len(rows), -1)
+            np.matmul(rows, cols, out=d)
+            if d.min() < near:
+                u, v = np.divmod(np.flatnonzero(d < near), d.shape[1])
+                d[u, v] = ((x[i + u] - y[j + v]) ** 2).sum(1)
+            yield i, j, d
+
+
 def distance_sums(df: DataFrame, group: str, block: int = BLOCK_ROWS) -> DataFrame:
     """``(id, <group>, other, total)``: sum of distances from each point to each group.
 

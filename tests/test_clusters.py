@@ -207,6 +207,24 @@ def test_kth_distance(spark, cloud):
         assert np.allclose(got, d[:, k - 1], rtol=1e-9, atol=1e-12)
 
 
+def test_kth_distance_from_sampled_brackets(spark, monkeypatch):
+    """Two passes over all pairs where the sample's brackets hold; exact where they all miss."""
+    from tessera.operators import kth
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 1, (1500, 6)), np.repeat(rng.normal(3, 1, (1, 6)), 250, axis=0)])
+    d = distances(x)
+    np.fill_diagonal(d, np.inf)
+    d.sort(axis=1)
+    passes, real = [], kth.block_join
+    monkeypatch.setattr(kth, "block_join", lambda *a, **k: passes.append(1) or real(*a, **k))
+    for k, sure, most in ((520, 5.0, 2), (40, 5.0, 4), (520, -1.0, 6)):
+        monkeypatch.setattr(kth, "SURE", sure)
+        passes.clear()
+        got = kth.kth_distance(table(spark, x), k).toPandas().set_index("id").dist.sort_index()
+        assert len(got) == len(x) and np.allclose(got, d[:, k - 1], rtol=1e-9, atol=1e-12)
+        assert len(passes) <= most, passes
+
+
 def test_modes(spark, monkeypatch):
     """Modes as by plain mean shift, from every grid corner; the same with crowded cells cut up."""
     from tessera.operators import shift as S
