@@ -225,16 +225,25 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, skip_self: bool = False
             out[f"own_{keep}"] = l[keep].to_numpy()[i]
         return pd.DataFrame(out)
 
+    def within(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        """What ``kernel`` gives for chunks of any size, but for points beyond the ``bound``."""
+        r = r.sort_values("id", kind="stable")
+        rid, lid = r["id"].to_numpy(), l["id"].to_numpy()
+        own = pd.Index(rid).get_indexer(lid) if skip_self else np.full(len(l), -1)
+        i, j, d = closest(_matrix(l), _matrix(r), k, l["bound"].to_numpy(), own)
+        out = {"id": lid[i], "nbr": rid[j], "dist": d}
+        if carry:
+            out[carry] = r[carry].to_numpy()[j]
+        if keep:
+            out[f"own_{keep}"] = l[keep].to_numpy()[i]
+        return pd.DataFrame(out)
+
     schema = T.StructType(fields)
     best = W.partitionBy("id").orderBy("dist", "nbr")
 
     def ranked(found: DataFrame) -> DataFrame:
         return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
 
-    def folded(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.sort_values(["id", "dist", "nbr"], kind="stable").groupby(
-            "id", sort=False, dropna=False).head(k)
-
     n_s = refs.count()
     if n_s <= block:
         return ranked(_whole(queries, refs, kernel, schema, block, n_s))
@@ -259,12 +268,61 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, skip_self: bool = False
     sides = -(-n_s // _wide(n_s, block))
     far = written(far, "bounds")
     if index.tree.looks(far, index.reach, index.reach_top) > (2 * sides + 1) * far.count():
-        mine = q.drop("leaf", "r", "top", "r_top")
-        return ranked(_whole(mine, refs, kernel, schema, block, n_s, folded))
+        mine = far.drop("leaf", "r", "top", "r_top", "home")
+        return ranked(_whole(mine, refs, within, schema, block, n_s, large=True))
     copies = index.copies(far, lambda pdf, i, leaf: pdf["home"].to_numpy()[i] != leaf).drop("home")
     return ranked(near.drop("place").unionByName(index.join(copies, kernel, schema, block)))
 
 
+def closest(a: np.ndarray, b: np.ndarray, k: int, bound: np.ndarray, own: np.ndarray
+            ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, place, distance)``: of the points b not farther than a row's ``bound``, and other than
+    its ``own``, the k nearest to each row of a, in order; of equal distances the first.
+
+    The limit of a row sinks with the k-th distance met so far, so few pairs leave a tile.
+    """
+    tol = 1e-11 * (float((a * a).sum(1).max()) + float((b * b).sum(1).max())) + 1e-300
+    limit = bound * bound * (1 + 1e-9) + 4 * tol
+    mine = np.flatnonzero(own >= 0)
+    found, pool = [], (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    settled = 0
+
+    def kept(pool):
+        i, j, d = pool
+        order = np.lexsort((j, d, i))
+        i, j, d = i[order], j[order], d[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        full = place == k - 1
+        limit[i[full]] = np.minimum(limit[i[full]], d[full] ** 2 * (1 + 1e-9) + 4 * tol)
+        return i[place < k], j[place < k], d[place < k]
+
+    for i, j, sq in tiles(a, b):
+        if j == 0:
+            found.append(kept(pool))
+            pool, settled = tuple(x[:0] for x in pool), 0
+        rows = slice(i, i + len(sq))
+        self_ = mine[np.searchsorted(mine, i):np.searchsorted(mine, i + len(sq))]
+        self_ = self_[(own[self_] >= j) & (own[self_] < j + sq.shape[1])]
+        sq[self_ - i, own[self_] - j] = np.inf
+        hit = (sq <= limit[rows, None]) & (sq < np.inf)
+        many = np.flatnonzero(np.count_nonzero(hit, axis=1) > 2 * k)
+        if len(many) and k < sq.shape[1]:
+            some = sq[many]
+            edge = np.partition(some, k - 1, axis=1)[:, k - 1]
+            limit[i + many] = np.minimum(limit[i + many], edge + 4 * tol)
+            hit[many] &= some <= limit[i + many, None]
+        u, v = np.divmod(np.flatnonzero(hit), sq.shape[1])
+        if len(u):
+            pool = tuple(np.concatenate(x) for x in zip(pool, (
+                i + u, j + v, _exact(a, b, i + u, j + v))))
+        if len(pool[0]) > 2 * settled + k * len(sq):
+            pool = kept(pool)
+            settled = len(pool[0])
+    found.append(kept(pool))
+    i, j, d = (np.concatenate(x) for x in zip(*found))
+    return i, j, d
+
+
 def neighbour_counts(df: DataFrame, radius: float, block: int = BLOCK_ROWS) -> DataFrame:
     """``(id, n)``: points within ``radius``, the point itself included."""
     def kernel(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:

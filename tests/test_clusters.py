@@ -207,6 +207,30 @@ def test_kth_distance(spark, cloud):
         assert np.allclose(got, d[:, k - 1], rtol=1e-9, atol=1e-12)
 
 
+def test_closest_points_tile_by_tile(monkeypatch):
+    """As by sorting all distances, with ties, bounds and a point left out; few pairs are measured
+    exactly."""
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(0, 4, (150, 5)).astype(float), rng.integers(0, 4, (700, 5)).astype(float)
+    b[:150] = a
+    measured, real = [], B._exact
+    monkeypatch.setattr(B, "_exact", lambda a, b, i, j: measured.append(len(i)) or real(a, b, i, j))
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
+    for tile, k, far, own in (((16, 32), 7, np.inf, -1), ((64, 1024), 7, 2.0, 0), ((16, 32), 800, np.inf, 0)):
+        monkeypatch.setattr(B, "SUM_TILE", tile)
+        self_ = np.arange(150) if own == 0 else np.full(150, -1)
+        left = d.copy()
+        left[np.flatnonzero(self_ >= 0), self_[self_ >= 0]] = np.inf
+        left[left > far] = np.inf
+        want = [(i, j, left[i, j]) for i in range(150) for j in np.argsort(left[i], kind="stable")[:k]
+                if left[i, j] < np.inf]
+        i, j, dist = B.closest(a, b, k, np.full(150, far), self_)
+        assert list(zip(i, j)) == [w[:2] for w in want] and np.allclose(dist, [w[2] for w in want])
+    x, measured[:] = rng.normal(0, 1, (64, 24)), []
+    i, j, dist = B.closest(x, rng.normal(0, 1, (4096, 24)), 5, np.full(64, np.inf), np.full(64, -1))
+    assert len(i) == 320 and sum(measured) < 64 * 4096 / 50
+
+
 def test_kth_distance_from_sampled_brackets(spark, monkeypatch):
     """Two passes over all pairs where the sample's brackets hold; exact where they all miss."""
     from tessera.operators import kth
