@@ -62,3 +62,17 @@ def test_large_partitions_are_spread_and_small_ones_stay(spark):
     parts = S.spread(data, 1000, most=100).rdd.glom().map(len).collect()
     assert sum(parts) == 1000 and len(parts) == 10 and max(parts) <= 120
     assert S.spread(data, 1000, most=500) is data
+
+
+def test_passes_read_packed_rows_and_cosines_are_exact(rows, monkeypatch):
+    kept = []
+    real = N.written
+    monkeypatch.setattr(N, "written", lambda df, name: kept.append(real(df, name)) or kept[-1])
+    N.KernelLinear(gamma=0.5, size=16, classes=2, reg=1e-3, most=1).fit(
+        rows.withColumn("label", (F.col("label") > 0).cast("double")))
+    assert dict(kept[0].dtypes) == {"x": "binary", "y": "binary", "w": "binary"}
+    assert kept[0].count() <= 3 and sum(len(r["y"]) for r in kept[0].collect()) == 8 * 600
+    rng = np.random.default_rng(1)
+    for far, size in ((1, 64), (1e4, 7), (0, 512)):
+        x, (w, b) = rng.normal(0, far, (900, 3)), N.projection(3, 0.3, size, 1)
+        assert np.abs(N.cosines(x, w, b) - np.cos(x @ w + b) * np.sqrt(2 / size)).max() < 1e-14 * max(far, 1)
