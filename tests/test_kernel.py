@@ -72,6 +72,8 @@ def test_passes_read_packed_rows_and_cosines_are_exact(rows, monkeypatch):
         rows.withColumn("label", (F.col("label") > 0).cast("double")))
     assert dict(kept[0].dtypes) == {"x": "binary", "y": "binary", "w": "binary"}
     assert kept[0].count() <= 3 and sum(len(r["y"]) for r in kept[0].collect()) == 8 * 600
+    # One partition: its sums come back as they are.
+    N.KernelLinear(gamma=0.5, size=16, classes=3, reg=1e-3, most=1).fit(rows.coalesce(1))
     rng = np.random.default_rng(1)
     for far, size in ((1, 64), (1e4, 7), (0, 512)):
         x, (w, b) = rng.normal(0, far, (900, 3)), N.projection(3, 0.3, size, 1)
